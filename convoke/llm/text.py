@@ -78,8 +78,8 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         column = pa.concat_arrays([column.slice(0, 0), pa.array(column.to_pylist(), pa.large_binary())])
     offsets = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1) if len(column) else np.zeros(1, np.int64)
     raw = column.buffers()[2] if len(column) else None
-    data = np.frombuffer(raw, np.uint8)[: offsets[-1]] if raw is not None and offsets[-1] else np.zeros(0, np.uint8)
-    return data, offsets
+    data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None else np.zeros(0, np.uint8)
+    return data, offsets - offsets[0]
 
 
 def words(column: pa.Array, lower: bool = False) -> Words:
