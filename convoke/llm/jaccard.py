@@ -34,8 +34,8 @@ HASHES, BITS, GROUP, DEPTH = 8, 2048, 64, 3
 HOT_SHARE, HOT_MOST = 1 / 2048, 1 << 18
 #: Ids up to this many are sent to all executors as one list (8 bytes each).
 IDS_MOST = 250_000
-#: Bytes of text in hand at a time.
-SLICE = 4 << 20
+#: Documents whose sets, and bytes of text that, are in hand at a time.
+BATCH, SLICE = 4096, 2 << 20
 
 SALTS = T.mix(np.arange(1001, 1001 + HASHES, dtype=np.uint64))
 SHORT = np.uint64(0x5851F42D4C957F2D)
@@ -69,7 +69,7 @@ def profile(size: int):
     """Batches of (doc_id, text) -> a row for each document, and rows (token, seen) of the batch's frequent tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, BATCH) for b in batches for i in range(0, b.num_rows, BATCH)):
             ids, rows, tokens = batch.column(0), [], []
             for s in shingle_sets(batch.column(1), size):
                 if len(s) == 0:
@@ -127,7 +127,7 @@ def prefix_tokens(size: int, percent: int, buckets: int, hot):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token, count = hot.value
-        for batch in batches:
+        for batch in (b.slice(i, BATCH) for b in batches for i in range(0, b.num_rows, BATCH)):
             tokens, which, sizes = [], [], []
             for i, s in enumerate(shingle_sets(batch.column(1), size)):
                 n = len(s)
