@@ -3,7 +3,8 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convoke.llm import jaccard, repeats
+from convoke.llm import counts, fingerprints, jaccard, language, quality, repeats
+from convoke.llm.scratch import Scratch
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -28,6 +29,45 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+WORDS = "list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
+MARKS = "length(coalesce(text, '')) - length(translate(coalesce(text, ''), ',.;:!?', ''))"
+SQL["op2_token_counts"] = f"""
+with d as (select *, length(coalesce(text, '')) as chars, len({WORDS}) as v1,
+    {MARKS} + len({WORDS.replace("coalesce(text, '')", "translate(coalesce(text, ''), ',.;:!?', '      ')")}) as v2 from documents),
+r as (select source, lang, 'words_v1' as tokenizer_version, chars, v1 as tokens from d where doc_id % 10 not in (3, 7)
+    union all select source, lang, 'words_v2', chars, v2 from d where doc_id % 10 = 7)
+select source, lang, tokenizer_version, count(*) as n_docs, sum(chars)::bigint as n_chars, sum(tokens)::bigint as n_tokens from r group by all
+"""
+
+
+@query
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents are inserted; then those whose id ends in 3 are deleted, and those that end in 7 are counted anew by words_v2; that second batch is committed twice."""
+    docs = documents(spark, sf_dir)
+    rollup = counts.Rollup(spark, Scratch(spark, "counts").base)
+    rollup.commit("load", counts.delta(inserts=counts.counted(docs, "words_v1")))
+    revised = docs.where("doc_id % 10 = 7")
+    change = counts.delta(inserts=counts.counted(revised, "words_v2"), deletes=counts.counted(docs.where("doc_id % 10 in (3, 7)"), "words_v1"))
+    for _ in range(2):
+        rollup.commit("revision", change)
+    return rollup.totals()
+
+
 @query
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(spark, documents(spark, sf_dir))
+
+
+@query
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(spark, documents(spark, sf_dir))
+
+
+@query
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(spark, documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+@query
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.languages(spark, documents(spark, sf_dir))
