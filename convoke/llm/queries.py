@@ -1,9 +1,10 @@
 """The queries of this subpackage, each over its whole table with production parameters, and their SQL."""
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convoke.llm import counts, fingerprints, jaccard, language, quality, repeats
+from convoke.llm import counts, fingerprints, jaccard, language, packing, quality, repeats, token_files, vectors
 from convoke.llm.scratch import Scratch
 
 QUERIES: dict = {}
@@ -68,6 +69,23 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(spark, documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+@query
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(spark, table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.languages(spark, documents(spark, sf_dir))
+
+
+@query
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{Scratch(spark, 'token-files').base}/files"
+    token_files.write_files(spark, documents(spark, sf_dir), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_files.read_files(spark, path).drop("ids")
+
+
+@query
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(spark, documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
