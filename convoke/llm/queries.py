@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convoke.llm import counts, fingerprints, jaccard, language, packing, quality, repeats, token_files, vectors
+from convoke.llm import counts, fingerprints, jaccard, language, packing, quality, repeats, token_files, transducer, vectors
 from convoke.llm.scratch import Scratch
 
 QUERIES: dict = {}
@@ -86,6 +86,14 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_files(spark, path).drop("ids")
 
 
+@query
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text, and the text that they decode to."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    back = transducer.decoded(transducer.encoded(documents(spark, sf_dir), model), model)
+    return back.select("doc_id", "n_ids", "ids_crc32", F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
 @query
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(spark, documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))

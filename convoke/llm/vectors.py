@@ -2,7 +2,7 @@
 
 Equal vectors of a label are one representative. A unit vector u has in each of TABLES tables the key floor((a_k u + b_k) / W)
 for k in 1..PROJECTIONS, with normal a_k; vectors with an equal key share a bucket and are compared exactly, in double
-precision. At cosine 0.98 (distance 0.2) a pair shares a key in one table with probability 0.21, in some of 32 with 0.9995.
+precision. At cosine 0.98 (distance 0.2) a pair shares a key in one table with probability 0.21, in some of 48 with 0.99999.
 
 A pair counts in the first table in which it collides, so each vector's links are summed from the buckets without listing
 pairs. A bucket of more than BLOCK vectors is compared in blocks of it, each pair of blocks on its own; of the links found there a
@@ -20,7 +20,7 @@ from convoke.llm import text as T
 from convoke.llm.components import components
 from convoke.llm.scratch import Scratch, partitions
 
-COSINE, TABLES, PROJECTIONS, W, BLOCK, SEED = 0.98, 32, 8, 0.9, 1024, 11
+COSINE, TABLES, PROJECTIONS, W, BLOCK, SEED = 0.98, 48, 8, 0.9, 1024, 11
 
 
 def unit(rows: list) -> np.ndarray:

@@ -1,16 +1,36 @@
 """A corpus pipeline: stages over the documents table, each written as Parquet and read again as the next one's input."""
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convoke.llm import jaccard, repeats
+from convoke.llm import jaccard, language, packing, quality, repeats
 from convoke.llm.scratch import Scratch
 
 
+#: A text less like every language than this (cosine with its prototype) is rejected.
+LEAST_LIKE = 0.1
+
+
+def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    return docs.join(rejected.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are predicted to be of good quality stay."""
+    scores = quality.quality_scores(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return without(docs, scores.where("predicted = 0"))
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in one of the known languages stay; texts without letters, and those unlike all languages, go."""
+    found = language.languages(spark, docs)
+    return without(docs, found.where((F.col("lang_pred") == language.UND) | (F.col("score") < LEAST_LIKE)))
+
+
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of similar documents the one with the smallest doc_id stays; so do rows without a doc_id."""
-    found = jaccard.jaccard_components(spark, docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    return without(docs, jaccard.jaccard_components(spark, docs).where("doc_id <> component_id"))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,7 +41,12 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return cut.select(docs.columns)
 
 
-STAGES = [("ngram_jaccard", ngram_jaccard), ("substring_dedup", substring_dedup)]
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 4096 tokens."""
+    return packing.packed(spark, docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("quality_classifier", quality_classifier), ("language_id", language_id), ("ngram_jaccard", ngram_jaccard), ("substring_dedup", substring_dedup), ("packing", pack)]
 
 #: Trained models and exact set joins have no SQL; the stages are tested against brute force.
 ORACLE_SQL = None
