@@ -1,13 +1,14 @@
 """Exact Jaccard join of documents on word shingles, by a token-group matrix.
 
 1. One pass makes each document's set of distinct shingle hashes, and from it the set's hash, a few minimum hashes, a parity
-   bitmap, and the tokens that are frequent within a batch (a shared passage), whose counts are summed over all batches.
+   bitmap, and the tokens that a batch has more than once (a shared passage), whose counts are summed over all batches.
 2. Documents of equal sets are one representative. Representatives with a minimum hash in common are compared with the
-   smallest of them; verified links, contracted, partition similar documents into clusters, and clusters into groups of about
-   GROUP members.
+   smallest of them and two that are chosen anew for each hash; verified links, contracted, partition similar documents into clusters. Documents without a link are put together by their first
+   minimum hash. Both are cut into groups of about GROUP members.
 3. Each representative's rarest n - ceil(t n) + DEPTH tokens make the matrix of tokens by groups: a token's row holds the
-   groups in whose union it is. A query document that has t of its tokens in common with any member has min(DEPTH, t n) of
-   these tokens in the group's union, so a group is opened only where the bound and its range of sizes allow.
+   groups in whose union it is. A query document q that shares a = ceil(t (nq + ny) / (1 + t)) tokens with a member y has at
+   least DEPTH + min(a - ceil(t nq), a - ceil(t ny)) of these tokens in the group's union; a group is opened only where the
+   least of this over its members' sizes is reached.
 4. Members of opened groups are checked by their bitmaps (the parity bitmaps of two sets differ in no more bits than the sets
    do in elements), then exactly, on the texts.
 
@@ -29,9 +30,9 @@ from convoke.llm.components import components
 from convoke.llm.scratch import Scratch, partitions
 
 WORDS, PERCENT = 5, 75
-HASHES, BITS, GROUP, DEPTH = 8, 2048, 64, 3
-#: A token is noted as frequent if this share of a batch's documents has it; at most HOT_MOST of them, the most frequent, go into the order of tokens. Neither changes a result.
-HOT_SHARE, HOT_MOST = 1 / 2048, 1 << 18
+HASHES, BITS, GROUP, DEPTH = 8, 2048, 32, 3
+#: A token is noted as frequent if so many of a batch's documents have it; at most HOT_MOST of them, the most frequent, go into the order of tokens. Neither changes a result.
+HOT_LEAST, HOT_MOST = 2, 1 << 19
 #: Ids up to this many are sent to all executors as one list (8 bytes each).
 IDS_MOST = 250_000
 #: Documents whose sets, and bytes of text that, are in hand at a time.
@@ -80,7 +81,7 @@ def profile(size: int):
                 rows.append((len(s), int(T.mix(s).sum().view(np.int64)), int(T.mix(s ^ SHORT).sum().view(np.int64)), sig, np.packbits(bits.astype(bool)).tobytes()))
                 tokens.append(s)
             token, seen = np.unique(np.concatenate(tokens), return_counts=True) if tokens else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            hot = seen >= max(3, len(rows) * HOT_SHARE)
+            hot = seen >= HOT_LEAST
             k = int(hot.sum())
             columns = list(zip(*rows, strict=True)) if rows else [()] * 5
             types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
@@ -123,7 +124,7 @@ def within_bits(percent: int):
 
 
 def prefix_tokens(size: int, percent: int, buckets: int, hot):
-    """Batches of (doc_id, text, group, cluster, csize) -> a row (bucket, rows) for each batch and bucket; rows hold the prefixes' tokens as a compressed Arrow stream."""
+    """Batches of (doc_id, text, grp, cluster, csize, linked) -> a row (bucket, rows) for each batch and bucket; rows hold the prefixes' tokens as a compressed Arrow stream."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token, count = hot.value
@@ -148,7 +149,7 @@ def prefix_tokens(size: int, percent: int, buckets: int, hot):
             blobs = []
             for b in full:
                 k = by[edges[b] : edges[b + 1]]
-                docs = batch.select(["doc_id", "grp", "cluster", "csize"]).take(pa.array(i[k]))
+                docs = batch.select(["doc_id", "grp", "cluster", "csize", "linked"]).take(pa.array(i[k]))
                 blobs.append(pack(pa.table({"t": t[k], "n": n[k], **{c: docs.column(c) for c in docs.schema.names}})))
             yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "rows"])
 
@@ -167,13 +168,13 @@ def unpack(blobs: pa.ChunkedArray) -> pa.Table:
 
 
 def matrix_rows(percent: int, most: int = 2_000_000):
-    """A bucket's rows -> (q, grp, hits): in how many of the bucket's tokens a document meets a group of another cluster. The document of the smaller cluster asks. At most about most cells are in hand at a time."""
+    """A bucket's rows -> (q, grp, hits): in how many of the bucket's tokens a document meets another group, of which it isn't known to be linked with all. The document of the smaller cluster asks. At most about most cells are in hand at a time."""
 
     def run(bucket: pa.Table) -> pa.Table:
         rows = unpack(bucket.column("rows"))
-        t, n, doc, grp, cluster, csize = (rows.column(c).to_numpy() for c in ("t", "n", "doc_id", "grp", "cluster", "csize"))
+        t, n, doc, grp, cluster, csize, linked = (rows.column(c).to_numpy() for c in ("t", "n", "doc_id", "grp", "cluster", "csize", "linked"))
         by = np.lexsort((grp, t))
-        t, n, doc, grp, cluster, csize = (x[by] for x in (t, n, doc, grp, cluster, csize))
+        t, n, doc, grp, cluster, csize, linked = (x[by] for x in (t, n, doc, grp, cluster, csize, linked))
         # cells of the matrix: a token and a group, with the sizes of the group's members that have it
         new = np.ones(len(t), bool)
         new[1:] = (t[1:] != t[:-1]) | (grp[1:] != grp[:-1])
@@ -192,7 +193,8 @@ def matrix_rows(percent: int, most: int = 2_000_000):
             first = np.cumsum(width[e]) - width[e]
             c = np.repeat(row_start[row_of[e]] - first, width[e]) + np.arange(len(q))
             g = cell[c]
-            ok = (cluster[q] != cluster[g]) & ((csize[q] < csize[g]) | ((csize[q] == csize[g]) & (cluster[q] < cluster[g])))
+            ok = (grp[q] != grp[g]) & ((csize[q] < csize[g]) | ((csize[q] == csize[g]) & (grp[q] < grp[g])))
+            ok &= ~(linked[q] & linked[g] & (cluster[q] == cluster[g]))
             ok &= (100 * high[c] >= percent * n[q]) & (100 * n[q] >= percent * low[c])
             pairs = pa.table({"q": doc[q[ok]], "grp": grp[g[ok]], "n": n[q[ok]]})
             parts.append(pairs.group_by(["q", "grp", "n"]).aggregate([("n", "count")]))
@@ -241,26 +243,40 @@ def jaccard_components(spark: SparkSession, documents: DataFrame, size: int = WO
         texts = texts.dropDuplicates(["doc_id"])
     # 2: clusters
     seen = reps.select("rep", F.posexplode("sig").alias("j", "h"))
-    leaders = seen.groupBy("j", "h").agg(F.min("rep").alias("b"), F.count("*").alias("c")).where("c > 1").drop("c")
-    pairs = scratch.write(seen.join(leaders, ["j", "h"]).where("rep <> b").select(F.col("rep").alias("a"), "b").distinct(), "led")
+    by = F.xxhash64("rep", "j")  # another order for each minimum hash, so that a family has many leaders
+    leaders = seen.groupBy("j", "h").agg(F.array(F.min("rep"), F.min_by("rep", by), F.max_by("rep", by)).alias("b"), F.count("*").alias("c")).where("c > 1")
+    led = seen.join(leaders.drop("c"), ["j", "h"]).select("rep", F.explode("b").alias("b")).where("rep <> b")
+    pairs = scratch.write(led.select(F.greatest("rep", "b").alias("a"), F.least("rep", "b").alias("b")).distinct(), "led")
     links = similar_pairs(pairs, reps, texts, scratch, "led", size, percent)
     roots = components(scratch, links, "led")
     clusters = reps.select("rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("root", "rep").alias("cluster"))
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("csize"))
+    clusters = clusters.join(sizes, "cluster").join(reps.select("rep", "n", F.col("sig")[0].alias("h")), "rep")
+    linked = F.col("csize") > 1
+    family = clusters.select("rep", "n", linked.alias("linked"), F.col("cluster").alias("root"), F.when(linked, F.xxhash64("cluster")).otherwise(F.col("h")).alias("cluster"))
+    family = family.join(family.groupBy("linked", "cluster").agg(F.count("*").alias("csize")), ["linked", "cluster"])
     blocks = F.ceil(F.col("csize") / GROUP)
-    grouped = clusters.join(sizes, "cluster").select("rep", "cluster", "csize", F.xxhash64("cluster", F.when(blocks > 1, F.pmod(F.xxhash64("rep"), blocks))).alias("grp"))
+    grouped = family.select("rep", "n", "root", "linked", "cluster", "csize", F.xxhash64("linked", "cluster", F.pmod(F.xxhash64("rep"), blocks)).alias("grp"))
     grouped = scratch.write(grouped, "groups")
+    ranges = grouped.groupBy("grp").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     # 3: the matrix
     buckets = 2 * partitions(spark)
-    asked = texts.join(grouped.withColumnRenamed("rep", "doc_id"), "doc_id").select("doc_id", "text", "grp", "cluster", "csize")
+    asked = texts.join(grouped.withColumnRenamed("rep", "doc_id"), "doc_id").select("doc_id", "text", "grp", "cluster", "csize", "linked")
     tokens = asked.mapInArrow(prefix_tokens(size, percent, buckets, shared), "bucket long, rows binary")
     hits = tokens.groupBy("bucket").applyInArrow(matrix_rows(percent), "q long, grp long, n long, hits long")
-    opened = hits.groupBy("q", "grp").agg(F.sum("hits").alias("hits"), F.max("n").alias("n")).where(f"hits >= least({DEPTH}, ceil({percent} * n / 100))")
-    opened = scratch.write(opened.select("q", "grp"), "opened")
-    # 4: members
-    pairs = opened.join(grouped.select("rep", "grp"), "grp").select(F.col("q").alias("a"), F.col("rep").alias("b")).distinct()
+    met = hits.groupBy("q", "grp").agg(F.sum("hits").alias("hits"), F.max("n").alias("n")).join(ranges, "grp")
+    need = lambda n: F.ceil(F.lit(percent) * n / 100)
+    shared_with = lambda n: F.ceil(F.lit(percent) * (F.col("n") + n) / (100 + percent))
+    low, high = F.greatest("low", need(F.col("n"))), F.least("high", F.floor(F.col("n") * 100 / percent))
+    bound = F.least(shared_with(low) - need(F.col("n")), shared_with(high) - need(high)) + DEPTH
+    opened = scratch.write(met.where((low <= high) & (F.col("hits") >= F.least(bound, shared_with(low)))).select("q", "grp"), "opened")
+    # 4: members of opened groups, and of the own group where it isn't a linked cluster's
+    pairs = opened.join(grouped.select("rep", "grp"), "grp").select(F.col("q").alias("a"), F.col("rep").alias("b"))
+    loose = grouped.where("not linked and csize > 1")
+    own_group = loose.select(F.col("rep").alias("a"), "grp").join(loose.select(F.col("rep").alias("b"), "grp"), "grp").where("a < b").select("a", "b")
+    pairs = pairs.unionByName(own_group).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     more = similar_pairs(pairs, reps, texts, scratch, "opened", size, percent)
-    of = grouped.select("rep", "cluster")
+    of = grouped.select("rep", F.col("root").alias("cluster"))
     joined = more.join(of.select(F.col("rep").alias("a"), F.col("cluster").alias("ca")), "a").join(of.select(F.col("rep").alias("b"), F.col("cluster").alias("cb")), "b")
     top = components(scratch, joined.select(F.col("ca").alias("a"), F.col("cb").alias("b")), "top")
     final = of.join(top.withColumnRenamed("node", "cluster"), "cluster", "left").select("rep", F.coalesce("root", "cluster").alias("component_id"))
