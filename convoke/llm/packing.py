@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from convoke.llm.fingerprints import ordered_buckets
-from convoke.llm.tokens import pieces
+from convoke.llm.tokens import encoder
 
 WINDOW, END, BUCKET_CHARS = 4096, 2, 4_000_000
 #: Penalties of a window that ends at a document's end, at a sentence's end, and elsewhere; ids between cuts of the last kind.
@@ -31,7 +31,7 @@ _ends: dict[str, np.ndarray] = {}
 def sentence_ends(path: str) -> np.ndarray:
     """Whether an id's token ends with a full stop, an exclamation or a question mark."""
     if path not in _ends:
-        vocabulary = {t: i for t, i in pieces(path).vocabulary.items()}
+        vocabulary = {t: i for t, i in encoder(path).vocabulary.items()}
         flags = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, i in vocabulary.items():
             flags[i] = token.removesuffix("</w>")[-1:] in (".", "!", "?")
@@ -109,8 +109,8 @@ def pack_bucket(tokenizer: str, window: int, end: int):
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([("ord", "ascending"), ("digest", "ascending")])
-        encode = pieces(tokenizer).encode
-        parts = [encode(t) + last for t in rows["text"].to_pylist()]
+        encode = encoder(tokenizer).encode
+        parts = [x + last for x in encode(rows["text"].to_pylist())]
         counts = np.array([len(x) // 4 for x in parts], np.int64)
         data = b"".join(parts)
         doc_edge = np.concatenate([[0], np.cumsum(counts)])

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from convoke.llm import rans
 from convoke.llm.fingerprints import ordered_buckets
-from convoke.llm.tokens import pieces
+from convoke.llm.tokens import encoder
 
 FILE_CHARS, END = 4_000_000, 2
 
@@ -24,8 +24,8 @@ def make_file(tokenizer: str, end: int):
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([("ord", "ascending"), ("digest", "ascending")])
-        encode = pieces(tokenizer).encode
-        parts = [encode(t) + last for t in rows["text"].to_pylist()]
+        encode = encoder(tokenizer).encode
+        parts = [x + last for x in encode(rows["text"].to_pylist())]
         counts = np.array([len(p) // 4 for p in parts], np.uint32)
         raw = rans.write_file(rows["doc_id"].to_pylist(), counts, np.frombuffer(b"".join(parts), "<u4"))
         return pa.table([pa.array([key[0].as_py()], pa.int64()), pa.array([int(counts.sum())], pa.int64()), pa.array([raw], pa.binary())], names=["part", "n_ids", "file"])

@@ -1,62 +1,76 @@
 """Token ids of the tokenizers library, with a bounded cache of what lies between single spaces.
 
 Both tokenizers used here split a text before merging, so that no token spans a single space between two characters that are not
-space: ids of the whole text are those of its pieces, one after another. A piece is normalised, split and merged by the
-library's own components; special tokens' strings are ordinary text. The cache lives as long as its Python worker.
+space: ids of the whole text are those of its pieces, one after another. Pieces that are new are encoded by the library many
+at a time, as one text in which a control character that none of them has stands between them, and its id parts them again.
+Special tokens' strings are ordinary text. The cache lives as long as its Python worker.
 """
 
 import re
-from array import array
+from itertools import islice
 
+import numpy as np
 from tokenizers import Tokenizer
 
-CACHE = 300_000
+CACHE, TOGETHER = 800_000, 2_000
 CUT = re.compile(r"(?<=\S) (?=\S)")
 DOUBLE = re.compile(r"\s\s")
+MARK = "\x01"
 
 
-class Pieces(dict):
-    """piece -> ids as little-endian unsigned 32-bit integers."""
+def split(text: str) -> list[str]:
+    """Pieces whose concatenation is the text; each but the first starts with a space."""
+    first, *rest = CUT.split(text) if DOUBLE.search(text) else text.split(" ")
+    return ([first] if first else []) + list(map(" ".__add__, rest))
 
+
+class Encoder:
     def __init__(self, path: str):
-        super().__init__()
-        own = Tokenizer.from_file(path)
-        self.normalizer, self.split, self.model, self.vocabulary = own.normalizer, own.pre_tokenizer, own.model, own.get_vocab()
-        self.words: dict[str, bytes] = {}
-
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= CACHE:
-            self.clear()
-        if len(self.words) >= CACHE:
-            self.words.clear()
-        text = self.normalizer.normalize_str(piece) if self.normalizer else piece
-        out = []
-        for word, _ in self.split.pre_tokenize_str(text):
-            ids = self.words.get(word)
-            if ids is None:
-                ids = array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
-                self.words[word] = ids
-            out.append(ids)
-        ids = b"".join(out)
-        if len(piece) <= 64:
-            self[piece] = ids
-        return ids
-
-    def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if DOUBLE.search(text):
-            parts = CUT.split(text)
-            return b"".join(map(self.__getitem__, [parts[0], *[" " + p for p in parts[1:]]]))
-        first, *rest = text.split(" ")
-        found = b"".join([self[p] for p in map(" ".__add__, rest)])
-        return (self[first] if first else b"") + found
-
-
-_loaded: dict[str, Pieces] = {}
-
-
-def pieces(path: str) -> Pieces:
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        self.vocabulary = self.tokenizer.get_vocab()
+        *self.lead, self.mark = self.ids(f" {MARK}").tolist()
+        self.known: dict[str, bytes] = {}
+
+    def ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def learn(self, pieces: set[str]) -> None:
+        """Adds the pieces' ids to the cache."""
+        if len(self.known) + len(pieces) > CACHE:  # what came first is the most frequent
+            self.known = dict(islice(self.known.items(), max(0, min(CACHE // 2, CACHE - len(pieces)))))
+        plain = [p for p in pieces if p[0] == " " and MARK not in p and len(p.split()) == 1 and not p[-1].isspace()]
+        for p in pieces.difference(plain):
+            self.known[p] = self.ids(p).tobytes()
+        extra = len(self.lead)
+        for i in range(0, len(plain), TOGETHER):
+            part = plain[i : i + TOGETHER]
+            ids = self.ids(f" {MARK}".join(part) + f" {MARK}")
+            ends = np.flatnonzero(ids == self.mark)
+            if len(ends) != len(part):
+                raise AssertionError("the mark was merged")
+            raw, begin = ids.tobytes(), 0
+            for p, e in zip(part, ends.tolist(), strict=True):
+                self.known[p] = raw[4 * begin : 4 * (e - extra)]
+                begin = e + 1
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers; none for a null or empty one."""
+        parts = [split(t) if t else [] for t in texts]
+        new = set().union(*parts).difference(self.known)
+        if new:
+            self.learn(new)
+            gone = set().union(*parts).difference(self.known)  # if the cache was cut
+            if gone:
+                self.learn(gone)
+        get = self.known.__getitem__
+        return [b"".join(map(get, p)) for p in parts]
+
+
+_loaded: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
     if path not in _loaded:
-        _loaded[path] = Pieces(path)
+        _loaded[path] = Encoder(path)
     return _loaded[path]
