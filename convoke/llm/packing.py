@@ -11,6 +11,7 @@ is cut into sequences of a power of two, which need no padding.
 """
 
 import zlib
+from bisect import bisect_left
 from collections import deque
 
 import numpy as np
@@ -72,9 +73,13 @@ def cuts(position: np.ndarray, penalty: np.ndarray, window: int) -> list[int]:
         low = p[i] - window
         while p[queue[0]] < low:
             queue.popleft()
-        j = queue[0]
+        if i < last:
+            j = queue[0]
+            score[i] = value[j] + extra[i] + window - p[i]
+        else:  # the last window's padding doesn't count
+            j = min((k for k in range(bisect_left(p, low), last)), key=score.__getitem__)
+            score[i] = score[j] + extra[i]
         back[i] = j
-        score[i] = value[j] + extra[i] + (window - p[i] if i < last else -p[j])
         v = value[i] = score[i] + p[i]
         while queue and value[queue[-1]] >= v:
             queue.pop()
