@@ -5,10 +5,10 @@
 2. Documents of equal sets are one representative. Representatives with a minimum hash in common are compared with the
    smallest of them and two that are chosen anew for each hash; verified links, contracted, partition similar documents into clusters. Documents without a link are put together by their first
    minimum hash. Both are cut into groups of about GROUP members.
-3. Each representative's rarest n - ceil(t n) + DEPTH tokens make the matrix of tokens by groups: a token's row holds the
-   groups in whose union it is. A query document q that shares a = ceil(t (nq + ny) / (1 + t)) tokens with a member y has at
-   least DEPTH + min(a - ceil(t nq), a - ceil(t ny)) of these tokens in the group's union; a group is opened only where the
-   least of this over its members' sizes is reached.
+3. Each representative's rarest n - ceil(t n) + 1 tokens make the matrix of tokens by groups: a token's row holds the
+   groups in whose union it is. Of a query document q and a similar member y, which share at least
+   a = ceil(t (nq + ny) / (1 + t)) tokens, the rarest shared one has a - 1 more after it in the order of each. So a group is
+   opened only by a token after which both q and some member of the group have so many left, for sizes that the group has.
 4. Members of opened groups are checked by their bitmaps (the parity bitmaps of two sets differ in no more bits than the sets
    do in elements), then exactly, on the texts.
 
@@ -30,7 +30,7 @@ from convoke.llm.components import components
 from convoke.llm.scratch import Scratch, partitions
 
 WORDS, PERCENT = 5, 75
-HASHES, BITS, GROUP, DEPTH = 8, 2048, 32, 3
+HASHES, BITS, GROUP = 8, 2048, 32
 #: A token is noted as frequent if so many of a batch's documents have it; at most HOT_MOST of them, the most frequent, go into the order of tokens. Neither changes a result.
 HOT_LEAST, HOT_MOST = 2, 1 << 19
 #: Ids up to this many are sent to all executors as one list (8 bytes each).
@@ -129,19 +129,20 @@ def prefix_tokens(size: int, percent: int, buckets: int, hot):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token, count = hot.value
         for batch in (b.slice(i, BATCH) for b in batches for i in range(0, b.num_rows, BATCH)):
-            tokens, which, sizes = [], [], []
+            tokens, which, sizes, places = [], [], [], []
             for i, s in enumerate(shingle_sets(batch.column(1), size)):
                 n = len(s)
-                p = min(n, n - least(n, percent) + DEPTH)
+                p = min(n, n - least(n, percent) + 1)
                 if len(token):
                     at = np.minimum(np.searchsorted(token, s), len(token) - 1)
                     s = s[np.argsort(np.where(token[at] == s, count[at], 0), kind="stable")]
                 tokens.append(s[:p])
                 which.append(np.full(p, i))
                 sizes.append(np.full(p, n))
+                places.append(np.arange(p))
             if not tokens:
                 continue
-            t, i, n = np.concatenate(tokens), np.concatenate(which), np.concatenate(sizes)
+            t, i, n, at = (np.concatenate(x) for x in (tokens, which, sizes, places))
             home = (t % np.uint64(buckets)).astype(np.int64)
             by = np.argsort(home, kind="stable")
             edges = np.searchsorted(home[by], np.arange(buckets + 1))
@@ -150,7 +151,7 @@ def prefix_tokens(size: int, percent: int, buckets: int, hot):
             for b in full:
                 k = by[edges[b] : edges[b + 1]]
                 docs = batch.select(["doc_id", "grp", "cluster", "csize", "linked"]).take(pa.array(i[k]))
-                blobs.append(pack(pa.table({"t": t[k], "n": n[k], **{c: docs.column(c) for c in docs.schema.names}})))
+                blobs.append(pack(pa.table({"t": t[k], "n": n[k], "left": n[k] - at[k], **{c: docs.column(c) for c in docs.schema.names}})))
             yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "rows"])
 
     return run
@@ -168,18 +169,18 @@ def unpack(blobs: pa.ChunkedArray) -> pa.Table:
 
 
 def matrix_rows(percent: int, most: int = 2_000_000):
-    """A bucket's rows -> (q, grp, hits): in how many of the bucket's tokens a document meets another group, of which it isn't known to be linked with all. The document of the smaller cluster asks. At most about most cells are in hand at a time."""
+    """A bucket's rows -> (q, grp): which other groups a document opens, of which it isn't known to be linked with all. The document of the smaller family asks. At most about most cells are in hand at a time."""
 
     def run(bucket: pa.Table) -> pa.Table:
         rows = unpack(bucket.column("rows"))
-        t, n, doc, grp, cluster, csize, linked = (rows.column(c).to_numpy() for c in ("t", "n", "doc_id", "grp", "cluster", "csize", "linked"))
+        t, n, left, doc, grp, cluster, csize, linked = (rows.column(c).to_numpy() for c in ("t", "n", "left", "doc_id", "grp", "cluster", "csize", "linked"))
         by = np.lexsort((grp, t))
-        t, n, doc, grp, cluster, csize, linked = (x[by] for x in (t, n, doc, grp, cluster, csize, linked))
-        # cells of the matrix: a token and a group, with the sizes of the group's members that have it
+        t, n, left, doc, grp, cluster, csize, linked = (x[by] for x in (t, n, left, doc, grp, cluster, csize, linked))
+        # cells of the matrix: a token and a group, with the sizes of the group's members that have it, and the most tokens that one has from there on
         new = np.ones(len(t), bool)
         new[1:] = (t[1:] != t[:-1]) | (grp[1:] != grp[:-1])
         cell = np.flatnonzero(new)
-        low, high = (np.minimum.reduceat(n, cell), np.maximum.reduceat(n, cell)) if len(cell) else (n, n)
+        low, high, room = (np.minimum.reduceat(n, cell), np.maximum.reduceat(n, cell), np.maximum.reduceat(left, cell)) if len(cell) else (n, n, n)
         row = np.ones(len(cell), bool)
         row[1:] = t[cell[1:]] != t[cell[:-1]]
         row_start = np.append(np.flatnonzero(row), len(cell))
@@ -196,10 +197,12 @@ def matrix_rows(percent: int, most: int = 2_000_000):
             ok = (grp[q] != grp[g]) & ((csize[q] < csize[g]) | ((csize[q] == csize[g]) & (grp[q] < grp[g])))
             ok &= ~(linked[q] & linked[g] & (cluster[q] == cluster[g]))
             ok &= (100 * high[c] >= percent * n[q]) & (100 * n[q] >= percent * low[c])
-            pairs = pa.table({"q": doc[q[ok]], "grp": grp[g[ok]], "n": n[q[ok]]})
-            parts.append(pairs.group_by(["q", "grp", "n"]).aggregate([("n", "count")]))
-        out = pa.concat_tables(parts) if parts else pa.table({"q": doc[:0], "grp": grp[:0], "n": n[:0], "n_count": n[:0]})
-        return pa.table({"q": out["q"].cast(pa.int64()), "grp": out["grp"].cast(pa.int64()), "n": out["n"].cast(pa.int64()), "hits": out["n_count"].cast(pa.int64())})
+            share = -(-percent * (n[q] + np.maximum(low[c], least(n[q], percent))) // (100 + percent))
+            ok &= (left[q] >= share) & (room[c] >= share)
+            pairs = pa.table({"q": doc[q[ok]], "grp": grp[g[ok]]})
+            parts.append(pairs.group_by(["q", "grp"]).aggregate([]))
+        out = pa.concat_tables(parts).group_by(["q", "grp"]).aggregate([]) if parts else pa.table({"q": doc[:0], "grp": grp[:0]})
+        return pa.table({"q": out["q"].cast(pa.int64()), "grp": out["grp"].cast(pa.int64())})
 
     return run
 
@@ -258,18 +261,12 @@ def jaccard_components(spark: SparkSession, documents: DataFrame, size: int = WO
     blocks = F.ceil(F.col("csize") / GROUP)
     grouped = family.select("rep", "n", "root", "linked", "cluster", "csize", F.xxhash64("linked", "cluster", F.pmod(F.xxhash64("rep"), blocks)).alias("grp"))
     grouped = scratch.write(grouped, "groups")
-    ranges = grouped.groupBy("grp").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     # 3: the matrix
     buckets = 2 * partitions(spark)
     asked = texts.join(grouped.withColumnRenamed("rep", "doc_id"), "doc_id").select("doc_id", "text", "grp", "cluster", "csize", "linked")
     tokens = asked.mapInArrow(prefix_tokens(size, percent, buckets, shared), "bucket long, rows binary")
-    hits = tokens.groupBy("bucket").applyInArrow(matrix_rows(percent), "q long, grp long, n long, hits long")
-    met = hits.groupBy("q", "grp").agg(F.sum("hits").alias("hits"), F.max("n").alias("n")).join(ranges, "grp")
-    need = lambda n: F.ceil(F.lit(percent) * n / 100)
-    shared_with = lambda n: F.ceil(F.lit(percent) * (F.col("n") + n) / (100 + percent))
-    low, high = F.greatest("low", need(F.col("n"))), F.least("high", F.floor(F.col("n") * 100 / percent))
-    bound = F.least(shared_with(low) - need(F.col("n")), shared_with(high) - need(high)) + DEPTH
-    opened = scratch.write(met.where((low <= high) & (F.col("hits") >= F.least(bound, shared_with(low)))).select("q", "grp"), "opened")
+    met = tokens.groupBy("bucket").applyInArrow(matrix_rows(percent), "q long, grp long")
+    opened = scratch.write(met.distinct(), "opened")
     # 4: members of opened groups, and of the own group where it isn't a linked cluster's
     pairs = opened.join(grouped.select("rep", "grp"), "grp").select(F.col("q").alias("a"), F.col("rep").alias("b"))
     loose = grouped.where("not linked and csize > 1")
