@@ -1,9 +1,11 @@
-"""Token ids of the tokenizers library, with a bounded cache of what lies between single spaces.
+"""Token ids of the tokenizers library, with a bounded cache of what lies between single blanks.
 
-Both tokenizers used here split a text before merging, so that no token spans a single space between two characters that are not
-space: ids of the whole text are those of its pieces, one after another. Pieces that are new are encoded by the library many
-at a time, as one text in which a control character that none of them has stands between them, and its id parts them again.
-Special tokens' strings are ordinary text. The cache lives as long as its Python worker.
+Both tokenizers used here split a text before merging, so that no token spans a single space or newline between two characters
+that are not blank, nor the place between a Latin letter and the punctuation that ends a word: ids of the whole text are those of
+its pieces, one after another. Pieces that are new are parted from their punctuation, and what is left, in lower case if the
+tokenizer ignores case, is encoded by the library many at a time, as one text in which a control character that none of them
+has stands between them, and its id parts them again. Texts with other blanks are cut by a pattern instead. Special tokens'
+strings are ordinary text. The cache lives as long as its Python worker.
 """
 
 import re
@@ -12,16 +14,23 @@ from itertools import islice
 import numpy as np
 from tokenizers import Tokenizer
 
-CACHE, TOGETHER = 800_000, 2_000
-CUT = re.compile(r"(?<=\S) (?=\S)")
-DOUBLE = re.compile(r"\s\s")
+CACHE, TOGETHER = 800_000, 1_000
+#: Pieces of more characters, and more pieces that don't follow a blank than this, aren't kept.
+LONGEST, OTHERS = 64, 100_000
+CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 MARK = "\x01"
+TAIL = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 
 
 def split(text: str) -> list[str]:
-    """Pieces whose concatenation is the text; each but the first starts with a space."""
-    first, *rest = CUT.split(text) if DOUBLE.search(text) else text.split(" ")
-    return ([first] if first else []) + list(map(" ".__add__, rest))
+    """The text's first piece, then keys: a piece without its space, or with its newline."""
+    return text.replace("\n", " \n").split(" ")
+
+
+def regular(key: str) -> bool:
+    """Whether the key stands for a space or newline between characters that aren't blank, and can be kept."""
+    word = key[1:] if key[:1] == "\n" else key
+    return 0 < len(word) <= LONGEST and not word[0].isspace() and not word[-1].isspace() and MARK not in word
 
 
 class Encoder:
@@ -30,41 +39,74 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.vocabulary = self.tokenizer.get_vocab()
         *self.lead, self.mark = self.ids(f" {MARK}").tolist()
+        self.folds = np.array_equal(self.ids(" A"), self.ids(" a"))
         self.known: dict[str, bytes] = {}
+        self.other: dict[str, bytes] = {}
 
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-    def learn(self, pieces: set[str]) -> None:
-        """Adds the pieces' ids to the cache."""
-        if len(self.known) + len(pieces) > CACHE:  # what came first is the most frequent
-            self.known = dict(islice(self.known.items(), max(0, min(CACHE // 2, CACHE - len(pieces)))))
-        plain = [p for p in pieces if p[0] == " " and MARK not in p and len(p.split()) == 1 and not p[-1].isspace()]
-        for p in pieces.difference(plain):
-            self.known[p] = self.ids(p).tobytes()
+    def parts(self, key: str) -> tuple[str, str]:
+        """A key that the library is asked for, and the punctuation after it."""
+        core = key.rstrip(TAIL)
+        if not core or not core[-1].isalpha() or core[-1] >= "Ā":
+            core = key
+        tail = key[len(core) :]
+        return core.lower() if self.folds and max(core) < "Ā" else core, tail
+
+    def learn(self, keys: set[str]) -> None:
+        """Adds the ids of regular keys to the cache."""
+        new = keys.difference(self.known)
+        if len(self.known) + len(new) > CACHE:  # what came first is the most frequent
+            self.known = dict(islice(self.known.items(), CACHE // 2))
+            new = keys.difference(self.known)
+        todo = [(key, *self.parts(key)) for key in new if regular(key)]
+        fresh = list({core for _, core, _ in todo}.difference(self.known))
         extra = len(self.lead)
-        for i in range(0, len(plain), TOGETHER):
-            part = plain[i : i + TOGETHER]
-            ids = self.ids(f" {MARK}".join(part) + f" {MARK}")
+        for i in range(0, len(fresh), TOGETHER):
+            part = fresh[i : i + TOGETHER]
+            ids = self.ids("".join([f"{key} {MARK}" if key[0] == "\n" else f" {key} {MARK}" for key in part]))
             ends = np.flatnonzero(ids == self.mark)
             if len(ends) != len(part):
                 raise AssertionError("the mark was merged")
             raw, begin = ids.tobytes(), 0
-            for p, e in zip(part, ends.tolist(), strict=True):
-                self.known[p] = raw[4 * begin : 4 * (e - extra)]
+            for key, e in zip(part, ends.tolist(), strict=True):
+                self.known[key] = raw[4 * begin : 4 * (e - extra)]
                 begin = e + 1
+        for key, core, tail in todo:
+            self.known[key] = self.known[core] + self.piece(tail) if tail else self.known[core]
+
+    def piece(self, piece: str) -> bytes:
+        """Ids of a whole piece."""
+        key = piece if piece[:1] == "\n" else piece[1:] if piece[:1] == " " and piece[1:2] != "\n" else None
+        found = self.known.get(key) if key else self.other.get(piece)
+        if found is None:
+            found = self.ids(piece).tobytes() if piece else b""
+            if key is None and len(piece) <= LONGEST and len(self.other) < OTHERS:
+                self.other[piece] = found
+        return found
+
+    def first(self, piece: str) -> bytes:
+        if not piece or piece[-1].isspace():
+            raise KeyError(piece)
+        return self.piece(piece)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; none for a null or empty one."""
-        parts = [split(t) if t else [] for t in texts]
-        new = set().union(*parts).difference(self.known)
-        if new:
-            self.learn(new)
-            gone = set().union(*parts).difference(self.known)  # if the cache was cut
-            if gone:
-                self.learn(gone)
-        get = self.known.__getitem__
-        return [b"".join(map(get, p)) for p in parts]
+        parts = [split(t) if t else [""] for t in texts]
+        self.learn(set().union(*[p[1:] for p in parts]))
+        out, rest = [], []
+        for i, (first, *keys) in enumerate(parts):
+            try:
+                out.append(b"".join([self.first(first), *map(self.known.__getitem__, keys)]) if texts[i] else b"")
+            except KeyError:
+                out.append(b"")
+                rest.append(i)
+        cut = [CUT.split(texts[i]) for i in rest]
+        self.learn({p.removeprefix(" ") for pieces in cut for p in pieces[1:]})
+        for i, pieces in zip(rest, cut, strict=True):
+            out[i] = b"".join(map(self.piece, pieces))
+        return out
 
 
 _loaded: dict[str, Encoder] = {}
