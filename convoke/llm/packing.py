@@ -110,17 +110,11 @@ OUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, se
 
 
 def pack_bucket(tokenizer: str, window: int, end: int):
-    last = np.array([end], "<u4").tobytes()
-
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([("ord", "ascending"), ("digest", "ascending")])
-        encode = encoder(tokenizer).encode
-        parts = [x + last for x in encode(rows["text"].to_pylist())]
-        counts = np.array([len(x) // 4 for x in parts], np.int64)
-        data = b"".join(parts)
-        doc_edge = np.concatenate([[0], np.cumsum(counts)])
+        ids, counts = encoder(tokenizer).flat(rows["text"].combine_chunks(), end)
+        data, doc_edge = ids.tobytes(), np.concatenate([[0], np.cumsum(counts)])
         is_end = sentence_ends(tokenizer)
-        ids = np.frombuffer(data, "<u4")
         edge = windows_of(ids, doc_edge[1:], is_end if end < len(is_end) else np.append(is_end, np.zeros(end + 1 - len(is_end), bool)), window)
         at = np.union1d(edge, doc_edge)
         a, b = at[:-1], at[1:]

@@ -20,14 +20,10 @@ FILE_CHARS, END = 4_000_000, 2
 
 
 def make_file(tokenizer: str, end: int):
-    last = np.array([end], "<u4").tobytes()
-
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([("ord", "ascending"), ("digest", "ascending")])
-        encode = encoder(tokenizer).encode
-        parts = [x + last for x in encode(rows["text"].to_pylist())]
-        counts = np.array([len(p) // 4 for p in parts], np.uint32)
-        raw = rans.write_file(rows["doc_id"].to_pylist(), counts, np.frombuffer(b"".join(parts), "<u4"))
+        ids, counts = encoder(tokenizer).flat(rows["text"].combine_chunks(), end)
+        raw = rans.write_file(rows["doc_id"].to_pylist(), counts, ids)
         return pa.table([pa.array([key[0].as_py()], pa.int64()), pa.array([int(counts.sum())], pa.int64()), pa.array([raw], pa.binary())], names=["part", "n_ids", "file"])
 
     return run
