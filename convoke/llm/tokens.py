@@ -156,6 +156,11 @@ class Encoder:
 
     def flat(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, ids of each text); a null or empty text has none. After each text stands the end id, if any."""
+        out = self.joined(texts, end)
+        pa.default_memory_pool().release_unused()  # the worker may serve other operators next
+        return out
+
+    def joined(self, texts: pa.Array, end: int | None) -> tuple[np.ndarray, np.ndarray]:
         texts = texts.cast(pa.large_string()).fill_null("")
         if not len(texts):
             return np.zeros(0, "<u4"), np.zeros(0, np.int64)
