@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from convoke.llm import text as T
 
 DIM, GRAM, SLICE = 1024, 3, 1_000_000
+#: floors(): sizes for each doubling of the n-grams, and how many in all; texts that a size needs; the quantile of their scores, and the part of it that is the floor.
+SIZES_EACH, SIZES, ENOUGH, LOW, PART = 2, 64, 20, 0.01, 0.6
 UND = "und"
 _letters: np.ndarray | None = None
 
@@ -103,7 +105,9 @@ def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([v.tolist() for v in total.values()], pa.list_(pa.int64()))], names=["lang", "vec"])
 
 
-def predict(shared):
+def predict(shared, sized: bool = False):
+    """Batches of (doc_id, text) -> (doc_id, lang_pred, score); if sized, (doc_id, text, lang) -> also lang and the number of distinct n-grams."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, unit = shared.value
         for batch, grams in sliced(batches):
@@ -118,7 +122,10 @@ def predict(shared):
                 k = int(np.argmax(cos))
                 lang.append(names[k])
                 score.append(float(min(1.0, max(0.0, cos[k]))))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
+            columns = {"doc_id": batch.column("doc_id"), "lang_pred": pa.array(lang, pa.string()), "score": pa.array(score, pa.float64())}
+            if sized:
+                columns |= {"lang": batch.column("lang"), "n_grams": pa.array([len(g) for g, _ in grams.own], pa.int64())}
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     return run
 
@@ -149,3 +156,27 @@ def languages(spark: SparkSession, documents: DataFrame) -> DataFrame:
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = docs.mapInArrow(predict(shared), "doc_id long, lang_pred string, score double")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def sized_languages(spark: SparkSession, documents: DataFrame) -> DataFrame:
+    """(doc_id, lang_pred, score, lang, n_grams) for each row of documents(doc_id, text, lang, ...): as languages(), with the row's label and how many distinct n-grams the text has."""
+    shared = spark.sparkContext.broadcast(prototypes(documents))
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    return docs.mapInArrow(predict(shared, sized=True), "doc_id long, lang_pred string, score double, lang string, n_grams long")
+
+
+def floor_of(found: DataFrame) -> Column:
+    """The least score of a text in a known language, by its number of distinct n-grams, for rows of sized_languages().
+
+    The more n-grams, the nearer a text is to its language; one that repeats a word has few distinct ones. So the floor of each
+    size is PART of the LOW quantile of the scores of the labelled texts that aren't held out, and at least three standard
+    deviations of a cosine's noise below it; a few wrongly labelled texts don't set it. A size with fewer than ENOUGH texts has the floor of the next smaller one, and 0, which rejects nothing, where
+    there is none. One number a size comes to the driver.
+    """
+    size = F.least(F.lit(SIZES - 1), F.floor(SIZES_EACH * F.log2(F.greatest(F.col("n_grams"), F.lit(1)))).cast("int"))
+    genuine = found.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & (F.col("lang_pred") != UND))
+    low = {r["size"]: max(0.0, min(PART * r["low"], r["low"] - 3 / DIM**0.5)) for r in genuine.groupBy(size.alias("size")).agg(F.count("*").alias("c"), F.percentile_approx("score", LOW).alias("low")).where(F.col("c") >= ENOUGH).collect()}
+    floors = [0.0]
+    for k in range(SIZES):
+        floors.append(low.get(k, floors[-1]))
+    return F.element_at(F.array(*[F.lit(x) for x in floors[1:]]), size + 1)

@@ -8,10 +8,6 @@ from convoke.llm import jaccard, language, packing, quality, repeats
 from convoke.llm.scratch import Scratch
 
 
-#: A text of so many characters that is less like every language than this (cosine with its prototype) is rejected; shorter ones have too few n-grams to tell.
-LEAST_LIKE, ENOUGH = 0.1, 200
-
-
 def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
     return docs.join(rejected.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
 
@@ -23,11 +19,9 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the known languages stay; texts without letters, and those unlike all languages, go."""
-    long = docs.where(F.length("text") >= ENOUGH).select("doc_id").distinct()
-    found = language.languages(spark, docs)
-    unlike = found.where(f"score < {LEAST_LIKE}").join(long, "doc_id", "left_semi")
-    return without(docs, found.where(F.col("lang_pred") == language.UND).select("doc_id").unionByName(unlike.select("doc_id")))
+    """Documents in one of the known languages stay; texts without letters, and those less like each language than labelled texts of as many n-grams are, go."""
+    found = Scratch(spark, "language").write(language.sized_languages(spark, docs), "found")
+    return without(docs, found.where((F.col("lang_pred") == language.UND) | (F.col("score") < language.floor_of(found))))
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
