@@ -233,17 +233,21 @@ def jaccard_components(spark: SparkSession, documents: DataFrame, size: int = WO
     """
     scratch = Scratch(spark, "jaccard")
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = None
+    if documents_repeat(docs):  # rows are numbered, and their numbers stand for doc_id until the end
+        number = F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id())
+        rows = scratch.write(docs.withColumn("row", number), "rows")
+        docs = rows.select(F.col("row").alias("doc_id"), "text")
     made = scratch.write(docs.mapInArrow(profile(size), PROFILE), "profile")
     own = made.where("n is not null")
-    hot = made.where("token is not null").groupBy("token").agg(F.sum("seen").alias("seen")).orderBy(F.desc("seen"), "token").limit(HOT_MOST).toPandas()
-    hot = hot.assign(key=hot["token"].to_numpy("int64").view(np.uint64)).sort_values("key")
-    shared = spark.sparkContext.broadcast((hot["key"].to_numpy(np.uint64), hot["seen"].to_numpy("int64")))
+    hot = made.where("token is not null").groupBy("token").agg(F.sum("seen").alias("seen")).orderBy(F.desc("seen"), "token").limit(HOT_MOST).toArrow()
+    key, count = hot["token"].to_numpy().view(np.uint64), hot["seen"].to_numpy()
+    by = np.argsort(key)
+    shared = spark.sparkContext.broadcast((key[by], count[by]))
 
     reps = own.where("n > 0 and doc_id is not null").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("bits").alias("bits"))
     reps = scratch.write(reps, "reps")
     texts = docs.where("doc_id is not null")
-    if documents_repeat(own):
-        texts = texts.dropDuplicates(["doc_id"])
     # 2: clusters
     seen = reps.select("rep", F.posexplode("sig").alias("j", "h"))
     by = F.xxhash64("rep", "j")  # another order for each minimum hash, so that a family has many leaders
@@ -279,8 +283,18 @@ def jaccard_components(spark: SparkSession, documents: DataFrame, size: int = WO
     final = of.join(top.withColumnRenamed("node", "cluster"), "cluster", "left").select("rep", F.coalesce("root", "cluster").alias("component_id"))
     by_set = reps.select("s1", "s2", "n", "rep").join(final, "rep").drop("rep")
     out = own.select("doc_id", "n", "s1", "s2").join(by_set, ["s1", "s2", "n"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    return out if rows is None else by_id(out, rows, scratch)
 
 
-def documents_repeat(own: DataFrame) -> bool:
-    return not own.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1 and doc_id is not null").isEmpty()
+def documents_repeat(docs: DataFrame) -> bool:
+    return not docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").isEmpty()
+
+
+def by_id(out: DataFrame, rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """The result for numbered rows, in terms of their ids: a component has its smallest doc_id, and all rows of a doc_id the smallest component of them."""
+    ids = rows.select(F.col("row").alias("doc_id"), F.col("doc_id").alias("id"))
+    out = scratch.write(out.join(ids, "doc_id", "left").select("id", "n_shingles", "component_id"), "numbered")
+    least_id = out.groupBy("component_id").agg(F.min("id").alias("least_id"))
+    of_id = out.select("id", "component_id").distinct().join(least_id, "component_id").groupBy("id").agg(F.min("least_id").alias("component_id"))
+    return out.drop("component_id").join(of_id, "id", "left").select(F.col("id").alias("doc_id"), "n_shingles", "component_id")

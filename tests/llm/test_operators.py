@@ -130,6 +130,15 @@ def test_jaccard_odd_rows(spark, empty):
     assert out == [(2, 2), (7, 7), (7, 7), (99, None)]
 
 
+def test_jaccard_different_texts_of_one_id(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(5, a), (5, b), (5, b), (2, a + " more"), (9, b + " more"), (6, b), (1, c), (1, "only this one"), (8, c), (None, a), (7, None), (7, "d e")]
+    out = jaccard.jaccard_components(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = sorted((r["doc_id"] or 99, r["n_shingles"], r["component_id"]) for r in out)
+    # the rows of 5 are like 2, and like 6 and 9, which are a component of which 5 is the smallest
+    assert found == [(1, 1, 1), (1, 36, 1), (2, 37, 2), (5, 36, 2), (5, 36, 2), (5, 36, 2), (6, 36, 5), (7, 0, 7), (7, 1, 7), (8, 36, 1), (9, 37, 5), (99, 36, None)]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 90), (90, 95), (5, 5), (100, 90)]
     out = components(Scratch(spark, "t"), spark.createDataFrame(edges, "a long, b long"), "t")
