@@ -120,6 +120,9 @@ def near_vectors(spark: SparkSession, vectors: DataFrame, cosine: float = COSINE
     rows = scratch.write(rows.select("vec_id", "label", "embedding", good.alias("good")), "rows")
     reps = rows.where("good").groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
     reps = scratch.write(reps, "reps")
+    repeat = not reps.groupBy("rep").agg(F.count("*").alias("c")).where("c > 1").isEmpty()
+    if repeat:  # representatives are numbered, and their numbers stand for vec_id until the end
+        reps = scratch.write(reps.withColumnRenamed("rep", "least_id").withColumn("rep", F.monotonically_increasing_id()), "numbered")
     made = reps.select("rep", "label", "copies", "embedding").mapInArrow(keyed, "rep long, copies long, embedding array<double>, keys binary, key array<long>")
     made = scratch.write(made, "keys")
     spots = made.select("rep", F.posexplode("key").alias("t", "k"))
@@ -135,7 +138,11 @@ def near_vectors(spark: SparkSession, vectors: DataFrame, cosine: float = COSINE
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     roots = components(scratch, found.where("rep <> other").select(F.col("rep").alias("a"), F.col("other").alias("b")), "roots")
     known = reps.join(links, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-    known = known.select("label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
+    known = known.withColumn("root", F.coalesce("root", "rep"))
+    if repeat:
+        known = scratch.write(known, "known")
+        known = known.drop("least_id").join(known.groupBy("root").agg(F.min("least_id").alias("least_id")), "root").withColumn("root", F.col("least_id"))
+    known = known.select("label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("root").alias("component_id"))
     joined = rows.where("good").join(known, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
     alone = rows.where("not good").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     out = joined.unionByName(alone)

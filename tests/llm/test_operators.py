@@ -243,6 +243,15 @@ def test_vectors(spark):
     assert out[None]["component_id"] is None and not out[None]["kept"] and len(out) == len(rows) + len(odd)
 
 
+def test_different_vectors_of_one_id(spark):
+    rng = np.random.default_rng(8)
+    a, b, c = rng.standard_normal((3, 16))
+    rows = [(5, a), (5, b), (5, b), (2, a + 0.01), (9, b + 0.01), (6, b), (1, c), (1, -c), (8, c)]
+    df = spark.createDataFrame([(i, [float(x) for x in v], 0) for i, v in rows], "vec_id long, embedding array<double>, label int")
+    found = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in vectors.near_vectors(spark, df).collect())
+    assert found == [(1, 0, 1, True), (1, 1, 1, True), (2, 1, 2, True), (5, 1, 2, False), (5, 3, 5, True), (5, 3, 5, True), (6, 3, 5, False), (8, 1, 1, False), (9, 3, 5, False)]
+
+
 def test_vectors_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(vectors, "BLOCK", 8)
     rng = np.random.default_rng(6)
