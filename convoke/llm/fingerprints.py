@@ -7,7 +7,7 @@ or deleted by adding or subtracting its vector. Two parts:
 * EXACT elements of 64 bits, hashed from the whole paragraph: equal multisets of paragraphs have equal parts, others differ
   but for a chance of 2^-64 an element. One more element, of the text as it is, tells texts apart that differ only in blanks
   or the order of paragraphs; equality of multisets ignores it.
-* LIKE elements of 16 bits, hashed from the paragraph's runs of RUN words, each run adding +1 or -1 to one element: sums of
+* LIKE elements of 32 bits, hashed from the paragraph's runs of RUN words, each run adding +1 or -1 to one element: sums of
   this part estimate how much two documents share, also inside a changed paragraph.
 
 Likeness is the cosine of the LIKE parts, as signed numbers, cut to 0..1, and 1 for equal exact parts.
@@ -33,13 +33,13 @@ SALTS = T.mix(np.arange(501, 501 + EXACT, dtype=np.uint64))
 
 
 class Fingerprint:
-    """exact: uint64[EXACT], like: uint16[LIKE], whole: 64 bits of the text itself (0 for a multiset that is not a text)."""
+    """exact: uint64[EXACT], like: uint32[LIKE], whole: 64 bits of the text itself (0 for a multiset that is not a text)."""
 
     __slots__ = ("exact", "like", "whole")
 
     def __init__(self, exact=None, like=None, whole: int = 0):
         self.exact = np.zeros(EXACT, np.uint64) if exact is None else exact
-        self.like = np.zeros(LIKE, np.uint16) if like is None else like
+        self.like = np.zeros(LIKE, np.uint32) if like is None else like
         self.whole = whole
 
     def __add__(self, other: "Fingerprint") -> "Fingerprint":
@@ -54,17 +54,17 @@ class Fingerprint:
     def likeness(self, other: "Fingerprint") -> float:
         if self.same_paragraphs(other):
             return 1.0
-        a, b = (f.like.view(np.int16).astype(np.float64) for f in (self, other))
+        a, b = (f.like.view(np.int32).astype(np.float64) for f in (self, other))
         size = np.sqrt((a @ a) * (b @ b))
         return float(min(1.0, max(0.0, a @ b / size))) if size else 0.0
 
     def text(self) -> str:
-        return base64.b64encode(self.whole.to_bytes(8, "little") + self.exact.astype("<u8").tobytes() + self.like.astype("<u2").tobytes()).decode()
+        return base64.b64encode(self.whole.to_bytes(8, "little") + self.exact.astype("<u8").tobytes() + self.like.astype("<u4").tobytes()).decode()
 
     @classmethod
     def of_text(cls, s: str) -> "Fingerprint":
         raw = base64.b64decode(s)
-        return cls(np.frombuffer(raw, "<u8", EXACT, 8).copy(), np.frombuffer(raw, "<u2", LIKE, 8 + 8 * EXACT).copy(), int.from_bytes(raw[:8], "little"))
+        return cls(np.frombuffer(raw, "<u8", EXACT, 8).copy(), np.frombuffer(raw, "<u4", LIKE, 8 + 8 * EXACT).copy(), int.from_bytes(raw[:8], "little"))
 
 
 def fingerprints(texts: list[bytes]) -> Iterator[Fingerprint]:
@@ -88,7 +88,7 @@ def fingerprints(texts: list[bytes]) -> Iterator[Fingerprint]:
             own = np.concatenate([own, of[short]])
             sign = np.where(runs >> np.uint64(63), 1.0, -1.0)
             like = np.bincount(own * LIKE + (runs % np.uint64(LIKE)).astype(np.int64), sign, (b - a) * LIKE).astype(np.int64)
-        like = like.astype(np.uint16).reshape(b - a, LIKE)
+        like = like.astype(np.uint32).reshape(b - a, LIKE)
         for i, t in enumerate(texts[a:b]):
             yield Fingerprint(exact[i], like[i], int.from_bytes(hashlib.blake2b(t, digest_size=8).digest(), "little") if t else 0)
 

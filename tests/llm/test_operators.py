@@ -183,6 +183,12 @@ def test_fingerprints_are_homomorphic():
     assert fingerprints.Fingerprint.of_text(ab.text()).text() == ab.text()
 
 
+@pytest.mark.parametrize("n", [32_768, 65_536, 100_000])
+def test_fingerprints_of_a_run_that_recurs(n):
+    a, b = fingerprints.fingerprints([b"one two three\n" * n, b"one two three\n" * n + b"another short line"])
+    assert a.likeness(b) > 0.99 and b.likeness(fingerprints.Fingerprint.of_text(a.text())) > 0.99 and (b - a).likeness(a) < 0.5
+
+
 def test_quality_held_out(spark):
     d = "/root/testdata/sf0.1"
     out = queries.QUERIES["op5_quality"](spark, d).where("held_out").join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").toPandas()
