@@ -2,7 +2,7 @@
 
 Three parts are compiled from a model file:
 
-* the normaliser: a blank is put before the text and blanks become U+2581 (identity otherwise, as the model says);
+* the normaliser: a blank is put before the text and blanks become U+2581 (identity otherwise; a model whose normaliser does more or less is refused);
 * the pieces: a trie from characters to pieces, with an arc to bytes for a character that is none;
 * the grammar: its state is the last piece. BPE's result is the one sequence in which every two neighbours are also what BPE
   makes of the two alone, so an arc from one piece to the next weighs 0 if they are, and infinity if not. The arcs are
@@ -33,9 +33,47 @@ CACHE, ARCS = 500_000, 1_000_000
 NONE: dict = {}
 
 
+def fields(message: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """The numbers and values of a protocol buffer's fields."""
+    at = 0
+
+    def varint() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = message[at]
+            at += 1
+            value |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return value
+
+    while at < len(message):
+        key = varint()
+        kind = key & 7
+        if kind == 0:
+            yield key >> 3, varint()
+        else:
+            size = {1: 8, 5: 4}.get(kind) or varint()
+            yield key >> 3, message[at : at + size]
+            at += size
+
+
+def check_normaliser(model: bytes) -> None:
+    """Raises ValueError unless the model's normalizer_spec is the one that encode() applies: no character map, a blank in front, extra blanks kept, blanks replaced."""
+    spec = {2: b"", 3: 1, 4: 1, 5: 1, 6: b""}  # precompiled_charsmap, add_dummy_prefix, remove_extra_whitespaces, escape_whitespaces, normalization_rule_tsv
+    trainer: dict = {24: 0}  # treat_whitespace_as_suffix
+    for number, value in fields(model):
+        if number in (2, 3):
+            (trainer if number == 2 else spec).update(fields(value))
+    if spec[2] or spec[6] or (spec[3], spec[4], spec[5]) != (1, 0, 1) or trainer[24]:
+        raise ValueError("the model's normaliser isn't identity with a blank in front and extra blanks kept")
+
+
 class Transducer:
     def __init__(self, path: str):
         model = sentencepiece.SentencePieceProcessor(model_file=path)
+        check_normaliser(model.serialized_model_proto())
         size = model.get_piece_size()
         special = {i for i in range(size) if model.is_control(i) or model.is_unknown(i) or model.is_byte(i)}
         self.pieces = [model.id_to_piece(i) for i in range(size)]

@@ -333,6 +333,18 @@ def test_transducer(spark, docs, rows):
     assert back == {i: (t or "").replace("▁", " ") for i, t, *_ in rows}
 
 
+@pytest.mark.parametrize("options", [{"normalization_rule_name": "nmt_nfkc"}, {"remove_extra_whitespaces": True}, {"add_dummy_prefix": False}, {}])
+def test_transducer_refuses_other_normalisers(tmp_path, options):
+    settings = {"normalization_rule_name": "identity", "remove_extra_whitespaces": False} | options
+    lines = iter(["some words to learn from", "and a few more words"] * 20)
+    sentencepiece.SentencePieceTrainer.train(sentence_iterator=lines, model_prefix=f"{tmp_path}/m", model_type="bpe", vocab_size=300, byte_fallback=True, hard_vocab_limit=False, minloglevel=2, **settings)
+    if not options:
+        assert transducer.Transducer(f"{tmp_path}/m.model").encode("words")
+        return
+    with pytest.raises(ValueError):
+        transducer.Transducer(f"{tmp_path}/m.model")
+
+
 def brute_cost(position, penalty, window):
     p, best = [0, *position], [0] + [None] * len(position)
     for i in range(1, len(p)):
