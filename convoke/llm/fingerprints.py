@@ -4,8 +4,8 @@ A paragraph (a line that is not blank, without blanks at its ends) hashes to a w
 sum of its paragraphs' vectors, each element modulo a power of two. Sums don't depend on order, and a paragraph is inserted
 or deleted by adding or subtracting its vector. Two parts:
 
-* EXACT elements of 64 bits, hashed from the whole paragraph: equal multisets of paragraphs have equal parts, others differ
-  but for a chance of 2^-64 an element. One more element, of the text as it is, tells texts apart that differ only in blanks
+* EXACT elements of 64 bits, independent parts of the whole paragraph's BLAKE2b digest: equal multisets of paragraphs have
+  equal parts, others differ but for a chance of 2^-64 an element. One more element, of the text as it is, tells texts apart that differ only in blanks
   or the order of paragraphs; equality of multisets ignores it.
 * LIKE elements of 32 bits, hashed from the paragraph's runs of RUN words, each run adding +1 or -1 to one element: sums of
   this part estimate how much two documents share, also inside a changed paragraph.
@@ -29,7 +29,6 @@ from convoke.llm.scratch import partitions
 EXACT, LIKE, RUN = 8, 128, 3
 #: Characters of a bucket of documents, and buckets for each shuffle partition at most.
 BUCKET_CHARS, BUCKETS = 4_000_000, 64
-SALTS = T.mix(np.arange(501, 501 + EXACT, dtype=np.uint64))
 
 
 class Fingerprint:
@@ -77,14 +76,16 @@ def fingerprints(texts: list[bytes]) -> Iterator[Fingerprint]:
         exact = np.zeros((b - a, EXACT), np.uint64)
         like = np.zeros((b - a) * LIKE, np.int64)
         if len(flat):
-            data, offsets = T.text_buffer(flat)
-            h = T.run_hashes(T.BYTE_VALUE[data], offsets[:-1], offsets[1:], T.BASE)
-            np.add.at(exact, of, T.mix(h[:, None] ^ SALTS))
+            digests = b"".join([hashlib.blake2b(x, digest_size=8 * EXACT).digest() for own in lines for x in own])
+            first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+            exact[of[first]] = np.add.reduceat(np.frombuffer(digests, "<u8").reshape(-1, EXACT), first)
             w = T.words(flat)
             at, runs = T.windows(w, RUN)
-            own = of[np.searchsorted(w.doc, at, side="right") - 1]
+            owner = np.repeat(np.arange(len(flat)), w.count())
+            own = of[owner[at]]
             short = np.flatnonzero((w.count() > 0) & (w.count() < RUN))  # a paragraph of fewer words is one run
-            runs = np.concatenate([runs, T.run_hashes(w.hash, w.doc[short], w.doc[short + 1], T.WORD_BASE)])
+            in_short = np.isin(owner, short)
+            runs = np.concatenate([runs, T.run_hashes(w.hash[in_short], w.count()[short])])
             own = np.concatenate([own, of[short]])
             sign = np.where(runs >> np.uint64(63), 1.0, -1.0)
             like = np.bincount(own * LIKE + (runs % np.uint64(LIKE)).astype(np.int64), sign, (b - a) * LIKE).astype(np.int64)

@@ -53,7 +53,7 @@ def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
             if n[i] >= size:
                 yield np.unique(h[cut[i] : cut[i + 1]])
             elif n[i]:
-                yield T.run_hashes(w.hash[w.doc[i] : w.doc[i + 1]], np.zeros(1, np.int64), n[i : i + 1], T.WORD_BASE) ^ SHORT
+                yield T.run_hashes(w.hash[w.doc[i] : w.doc[i + 1]], n[i : i + 1]) ^ SHORT
             else:
                 yield np.zeros(0, np.uint64)
 
@@ -94,15 +94,36 @@ def profile(size: int):
     return run
 
 
+def shared(w: T.Words, number: np.ndarray, windows: list[tuple[np.ndarray, np.ndarray]], x: int, y: int, size: int) -> tuple[int, int]:
+    """(intersection, union) of the shingle sets of texts x and y; what two hashes have in common counts only if its words are equal."""
+    n = w.count()
+    if min(n[x], n[y]) < size:  # a short text has one shingle, which no longer one equals
+        a, b = (number[w.doc[i] : w.doc[i + 1]] for i in (x, y))
+        same = int(len(a) == len(b) > 0 and (a == b).all())
+        sizes = [len(np.unique(windows[i][1])) if n[i] >= size else min(1, n[i]) for i in (x, y)]
+        return same, sum(sizes) - same
+    (ax, hx), (ay, hy) = ((at[k], u) for at, (u, k) in ((windows[i][0], np.unique(windows[i][1], return_index=True)) for i in (x, y)))
+    _, p, q = np.intersect1d(hx, hy, assume_unique=True, return_indices=True)
+    word = np.arange(size)
+    same = int((number[ax[p][:, None] + word] == number[ay[q][:, None] + word]).all(axis=1).sum())
+    return same, len(hx) + len(hy) - same
+
+
 def verify(size: int, percent: int):
-    """Batches of (a, b, ta, tb) -> the pairs (a, b) that are similar."""
+    """Batches of (a, b, ta, tb) -> the pairs (a, b) that are similar, by the words of their texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = []
-            for x, y in zip(shingle_sets(batch.column(2), size), shingle_sets(batch.column(3), size), strict=True):
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
+            ok, sides = [], [batch.column(k).cast(pa.large_binary()) for k in (2, 3)]
+            lengths = sum(pc.fill_null(pc.binary_length(t), 0).to_numpy(zero_copy_only=False) for t in sides)
+            for a, b in T.slices(lengths, SLICE):
+                w = T.words(pa.concat_arrays([t.slice(a, b - a) for t in sides]), lower=True)
+                number, (at, h) = T.word_numbers(w), T.windows(w, size)
+                cut = np.searchsorted(at, w.doc)
+                windows = [(at[x:y], h[x:y]) for x, y in zip(cut[:-1], cut[1:], strict=True)]
+                for i in range(b - a):
+                    both, either = shared(w, number, windows, i, b - a + i, size)
+                    ok.append(both > 0 and 100 * both >= percent * either)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return run
@@ -243,7 +264,7 @@ def jaccard_components(spark: SparkSession, documents: DataFrame, size: int = WO
     hot = made.where("token is not null").groupBy("token").agg(F.sum("seen").alias("seen")).orderBy(F.desc("seen"), "token").limit(HOT_MOST).toArrow()
     key, count = hot["token"].to_numpy().view(np.uint64), hot["seen"].to_numpy()
     by = np.argsort(key)
-    shared = spark.sparkContext.broadcast((key[by], count[by]))
+    frequent = spark.sparkContext.broadcast((key[by], count[by]))
 
     reps = own.where("n > 0 and doc_id is not null").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("bits").alias("bits"))
     reps = scratch.write(reps, "reps")
@@ -268,7 +289,7 @@ def jaccard_components(spark: SparkSession, documents: DataFrame, size: int = WO
     # 3: the matrix
     buckets = 2 * partitions(spark)
     asked = texts.join(grouped.withColumnRenamed("rep", "doc_id"), "doc_id").select("doc_id", "text", "grp", "cluster", "csize", "linked")
-    tokens = asked.mapInArrow(prefix_tokens(size, percent, buckets, shared), "bucket long, rows binary")
+    tokens = asked.mapInArrow(prefix_tokens(size, percent, buckets, frequent), "bucket long, rows binary")
     met = tokens.groupBy("bucket").applyInArrow(matrix_rows(percent), "q long, grp long")
     opened = scratch.write(met.distinct(), "opened")
     # 4: members of opened groups, and of the own group where it isn't a linked cluster's

@@ -88,7 +88,7 @@ def lines_same(w: T.Words, docs: int) -> np.ndarray:
     line = np.cumsum(w.data == 10)[w.start]
     of = np.searchsorted(w.doc, np.arange(len(w.hash)), side="right") - 1
     first = np.flatnonzero(np.append(True, (line[1:] != line[:-1]) | (of[1:] != of[:-1])))
-    code = T.run_hashes(w.hash, first, np.append(first[1:], len(w.hash)), T.WORD_BASE) ^ T.mix(of[first].astype(np.uint64))
+    code = T.run_hashes(w.hash, np.diff(np.append(first, len(w.hash)))) ^ T.mix(of[first].astype(np.uint64))
     _, back, c = np.unique(code, return_inverse=True, return_counts=True)
     again = np.bincount(of[first], c[back] > 1, docs)
     return again / np.maximum(1, np.bincount(of[first], minlength=docs))
@@ -158,7 +158,7 @@ def grow(x: np.ndarray, y: np.ndarray, cuts: list[np.ndarray], stats: np.ndarray
 
 
 def fit(x: np.ndarray, y: np.ndarray) -> Rules:
-    """Fits rules to statistics and 0/1 labels; of one label only, a constant. A fixed seed: equal samples give equal models."""
+    """Fits rules to statistics and 0/1 labels; of one label only, a constant; where no rule splits them, the base rate. A fixed seed: equal samples give equal models."""
     if not len(y) or y.min() == y.max():
         return Rules(0.0 if not len(y) else (4.0 if y[0] else -4.0), [], [])
     rng = np.random.default_rng(SEED)
@@ -168,10 +168,12 @@ def fit(x: np.ndarray, y: np.ndarray) -> Rules:
         rows = rng.choice(len(y), min(len(y), 4000))
         grow(x[rows], y[rows].astype(float), cuts, rng.choice(x.shape[1], max(2, x.shape[1] // 2), replace=False), DEPTH, (), found)
     rules = sorted(found)
-    z = np.stack([holds(x, r) for r in rules], axis=1).astype(np.float32)
+    z = np.stack([holds(x, r) for r in rules], axis=1).astype(np.float32) if rules else np.zeros((len(y), 0), np.float32)
     keep = np.flatnonzero((z.mean(0) > 0.002) & (z.mean(0) < 0.998))
     z, rules = z[:, keep], [rules[k] for k in keep]
     w, base = np.zeros(z.shape[1], np.float64), float(np.log(y.mean() / (1 - y.mean())))
+    if not rules:  # too few rows for a split, or statistics that don't differ
+        return Rules(base, [], [])
     step, v, vb, t = 4.0 / (np.linalg.norm(z.T @ z / len(y), 2) + 1), w.copy(), base, 1.0
     for _ in range(400):  # accelerated proximal gradient
         p = 1 / (1 + np.exp(-(z @ v + vb)))
@@ -195,7 +197,7 @@ def quality_scores(spark: SparkSession, documents: DataFrame, labels: DataFrame,
 
     Learns from labelled rows that aren't held out. Texts that are null, empty or without words have statistics of 0 and a
     score like any other. Documents with several different labels, null labels or null ids aren't learnt from. Without usable labels
-    all scores are 0.5; of one label only, all near it.
+    all scores are 0.5; of one label only, all near it; where no rule can be learnt (too few rows, constant statistics), all are the base rate.
     """
     scratch = Scratch(spark, "quality")
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

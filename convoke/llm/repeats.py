@@ -4,19 +4,22 @@ A window of WINDOW words that an earlier document (smaller doc_id) has too is a
 
 1. Documents are dealt into chunks. A window's anchor is the least hash of its runs of ANCHOR words, so that equal windows have
    equal anchors. A chunk sends its distinct anchors, a few bytes each, to buckets; a bucket answers each chunk with those
-   that another document has too. Passages without such an anchor repeat nowhere.
+   that another document has too, and tells which are hot, that is in more than HOT chunks. Passages without such an anchor
+   repeat nowhere.
 2. Runs of windows with the same recurring anchor are passages; a chunk sends each distinct passage once, with the smallest
-   and largest doc_id that has it there, to the anchor's shard.
-3. A shard confirms the windows that two documents have, word by word, compiles them into an Aho-Corasick automaton over word
-   numbers (batches of anchors bound its size), and streams its passages through it. It answers each chunk with the phrases
-   located there of which an earlier document is known.
-4. The chunk removes the words that those phrases cover.
+   and largest doc_id that has it there, to the anchor's shard. A hot anchor's windows go one by one to shards by their own
+   hashes, so that no shard gets all that surrounds a common phrase.
+3. A shard confirms, word by word, the windows that two documents have, with the first of these. Runs of them that have one
+   first document are phrases, and go back to each chunk that has them in a later document.
+4. A chunk compiles its phrases into Aho-Corasick automata over word numbers, and streams all its documents, whole, through
+   them. Each hit locates a phrase in a document; if the phrase's first document is an earlier one, the words of the hit go.
+   Words are numbered by comparing them, so that no hash decides what goes.
 
 What one bucket or shard gets of a hot passage is a row for each chunk, not for each document. All words of all texts are
 read; nothing is sampled or capped.
 """
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -31,8 +34,10 @@ from convoke.llm.jaccard import pack, unpack
 from convoke.llm.scratch import partitions
 
 WINDOW, ANCHOR = 13, 6
-#: Characters of text in a chunk, bytes hashed at a time, and phrases in one automaton (all parts of an anchor stay together).
-CHUNK_CHARS, SLICE, PHRASES = 4_000_000, 1 << 20, 100_000
+#: Bytes of text in a chunk, bytes hashed at a time, bytes of passages that a shard confirms at a time, words of phrases in one automaton.
+CHUNK, SLICE, CONFIRM, WORDS = 4_000_000, 1 << 20, 8 << 20, 1 << 20
+#: Chunks that have a hot anchor; windows of a phrase, and words streamed at a time (with a phrase's length more).
+HOT, PHRASE, STREAM = 64, 32, 100_000
 LAST = np.iinfo(np.int64).max
 
 
@@ -51,9 +56,7 @@ def anchored(w: T.Words, window: int, anchor: int) -> tuple[np.ndarray, np.ndarr
     at, h = T.windows(w, window)
     if not len(at):
         return at, h, h
-    n = len(w.hash) - anchor + 1
-    runs = T.run_hashes(w.hash, np.arange(n), np.arange(n) + anchor, T.WORD_BASE)
-    return at, h, sliding_min(runs, window - anchor + 1)[at]
+    return at, h, sliding_min(T.sequence_hashes(w.hash, anchor), window - anchor + 1)[at]
 
 
 def parts_of(texts: pa.Array) -> Iterator[tuple[int, int, T.Words]]:
@@ -108,165 +111,205 @@ def send_anchors(window: int, anchor: int, buckets: int):
     return run
 
 
-def answer_anchors(rows: pa.Table) -> pa.Table:
-    """A bucket's rows -> for each chunk its anchors that recur."""
-    blobs = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("anchors")]
-    every = np.concatenate(blobs)
-    shared = every & np.uint64(1) == 1
-    v = np.sort(every | np.uint64(1))
-    recurring = np.union1d(v[1:][v[1:] == v[:-1]], every[shared])
-    out = []
-    for b in blobs:
-        x = b | np.uint64(1)
-        at = np.minimum(np.searchsorted(recurring, x), max(0, len(recurring) - 1))
-        out.append(x[recurring[at] == x].tobytes() if len(recurring) else b"")
-    return pa.table({"chunk": rows.column("chunk"), "anchors": pa.array(out, pa.binary())})
+def answer_anchors(hot: int):
+    """A bucket's rows -> for each chunk its anchors that recur; the lowest bit is 0 for hot ones."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        blobs = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("anchors")]
+        every = np.concatenate(blobs)
+        v, chunks = np.unique(every | np.uint64(1), return_counts=True)
+        recurs = chunks > 1
+        recurs[np.searchsorted(v, every[every & np.uint64(1) == 1])] = True
+        told = v ^ (chunks > hot).astype(np.uint64)
+        out = []
+        for b in blobs:
+            at = np.searchsorted(v, b | np.uint64(1))
+            out.append(told[at[recurs[at]]].tobytes())
+        return pa.table({"chunk": rows.column("chunk"), "anchors": pa.array(out, pa.binary())})
+
+    return run
+
+
+def dealt(rows: pa.Table, home: np.ndarray, count: int) -> tuple[np.ndarray, list[bytes]]:
+    """(homes that get rows, their rows packed)."""
+    by = np.argsort(home, kind="stable")
+    rows = rows.take(pa.array(by))
+    cut = np.searchsorted(home[by], np.arange(count + 1))
+    full = np.flatnonzero(np.diff(cut))
+    return full, [pack(rows.slice(cut[s], cut[s + 1] - cut[s])) for s in full]
+
+
+def distinct_texts(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(number of each row's text, the first row of each number), by comparing texts."""
+    number = t["text"].combine_chunks().dictionary_encode().indices.to_numpy()
+    return number, np.unique(number, return_index=True)[1]
 
 
 def send_passages(window: int, anchor: int, shards: int):
-    """A chunk and its recurring anchors -> (shard, chunk, passages): each distinct passage once, with its anchor and the least and largest doc_id."""
+    """A chunk and its recurring anchors -> (shard, chunk, passages): each distinct passage once, with its key (its anchor, or its only window's hash) and the least and largest doc_id."""
 
     def run(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
-        recurring = np.sort(np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in answers.column("anchors")] or [np.zeros(0, np.uint64)]))
+        told = np.sort(np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in answers.column("anchors")] or [np.zeros(0, np.uint64)]))
+        recurring, is_hot = told | np.uint64(1), told & np.uint64(1) == 0
         tables = []
         if len(recurring) and docs.num_rows:
             ids, texts = columns(docs)
             for a, b, w in parts_of(texts):
-                at, _, anc = anchored(w, window, anchor)
+                at, h, anc = anchored(w, window, anchor)
                 anc = anc | np.uint64(1)
-                hit = recurring[np.minimum(np.searchsorted(recurring, anc), len(recurring) - 1)] == anc
-                at, anc = at[hit], anc[hit]
+                k = np.minimum(np.searchsorted(recurring, anc), len(recurring) - 1)
+                hit = recurring[k] == anc
+                at, h, anc, hot = at[hit], h[hit], anc[hit], is_hot[k[hit]]
                 if not len(at):
                     continue
                 of = owner(w, at)
-                new = np.append(True, (at[1:] != at[:-1] + 1) | (anc[1:] != anc[:-1]) | (of[1:] != of[:-1]))
+                new = np.append(True, (at[1:] != at[:-1] + 1) | (anc[1:] != anc[:-1]) | (of[1:] != of[:-1])) | hot
                 start = np.flatnonzero(new)
                 end = np.append(start[1:], len(at)) - 1
-                first, stop = at[start], at[end] + window
-                code = T.run_hashes(w.hash, first, stop, T.WORD_BASE)
-                _, k, lo, hi = grouped_range(code, ids[a:b][of[start]])
                 raw = w.data.tobytes()
-                text = [raw[w.start[x] : w.end[y - 1]] for x, y in zip(first[k].tolist(), stop[k].tolist(), strict=True)]
-                tables.append(pa.table({"code": code[k], "anchor": anc[start][k], "lo": lo, "hi": hi, "text": pa.array(text, pa.binary())}))
+                text = [raw[x:y] for x, y in zip(w.start[at[start]].tolist(), w.end[at[end] + window - 1].tolist(), strict=True)]
+                part = pa.table({"key": np.where(hot, h, anc)[start], "lo": ids[a:b][of[start]], "text": pa.array(text, pa.large_binary())})
+                number, first = distinct_texts(part)
+                _, _, lo, hi = grouped_range(number, part["lo"].to_numpy())
+                tables.append(part.take(pa.array(first)).set_column(1, "lo", pa.array(lo)).append_column("hi", pa.array(hi)))
         if not tables:
             return pa.table({"shard": pa.array([], pa.int64()), "chunk": pa.array([], pa.int64()), "passages": pa.array([], pa.binary())})
         t = pa.concat_tables(tables)
-        _, k, lo, _ = grouped_range(t["code"].to_numpy(), t["lo"].to_numpy())
-        _, _, _, hi = grouped_range(t["code"].to_numpy(), t["hi"].to_numpy())
-        t = t.take(pa.array(k)).select(["anchor", "text"]).append_column("lo", pa.array(lo)).append_column("hi", pa.array(hi))
-        home = (t["anchor"].to_numpy() >> np.uint64(1)) % np.uint64(shards)
-        by = np.lexsort((t["anchor"].to_numpy(), home))
-        t = t.take(pa.array(by))
-        cut = np.searchsorted(home[by], np.arange(shards + 1).astype(np.uint64))
-        full = np.flatnonzero(np.diff(cut))
-        blobs = [pack(t.slice(cut[s], cut[s + 1] - cut[s])) for s in full]
+        number, first = distinct_texts(t)
+        _, _, lo, _ = grouped_range(number, t["lo"].to_numpy())
+        _, _, _, hi = grouped_range(number, t["hi"].to_numpy())
+        t = t.take(pa.array(first)).select(["key", "text"]).append_column("lo", pa.array(lo)).append_column("hi", pa.array(hi))
+        full, blobs = dealt(t, (T.mix(t["key"].to_numpy()) % np.uint64(shards)).astype(np.int64), shards)
         return pa.table({"shard": pa.array(full, pa.int64()), "chunk": pa.array([key[0].as_py()] * len(full), pa.int64()), "passages": pa.array(blobs, pa.binary())})
 
     return run
 
 
-def phrase_batches(anchor: np.ndarray, sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
-    """Ranges of passages, sorted by anchor, of about most windows; an anchor's passages stay together."""
-    edge = np.append(np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1])), len(anchor))
-    for a, b in T.slices(np.add.reduceat(sizes, edge[:-1]) if len(anchor) else sizes, most):
+def key_batches(key: np.ndarray, sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of passages, sorted by key, of about most bytes; a key's passages stay together."""
+    edge = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key))
+    for a, b in T.slices(np.add.reduceat(sizes, edge[:-1]) if len(key) else sizes, most):
         yield edge[a], edge[b]
 
 
-def locate(window: int):
-    """A shard's passages -> (chunk, hashes, firsts): the confirmed phrases located in the chunk, with the first document that has them, where a later one is in the chunk."""
+def confirm(window: int):
+    """A shard's passages -> (chunk, phrases): for each chunk the texts of runs of confirmed windows, and the first document that has them, where a later one is in the chunk."""
 
     def run(rows: pa.Table) -> pa.Table:
         tables = [pa.ipc.open_stream(b.as_buffer()).read_all() for b in rows.column("passages")]
         from_row = np.repeat(np.arange(len(tables)), [t.num_rows for t in tables])
         t = pa.concat_tables(tables)
-        anchor, lo, hi = (t[c].to_numpy() for c in ("anchor", "lo", "hi"))
-        by = np.argsort(anchor, kind="stable")
-        text = t["text"].combine_chunks()
-        text = (pa.concat_arrays(text.chunks) if isinstance(text, pa.ChunkedArray) else text).take(pa.array(by))
-        anchor, lo, hi, from_row = anchor[by], lo[by], hi[by], from_row[by]
-        sizes = np.maximum(1, pc.binary_length(text).to_numpy(zero_copy_only=False) // 8)
-        out: list[list] = [[] for _ in tables]
-        for a, b in phrase_batches(anchor, sizes, PHRASES):
-            # a passage is one document here; the same text may come from several chunks
-            number: dict[bytes, int] = {}
-            passages: dict[bytes, list[int]] = {}
-            for i, raw in enumerate(text.slice(a, b - a).to_pylist(), a):
-                passages.setdefault(b" ".join(raw.split()), []).append(i)
-            known = list(passages)
-            ids = [tuple([number.setdefault(x, len(number)) for x in p.split()]) for p in known]
-            # confirm: windows, word by word, that two documents have
-            span: dict[tuple, tuple[int, int]] = {}
-            for p, seq in zip(known, ids, strict=True):
-                here = passages[p]
-                least, most = int(lo[here].min()), int(hi[here].max())
-                for k in range(len(seq) - window + 1):
-                    s = seq[k : k + window]
-                    have = span.get(s)
-                    span[s] = (least, most) if have is None else (min(least, have[0]), max(most, have[1]))
-            automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-            for s, (least, most) in span.items():
-                if least < most:
-                    automaton.add_word(s, least)
-            if not len(automaton):
-                continue
-            automaton.make_automaton()
-            w = T.words(pa.array(known, pa.binary()))
+        by = np.argsort(t["key"].to_numpy(), kind="stable")
+        from_row, t = from_row[by], t.take(pa.array(by)).combine_chunks()
+        key, lo, hi, text = t["key"].to_numpy(), t["lo"].to_numpy(), t["hi"].to_numpy(), t["text"].combine_chunks()
+        found = []
+        for a, b in key_batches(key, pc.binary_length(text).to_numpy(zero_copy_only=False), CONFIRM):
+            w = T.words(text.slice(a, b - a))
             at, h = T.windows(w, window)
-            cut = np.searchsorted(at, w.doc)
-            for j, (p, seq) in enumerate(zip(known, ids, strict=True)):
-                hits = [(k - window + 1, first) for k, first in automaton.iter(seq)]
-                if hits:
-                    code = h[cut[j] : cut[j + 1]][[k for k, _ in hits]]
-                    first = np.array([f for _, f in hits], np.int64)
-                    for i in passages[p]:
-                        late = first < hi[i]
-                        if late.any():
-                            out[from_row[i]].append((code[late], first[late]))
-        hashes, firsts = [], []
-        for found in out:
-            code = np.concatenate([c for c, _ in found] or [np.zeros(0, np.uint64)])
-            u, k = np.unique(code, return_index=True)
-            hashes.append(u.tobytes())
-            firsts.append(np.concatenate([f for _, f in found] or [np.zeros(0, np.int64)])[k].tobytes())
-        return pa.table({"chunk": rows.column("chunk"), "hashes": pa.array(hashes, pa.binary()), "firsts": pa.array(firsts, pa.binary())})
+            of = owner(w, at) + a
+            group, n = T.exact_groups(h, T.word_numbers(w), at, window)
+            if not n:
+                continue
+            _, _, least, _ = grouped_range(group, lo[of])
+            known = np.unique(group)
+            first = least[np.searchsorted(known, group)]
+            ok = first < hi[of]
+            at, of, first = at[ok], of[ok], first[ok]
+            if not len(at):
+                continue
+            new = np.append(True, (at[1:] != at[:-1] + 1) | (of[1:] != of[:-1]) | (first[1:] != first[:-1]))
+            run_of = np.flatnonzero(new)
+            place = T.places(np.diff(np.append(run_of, len(at))))
+            start = np.flatnonzero(place % PHRASE == 0)  # long runs, as of one word again and again, are cut
+            end = np.append(start[1:], len(at)) - 1
+            raw = w.data.tobytes()
+            phrase = [raw[x:y] for x, y in zip(w.start[at[start]].tolist(), w.end[at[end] + window - 1].tolist(), strict=True)]
+            found.append(pa.table({"row": from_row[of[start]], "first": first[start], "text": pa.array(phrase, pa.large_binary())}))
+        if not found:
+            return pa.table({"chunk": pa.array([], pa.int64()), "phrases": pa.array([], pa.binary())})
+        t = pa.concat_tables(found)
+        full, blobs = dealt(t.select(["first", "text"]), t["row"].to_numpy(), len(tables))
+        return pa.table({"chunk": rows.column("chunk").combine_chunks().take(pa.array(full)), "phrases": pa.array(blobs, pa.binary())})
 
     return run
 
 
+class Shard:
+    """The phrases of a chunk: their words' numbers (0: a word of none), and the automata."""
+
+    def __init__(self, phrases: pa.Table):
+        number, at = distinct_texts(phrases)
+        first = grouped_range(number, phrases["first"].to_numpy())[2]
+        w = T.words(phrases["text"].combine_chunks().take(pa.array(at)))
+        coded = T.word_array(w).dictionary_encode()
+        self.vocabulary = coded.dictionary
+        self.number, self.doc, self.first = coded.indices.to_numpy() + 1, w.doc, first
+        self.longest = int(w.count().max()) if len(first) else 0
+
+    def numbers(self, w: T.Words) -> np.ndarray:
+        return pc.index_in(T.word_array(w), value_set=self.vocabulary).fill_null(-1).to_numpy() + 1
+
+    def automata(self) -> Iterator[ahocorasick.Automaton]:
+        """Automata of at most about WORDS words of phrases each; a hit gives (words, first document)."""
+        for a, b in T.slices(np.diff(self.doc), WORDS):
+            automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+            number, edge = self.number[self.doc[a] : self.doc[b]].tolist(), (self.doc[a : b + 1] - self.doc[a]).tolist()
+            for x, y, first in zip(edge[:-1], edge[1:], self.first[a:b].tolist(), strict=True):
+                phrase = tuple(number[x:y])
+                have = automaton.get(phrase, None)
+                automaton.add_word(phrase, (y - x, first if have is None else min(first, have[1])))
+            automaton.make_automaton()
+            yield automaton
+
+    def mark(self, automaton: ahocorasick.Automaton, numbers: np.ndarray, w: T.Words, ids: np.ndarray, gone: np.ndarray) -> None:
+        """Streams each document whole; the words of hits of phrases that an earlier document has are marked in gone."""
+        spans: list[tuple[int, int]] = []
+        for own, x, y in zip(ids.tolist(), w.doc[:-1].tolist(), w.doc[1:].tolist(), strict=True):
+            for part in range(x, y, STREAM):  # a very long text in overlapping parts
+                begin = max(x, part - self.longest + 1)
+                for end, (size, first) in automaton.iter(tuple(numbers[begin : min(y, part + STREAM)].tolist())):
+                    if first < own:
+                        spans.append((begin + end - size + 1, begin + end + 1))
+        if spans:
+            edge = np.array(spans)
+            change = np.bincount(edge[:, 0], minlength=len(gone) + 1) - np.bincount(edge[:, 1], minlength=len(gone) + 1)
+            gone |= np.cumsum(change[:-1]) > 0
+
+
+def held(texts: pa.Array) -> Callable[[], Iterator[tuple[int, int, T.Words]]]:
+    """parts_of(texts) as often as asked; kept in memory unless the texts are much longer than a chunk is meant to be."""
+    if texts.nbytes > 4 * CHUNK:
+        return lambda: parts_of(texts)
+    kept = list(parts_of(texts))
+    return lambda: iter(kept)
+
+
 def remove(window: int, schema: pa.Schema):
     """A chunk and its phrases -> its rows with kept text, counts and the spans of removed words."""
 
     def run(key: tuple, docs: pa.Table, phrases: pa.Table) -> pa.Table:
-        cat = lambda c, t: np.concatenate([np.frombuffer(x.as_buffer(), t) for x in phrases.column(c)] or [np.zeros(0, t)])
-        code, first = cat("hashes", np.uint64), cat("firsts", np.int64)
-        by = np.argsort(code, kind="stable")
-        code, first = code[by], first[by]
         ids, texts = columns(docs)
+        slices = held(texts)
+        gone = [np.zeros(len(w.hash), bool) for _, _, w in slices()]
+        if phrases.num_rows:
+            shard = Shard(unpack(phrases.column("phrases")))
+            for automaton in shard.automata():
+                for (a, b, w), flat in zip(slices(), gone, strict=True):
+                    shard.mark(automaton, shard.numbers(w), w, ids[a:b], flat)
         kept, n_words, n_removed, spans = [], [], [], []
-        for a, b, w in parts_of(texts):
-            gone = np.zeros(len(w.hash) + 1, np.int32)
-            if len(code):
-                at, h = T.windows(w, window)
-                k = np.minimum(np.searchsorted(code, h), len(code) - 1)
-                at = at[(code[k] == h) & (first[k] < ids[a:b][owner(w, at)])]
-                gone[at] = 1
-                # a word goes if one of the last window words starts a repeat, which lies within its document
-                total = np.concatenate([[0], np.cumsum(gone[:-1])])
-                i = np.arange(len(w.hash))
-                gone[:-1] = total[i + 1] > total[np.maximum(0, i - window + 1)]
+        for (a, b, w), flat in zip(slices(), gone, strict=True):
             raw = w.data.tobytes()
-            flat = gone[:-1] > 0
-            for i in range(b - a):
-                x, y = int(w.doc[i]), int(w.doc[i + 1])
-                out = flat[x:y]
-                n_words.append(y - x)
-                n_removed.append(int(out.sum()))
-                s, e = (raw[w.start[x] : w.end[y - 1]], out) if y > x else (b"", out)
-                if not n_removed[-1]:
-                    kept.append(b" ".join(s.split()))
+            total = np.concatenate([[0], np.cumsum(flat)])
+            n_words += w.count().tolist()
+            n_removed += (total[w.doc[1:]] - total[w.doc[:-1]]).tolist()
+            for x, y, lost in zip(w.doc[:-1].tolist(), w.doc[1:].tolist(), n_removed[a:], strict=True):
+                s = raw[w.start[x] : w.end[y - 1]].split() if y > x else []
+                if not lost:
+                    kept.append(b" ".join(s))
                     spans.append([])
                 else:
-                    kept.append(b" ".join([q for q, r in zip(s.split(), e.tolist(), strict=True) if not r]))
+                    out = flat[x:y]
+                    kept.append(b" ".join([q for q, r in zip(s, out.tolist(), strict=True) if not r]))
                     edge = np.flatnonzero(np.diff(np.concatenate([[0], out.astype(np.int8), [0]])))
                     spans.append(edge.reshape(-1, 2).tolist())
         made = {"n_words": n_words, "n_removed": n_removed, "kept_text": pa.array(kept, pa.binary()).cast(pa.string()), "spans": spans}
@@ -275,7 +318,7 @@ def remove(window: int, schema: pa.Schema):
     return run
 
 
-def remove_repeats(spark: SparkSession, documents: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+def remove_repeats(spark: SparkSession, documents: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, hot: int = HOT) -> DataFrame:
     """(doc_id, rest, n_words, n_removed, kept_text, spans) for each row of documents(doc_id long, text, ...).
 
     rest holds all input columns unchanged; kept_text the words that stay, joined by one space; spans the [first, end) word
@@ -288,17 +331,19 @@ def remove_repeats(spark: SparkSession, documents: DataFrame, window: int = WIND
     from pyspark.sql.pandas.types import to_arrow_schema
 
     parts = partitions(spark)
-    chars = documents.agg(F.sum(F.length("text"))).first()[0] or 0
-    chunks = max(parts, -(-chars // CHUNK_CHARS))
+    size = documents.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    chunks = max(parts, -(-size // CHUNK))
+    # their numbers follow the input, so that one of them doesn't grow with it
+    buckets, shards = max(2 * parts, chunks), max(4 * parts, 2 * chunks)
     rest = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("rest")
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), rest)
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(chunks).cast("long")))
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(chunks).cast("long")))
     docs = rows.select("doc_id", "text", "chunk") if set(documents.columns) <= {"doc_id", "text"} else rows
     slim = docs.groupBy("chunk")
-    sent = slim.applyInArrow(send_anchors(window, anchor, 2 * parts), "bucket long, chunk long, anchors binary")
-    answers = sent.groupBy("bucket").applyInArrow(answer_anchors, "chunk long, anchors binary")
-    passages = slim.cogroup(answers.groupBy("chunk")).applyInArrow(send_passages(window, anchor, 4 * parts), "shard long, chunk long, passages binary")
-    phrases = passages.groupBy("shard").applyInArrow(locate(window), "chunk long, hashes binary, firsts binary")
+    sent = slim.applyInArrow(send_anchors(window, anchor, buckets), "bucket long, chunk long, anchors binary")
+    answers = sent.groupBy("bucket").applyInArrow(answer_anchors(hot), "chunk long, anchors binary")
+    passages = slim.cogroup(answers.groupBy("chunk")).applyInArrow(send_passages(window, anchor, shards), "shard long, chunk long, passages binary")
+    phrases = passages.groupBy("shard").applyInArrow(confirm(window), "chunk long, phrases binary")
     fields = [f for f in docs.schema.fields if f.name in ("doc_id", "rest")]
     schema = Ty.StructType([*fields, *Ty._parse_datatype_string("n_words long, n_removed long, kept_text string, spans array<array<int>>").fields])
     return slim.cogroup(phrases.groupBy("chunk")).applyInArrow(remove(window, to_arrow_schema(schema)), schema)

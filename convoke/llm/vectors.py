@@ -34,9 +34,9 @@ def table_keys(x: np.ndarray, label: np.ndarray) -> np.ndarray:
     rng = np.random.default_rng([SEED, x.shape[1]])
     a, b = rng.standard_normal((x.shape[1], TABLES * PROJECTIONS)), rng.uniform(0, W, TABLES * PROJECTIONS)
     q = np.floor((x @ a + b) / W).astype(np.int64).view(np.uint64).reshape(len(x), TABLES, PROJECTIONS)
-    h = T.mix(label.astype(np.int64).view(np.uint64) * T.BASE + np.uint64(x.shape[1]))[:, None] + np.arange(TABLES, dtype=np.uint64)
+    h = T.mix(label.astype(np.int64).view(np.uint64) * T.JOINT + np.uint64(x.shape[1]))[:, None] + np.arange(TABLES, dtype=np.uint64)
     for k in range(PROJECTIONS):
-        h = T.mix(h ^ (q[:, :, k] + T.BASE))
+        h = T.mix(h ^ (q[:, :, k] + T.JOINT))
     return h
 
 
