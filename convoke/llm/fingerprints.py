@@ -18,17 +18,17 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from convoke.llm import text as T
-from convoke.llm.scratch import partitions
+from convoke.llm.ranges import ordered, ordered_ranges
+from convoke.llm.scratch import Scratch
 
 EXACT, LIKE, RUN = 8, 128, 3
-#: Characters of a bucket of documents, and buckets for each shuffle partition at most.
-BUCKET_CHARS, BUCKETS = 4_000_000, 64
+#: Bytes of text in a range of documents.
+RANGE = 4_000_000
 
 
 class Fingerprint:
@@ -94,36 +94,13 @@ def fingerprints(texts: list[bytes]) -> Iterator[Fingerprint]:
             yield Fingerprint(exact[i], like[i], int.from_bytes(hashlib.blake2b(t, digest_size=8).digest(), "little") if t else 0)
 
 
-def ordered_buckets(spark: SparkSession, documents: DataFrame, chars: int, descending: bool = False) -> DataFrame:
-    """Adds bucket: ranges of doc_id, numbered in order, of about chars characters each, but at most BUCKETS of them for each shuffle partition.
-
-    The bounds are quantiles of doc_id. One number a bucket comes to the driver and goes to the executors, so their number
-    follows the session's shuffle partitions, not the rows. Rows of equal doc_id share a bucket; a null doc_id counts as the
-    smallest.
-    """
-    total = documents.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = min(max(1, -(-total // chars)), BUCKETS * partitions(spark))
-    bounds = documents.where("doc_id is not null").stat.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.25 / n) if n > 1 else []
-    cuts = spark.sparkContext.broadcast(np.unique(np.array(bounds, np.int64)))
-
-    @F.pandas_udf("long")
-    def bucket(ids: pd.Series) -> pd.Series:
-        place = np.searchsorted(cuts.value, ids.fillna(np.iinfo(np.int64).min).to_numpy(np.int64))
-        return pd.Series(len(cuts.value) - place if descending else place)
-
-    return documents.withColumn("bucket", bucket(F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long"))))
-
-
 OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def edit_bucket(key: tuple, rows: pa.Table) -> pa.Table:
-    """A bucket's rows in descending order, with the row that follows its last (halo): each text's fingerprint, and that of its edited text."""
-    rows = rows.sort_by([("ord", "descending"), ("digest", "ascending"), ("halo", "ascending")])
+def edit_range(key: tuple, rows: pa.Table) -> pa.Table:
+    """A range's rows in descending order, with the row that follows its last (halo): each text's fingerprint, and that of its edited text."""
+    rows = rows.sort_by([("halo", "ascending"), ("doc_id", "descending"), ("digest", "descending")])  # nulls come last
     ids, texts, halo = rows["doc_id"].to_pylist(), [t or "" for t in rows["text"].to_pylist()], rows["halo"].to_pylist()
-    # the row after the last document of all is the first, which its own bucket's order would put before
-    order = [i for i, h in enumerate(halo) if not h] + [i for i, h in enumerate(halo) if h]
-    texts = [texts[i] for i in order]
     n = halo.count(False)
     edited = []
     for i in range(n):
@@ -134,7 +111,7 @@ def edit_bucket(key: tuple, rows: pa.Table) -> pa.Table:
     new = list(fingerprints(edited))
     follow = [own[i + 1] if i + 1 < len(own) else own[0] for i in range(n)]
     cols = [
-        [ids[order[i]] for i in range(n)], [len(t) for t in texts[:n]], [hashlib.sha256(e).hexdigest() for e in edited], [f.text() for f in own[:n]], [f.text() for f in new],
+        ids[:n], [len(t) for t in texts[:n]], [hashlib.sha256(e).hexdigest() for e in edited], [f.text() for f in own[:n]], [f.text() for f in new],
         [f.likeness(g) for f, g in zip(own, new, strict=False)], [f.likeness(g) for f, g in zip(own, follow, strict=False)],
     ]
     types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
@@ -144,19 +121,17 @@ def edit_bucket(key: tuple, rows: pa.Table) -> pa.Table:
 def edited_fingerprints(spark: SparkSession, documents: DataFrame) -> DataFrame:
     """For each row of documents(doc_id, text, ...) the fingerprints of its text and of its edited text, whose second half (floor(n / 2) code points) is replaced by the first as many of the next document's in descending doc_id; after the last comes the first.
 
-    A null text is empty; a null doc_id is smaller than all; rows of equal doc_id follow in order of their texts' hashes. A
-    table of one row is its own next. Each range of doc_id is one group, sent with the one row that follows it.
+    A null text is empty; a null doc_id is smaller than all; rows of equal doc_id follow in descending order of their texts'
+    hashes, and equal rows one another. A table of one row is its own next; an empty one gives no rows. Each range of doc_id
+    is one group, sent with the one row that follows it.
     """
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    docs = docs.withColumn("ord", F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long"))).withColumn("digest", F.xxhash64("text"))
-    rows = ordered_buckets(spark, docs, BUCKET_CHARS, descending=True)
-    # the first row of each bucket, in order: its bucket and its place in the order, one short row a bucket
-    heads = rows.groupBy("bucket").agg(F.max(F.struct("ord", F.bitwise_not("digest").alias("d"))).alias("h")).orderBy("bucket").collect()
-    halo = {h["bucket"]: heads[i - 1]["bucket"] for i, h in enumerate(heads)}  # the bucket before, in a ring
-    if heads:
-        first = spark.createDataFrame([(h["bucket"], h["h"]["ord"], ~h["h"]["d"], halo[h["bucket"]]) for h in heads], "bucket long, ord long, digest long, before long")
-        tops = rows.join(F.broadcast(first), ["bucket", "ord", "digest"]).dropDuplicates(["bucket", "ord", "digest"])
-        both = rows.withColumn("halo", F.lit(False)).unionByName(tops.select("doc_id", "text", "ord", "digest", F.col("before").alias("bucket"), F.lit(True).alias("halo")))
-    else:
-        both = rows.withColumn("halo", F.lit(False))
-    return both.groupBy("bucket").applyInArrow(edit_bucket, OUT)
+    scratch = Scratch(spark, "fingerprints")
+    rows = ordered_ranges(spark, ordered(documents), RANGE)
+    # the first row of each range in descending order, which follows the next higher range: one row a range, with its text
+    key = F.struct("doc_id", "digest")  # a null is the smallest
+    first = rows.groupBy("bucket").agg(F.max_by("text", key).alias("text"), F.max(key).alias("k"))
+    first = scratch.write(first.select("bucket", "text", "k.doc_id", "k.digest"), "first")
+    order = first.select("bucket", F.coalesce(F.lead("bucket").over(Window.orderBy("bucket")), F.min("bucket").over(Window.partitionBy())).alias("before"))
+    halo = first.join(order, "bucket").select("doc_id", "text", "digest", F.col("before").alias("bucket"), F.lit(True).alias("halo"))
+    both = rows.select("doc_id", "text", "digest", "bucket", F.lit(False).alias("halo")).unionByName(halo)
+    return both.groupBy("bucket").applyInArrow(edit_range, OUT)

@@ -19,10 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convoke.llm.fingerprints import ordered_buckets
+from convoke.llm.ranges import ordered, ordered_ranges
 from convoke.llm.tokens import encoder
 
-WINDOW, END, BUCKET_CHARS = 4096, 2, 4_000_000
+#: Ids of a window, the end id, bytes of text in a range of documents.
+WINDOW, END, RANGE = 4096, 2, 4_000_000
 #: Penalties of a window that ends at a document's end, at a sentence's end, and elsewhere; ids between cuts of the last kind.
 DOCUMENT, SENTENCE, ELSEWHERE, GAP = 0, 4, 24, 32
 
@@ -111,7 +112,7 @@ OUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, se
 
 def pack_bucket(tokenizer: str, window: int, end: int):
     def run(key: tuple, rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("ord", "ascending"), ("digest", "ascending")])
+        rows = rows.sort_by([("doc_id", "ascending"), ("digest", "ascending")], null_placement="at_start")
         ids, counts = encoder(tokenizer).flat(rows["text"].combine_chunks(), end)
         data, doc_edge = ids.tobytes(), np.concatenate([[0], np.cumsum(counts)])
         is_end = sentence_ends(tokenizer)
@@ -133,10 +134,10 @@ def packed(spark: SparkSession, documents: DataFrame, tokenizer: str, window: in
 
     Documents follow in ascending doc_id (null first; rows of equal doc_id in order of their texts' hashes), each as its ids and
     the end id; a null text is empty. A sequence is as long as its pieces, and is to be padded to window unless its length
-    is a power of two. sequence_id is the range's number times 2^32 plus the sequence's number in it.
+    is a power of two. sequence_id is the range's number times 2^32 plus the sequence's number in it. Equal tables give equal
+    pieces, however they are partitioned; an empty one gives none.
     """
     if window < 1 or window & (window - 1):
         raise ValueError("window is a power of two")
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    docs = docs.withColumn("ord", F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long"))).withColumn("digest", F.xxhash64("text"))
-    return ordered_buckets(spark, docs, BUCKET_CHARS).groupBy("bucket").applyInArrow(pack_bucket(tokenizer, window, end), OUT)
+    rows = ordered_ranges(spark, ordered(documents), RANGE).select("doc_id", "text", "digest", "bucket")
+    return rows.groupBy("bucket").applyInArrow(pack_bucket(tokenizer, window, end), OUT)

@@ -36,6 +36,7 @@ class Table:
 
     @classmethod
     def of(cls, ids: np.ndarray) -> "Table":
+        """Of ids below a few millions, as tokenizers have."""
         symbols, count = np.unique(ids, return_counts=True)
         if not len(symbols):
             return cls(0, symbols.astype(np.uint32), count.astype(np.uint64))
@@ -61,8 +62,10 @@ def encode_blocks(ids: np.ndarray, table: Table) -> list[bytes]:
     if not n:
         return []
     blocks, steps = -(-n // BLOCK), BLOCK // LANES
-    place = np.zeros(blocks * BLOCK, np.int64)
-    place[:n] = np.searchsorted(table.symbols, ids)
+    place = np.zeros(blocks * BLOCK, np.int32)
+    place_of = np.zeros(int(table.symbols[-1]) + 1, np.int32)
+    place_of[table.symbols] = np.arange(len(table.symbols), dtype=np.int32)
+    place[:n] = place_of[ids]
     place = place.reshape(blocks, steps, LANES)
     sizes = np.minimum(BLOCK, n - np.arange(blocks) * BLOCK)
     live = (np.arange(BLOCK) < sizes[:, None]).reshape(blocks, steps, LANES)

@@ -13,15 +13,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from convoke.llm import rans
-from convoke.llm.fingerprints import ordered_buckets
+from convoke.llm.ranges import ordered, ordered_ranges
 from convoke.llm.tokens import encoder
 
-FILE_CHARS, END = 4_000_000, 2
+#: Bytes of text in a file, and the end id.
+FILE, END = 4_000_000, 2
 
 
 def make_file(tokenizer: str, end: int):
     def run(key: tuple, rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("ord", "ascending"), ("digest", "ascending")])
+        rows = rows.sort_by([("doc_id", "ascending"), ("digest", "ascending")], null_placement="at_start")
         ids, counts = encoder(tokenizer).flat(rows["text"].combine_chunks(), end)
         raw = rans.write_file(rows["doc_id"].to_pylist(), counts, ids)
         return pa.table([pa.array([key[0].as_py()], pa.int64()), pa.array([int(counts.sum())], pa.int64()), pa.array([raw], pa.binary())], names=["part", "n_ids", "file"])
@@ -32,11 +33,11 @@ def make_file(tokenizer: str, end: int):
 def write_files(spark: SparkSession, documents: DataFrame, path: str, tokenizer: str, end: int = END) -> None:
     """Writes the ids of documents(doc_id, text, ...), in ascending doc_id, each with the end id, as files under path.
 
-    Null texts are empty; a null doc_id comes first; rows of equal doc_id follow in order of their texts' hashes.
+    Null texts are empty; a null doc_id comes first; rows of equal doc_id follow in order of their texts' hashes. A text that holds
+    a special token's string has that token's id there, as the plain call of the library gives it.
     """
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    docs = docs.withColumn("ord", F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long"))).withColumn("digest", F.xxhash64("text"))
-    files = ordered_buckets(spark, docs, FILE_CHARS).groupBy("bucket").applyInArrow(make_file(tokenizer, end), "part long, n_ids long, file binary")
+    rows = ordered_ranges(spark, ordered(documents), FILE).select("doc_id", "text", "digest", "bucket")
+    files = rows.groupBy("bucket").applyInArrow(make_file(tokenizer, end), "part long, n_ids long, file binary")
     files.write.mode("overwrite").option("compression", "uncompressed").parquet(path)
 
 

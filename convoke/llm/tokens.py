@@ -5,8 +5,8 @@ that are not blank, nor the place after a newline, nor that between a Latin lett
 the whole text are those of its pieces, one after another. Arrow finds the distinct pieces of many texts, parts them from their
 punctuation and puts the ids together; pieces that are new, in lower case if the tokenizer ignores case, are encoded by the
 library many at a time, as one text in which a control character that none of them has stands between them, and its id parts
-them again. Texts with other blanks are cut by a pattern instead. Special tokens' strings are ordinary text. The cache lives as
-long as its Python worker.
+them again. Texts with other blanks are cut by a pattern instead. A special token's string in a text is that token, as the library has it
+unless told otherwise; texts that may hold one are given to the library whole. The cache lives as long as its Python worker.
 """
 
 import re
@@ -59,7 +59,8 @@ def edges(size: np.ndarray) -> np.ndarray:
 class Encoder:
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: A part without letters, which no folding of case changes, of each special token's string.
+        self.special = list({max(re.split(r"[^\W\d_]+", t.content), key=len) or t.content for t in self.tokenizer.get_added_tokens_decoder().values()})
         self.vocabulary = self.tokenizer.get_vocab()
         *self.lead, self.mark = self.ids(f" {MARK}").tolist()
         self.folds = np.array_equal(self.ids(" A"), self.ids(" a"))
@@ -74,14 +75,17 @@ class Encoder:
 
     def numbers(self, keys: list[str]) -> np.ndarray:
         """The numbers of distinct keys, -1 for those that aren't regular."""
-        new = [k for k in keys if k not in self.known and regular(k)]
+        out = np.fromiter(map(self.known.get, keys, repeat(-1)), np.int64, len(keys))
+        new = [i for i in np.flatnonzero(out < 0).tolist() if regular(keys[i])]
         if len(self.known) + len(new) > CACHE:  # what came first is the most frequent
             self.known = dict(islice(self.known.items(), CACHE // 2))
             self.edge = self.edge[: len(self.known) + 1]
             self.kept = self.kept[: self.edge[-1]]
-            new = [k for k in keys if k not in self.known and regular(k)]
-        self.learn(new)
-        return np.fromiter(map(self.known.get, keys, repeat(-1)), np.int64, len(keys))
+            out[out >= len(self.known)] = -1
+            new = [i for i in np.flatnonzero(out < 0).tolist() if regular(keys[i])]
+        out[new] = len(self.known) + np.arange(len(new))
+        self.learn([keys[i] for i in new])
+        return out
 
     def learn(self, new: list[str]) -> None:
         extra = len(self.lead)
@@ -138,9 +142,12 @@ class Encoder:
                 self.other[piece] = found
         return found
 
+    def may_hold_special(self, text: str) -> bool:
+        return any(s in text for s in self.special)
+
     def whole(self, texts: list[str]) -> list[bytes]:
-        """Ids of texts with other blanks, or with what isn't kept, piece by piece."""
-        cut = [CUT.split(t) for t in texts]
+        """Ids of texts with other blanks, or with what isn't kept, piece by piece; of texts that may hold a special token, at once."""
+        cut = [[t] if self.may_hold_special(t) else CUT.split(t) for t in texts]
         keys = list({p[1:] if p[0] == " " else p for pieces in cut for p in pieces[1:]})
         ids, edge, ok = self.table(pa.array(keys, pa.large_string()))
         data, edge = ids.tobytes(), (4 * edge).tolist()
@@ -169,6 +176,8 @@ class Encoder:
         ids, edge, ok = self.table(coded.dictionary)
         of = coded.indices.to_numpy()
         odd = np.logical_or.reduceat(~ok[of], np.cumsum(n) - n)
+        for s in self.special:
+            odd |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
         other = np.flatnonzero(odd)
         raw = [*self.whole(strings(texts.take(pa.array(other)))), *([] if end is None else [np.array([end], "<u4").tobytes()])]
         size = np.concatenate([np.diff(edge), np.array([len(p) // 4 for p in raw], np.int64)])
