@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from convoke.llm import text as T
 
-DIM, GRAM, SLICE = 1024, 3, 1_000_000
+#: Signs of a vector, letters of an n-gram, characters of texts in hand at a time (a short text counts as SHORT), n-grams whose vectors are.
+DIM, GRAM, SLICE, SHORT, BLOCK = 1024, 3, 1_000_000, 256, 8192
 #: floors(): sizes for each doubling of the n-grams, and how many in all; texts that a size needs; the quantile of their scores, and the part of it that is the floor.
 SIZES_EACH, SIZES, ENOUGH, LOW, PART = 2, 64, 20, 0.01, 0.6
 UND = "und"
@@ -39,7 +40,7 @@ def letter_vectors(points: np.ndarray) -> np.ndarray:
 
 
 class Grams:
-    """n-grams of a run of texts: the distinct ones' vectors, and for each text which it has, how often."""
+    """n-grams of a run of texts: for each text which it has, how often. Vectors are made for BLOCK distinct ones at a time, whatever the script."""
 
     def __init__(self, texts: list[str]):
         parts = [np.frombuffer(t.lower().encode("utf-32-le", "replace"), np.uint32) for t in texts]
@@ -66,31 +67,45 @@ class Grams:
         cut = np.searchsorted(of, np.arange(len(parts) + 1))
         self.own = [np.unique(gram[a:b], return_counts=True) for a, b in zip(cut[:-1], cut[1:], strict=True)]
         self.grams = np.unique(np.concatenate([g for g, _ in self.own])) if self.own else gram
-        v = np.ones((len(self.grams), DIM), np.int8)
-        base = letter_vectors(self.alphabet) if size else np.ones((1, DIM), np.int8)
-        rest = self.grams
-        for k in range(GRAM):
-            v *= np.roll(base, k, axis=1)[rest % max(1, size)]
-            rest = rest // max(1, size)
-        self.vectors = v
+        self.base = letter_vectors(self.alphabet) if size else np.ones((1, DIM), np.int8)
         self.has_letter = np.array([len(g) > 0 for g, _ in self.own], bool)
 
-    def bundle(self, i: int) -> np.ndarray:
-        g, c = self.own[i]
-        return c.astype(np.float32) @ self.vectors[np.searchsorted(self.grams, g)].astype(np.float32)
+    def vectors(self, a: int, b: int) -> np.ndarray:
+        """The vectors of the distinct n-grams number a to b."""
+        rest, size = self.grams[a:b], max(1, len(self.alphabet))
+        v = np.ones((len(rest), DIM), np.int8)
+        for k in range(GRAM):
+            v *= np.roll(self.base, k, axis=1)[rest % size]
+            rest = rest // size
+        return v.astype(np.float32)
+
+    def bundles(self) -> np.ndarray:
+        """The vector of each text."""
+        out = np.zeros((len(self.own), DIM), np.float32)
+        for a in range(0, len(self.grams), BLOCK):
+            v = self.vectors(a, a + BLOCK)
+            lowest, highest = self.grams[a], self.grams[min(a + BLOCK, len(self.grams)) - 1]
+            for i, (g, c) in enumerate(self.own):
+                x, y = np.searchsorted(g, lowest), np.searchsorted(g, highest, side="right")
+                if x < y:
+                    out[i] += c[x:y].astype(np.float32) @ v[np.searchsorted(self.grams[a : a + BLOCK], g[x:y])]
+        return out
 
     def bundle_all(self, which: list[int]) -> np.ndarray:
         total = np.zeros(len(self.grams), np.int64)
         for i in which:
             g, c = self.own[i]
             total[np.searchsorted(self.grams, g)] += c
-        return np.rint(total.astype(np.float64) @ self.vectors).astype(np.int64)
+        out = np.zeros(DIM, np.float64)
+        for a in range(0, len(self.grams), BLOCK):
+            out += total[a : a + BLOCK].astype(np.float64) @ self.vectors(a, a + BLOCK)
+        return np.rint(out).astype(np.int64)
 
 
 def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Grams]]:
     for batch in batches:
         texts = [t or "" for t in batch.column("text").to_pylist()]
-        for a, b in T.slices(np.array([len(t) for t in texts], np.int64), SLICE):
+        for a, b in T.slices(np.array([max(SHORT, len(t)) for t in texts], np.int64), SLICE):
             yield batch.slice(a, b - a), Grams(texts[a:b])
 
 
@@ -111,13 +126,13 @@ def predict(shared, sized: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, unit = shared.value
         for batch, grams in sliced(batches):
-            lang, score = [], []
+            lang, score, bundles = [], [], grams.bundles()
             for i in range(batch.num_rows):
                 if not grams.has_letter[i] or not names:
                     lang.append(UND)
                     score.append(0.0)
                     continue
-                v = grams.bundle(i)
+                v = bundles[i]
                 cos = unit @ v / max(float(np.linalg.norm(v)), 1e-9)
                 k = int(np.argmax(cos))
                 lang.append(names[k])

@@ -32,7 +32,7 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 WORDS = "list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
 MARKS = "length(coalesce(text, '')) - length(translate(coalesce(text, ''), ',.;:!?', ''))"
-SQL["op2_token_counts"] = f"""
+SQL["word_counts"] = f"""
 with d as (select *, length(coalesce(text, '')) as chars, len({WORDS}) as v1,
     {MARKS} + len({WORDS.replace("coalesce(text, '')", "translate(coalesce(text, ''), ',.;:!?', '      ')")}) as v2 from documents),
 r as (select source, lang, 'words_v1' as tokenizer_version, chars, v1 as tokens from d where doc_id % 10 not in (3, 7)
@@ -41,19 +41,30 @@ select source, lang, tokenizer_version, count(*) as n_docs, sum(chars)::bigint a
 """
 
 
-@query
-def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents are inserted; then those whose id ends in 3 are deleted, and those that end in 7 are counted anew by words_v2; that second batch is committed twice."""
-    docs = documents(spark, sf_dir)
-    rollup = counts.Rollup(spark, Scratch(spark, "counts").base)
-    rollup.commit("load", counts.delta(inserts=counts.counted(docs, "words_v1")))
-    revised = docs.where("doc_id % 10 = 7")
-    change = counts.delta(inserts=counts.counted(revised, "words_v2"), deletes=counts.counted(docs.where("doc_id % 10 in (3, 7)"), "words_v1"))
+def revised_counts(spark: SparkSession, docs: DataFrame, one: tuple, two: tuple) -> DataFrame:
+    """All documents are inserted, counted by version one; then those whose id ends in 3 are deleted, and those that end in 7 are counted anew by version two; that second batch is committed twice, and a snapshot made between."""
+    rollup = counts.Rollup(spark, f"{Scratch(spark, 'counts').base}/rollup")
+    rollup.commit("load", counts.delta(inserts=counts.counted(docs, *one)))
+    change = counts.delta(inserts=counts.counted(docs.where("doc_id % 10 = 7"), *two), deletes=counts.counted(docs.where("doc_id % 10 in (3, 7)"), *one))
     for _ in range(2):
         rollup.commit("revision", change)
+        rollup.compact()
     return rollup.totals()
 
 
+@query
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts by two public tokenizers: see revised_counts."""
+    versions = [(name, public_tokenizers.path(f"{name}.json")) for name in ("byte_bpe_50k", "word_bpe_49k")]
+    return revised_counts(spark, documents(spark, sf_dir), *versions)
+
+
+@query
+def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rollup by two versions of words, which SQL can count: see revised_counts."""
+    return revised_counts(spark, documents(spark, sf_dir), ("words_v1",), ("words_v2",))
+
+
 @query
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(spark, documents(spark, sf_dir))

@@ -20,6 +20,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,8 @@ from pyspark.sql import functions as F
 
 BLANK = "▁"
 SEGMENTS = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
-CACHE, ARCS = 500_000, 1_000_000
+#: Bytes that the kept segments take (each counts KEEP more than its text and ids), and arcs that are kept.
+CACHE, KEEP, ARCS = 48 << 20, 200, 400_000
 NONE: dict = {}
 
 
@@ -93,6 +95,7 @@ class Transducer:
         self.arcs: dict[int, dict[int, bool]] = {}
         self.arc_count = 0
         self.known: dict[str, bytes] = {}
+        self.held = 0
 
     def merge(self, text: str) -> list[str]:
         """BPE by its definition: the neighbours whose union scores best, the leftmost of them, merge first."""
@@ -190,8 +193,9 @@ class Transducer:
         """Ids as little-endian unsigned 32-bit integers; none for a null or empty text."""
         if not text:
             return b""
-        if len(self.known) >= CACHE:
-            self.known.clear()
+        if self.held >= CACHE:  # what came first is the most frequent
+            self.known = dict(islice(self.known.items(), len(self.known) // 2))
+            self.held = sum(2 * len(s) + len(ids) + KEEP for s, ids in self.known.items())
         out = []
         for s in SEGMENTS.findall(BLANK + text.replace(" ", BLANK)):
             ids = self.known.get(s)
@@ -199,6 +203,7 @@ class Transducer:
                 ids = self.segment_ids(s)
                 if len(s) <= 64:
                     self.known[s] = ids
+                    self.held += 2 * len(s) + len(ids) + KEEP
             out.append(ids)
         return b"".join(out)
 
@@ -224,7 +229,10 @@ def transducer(path: str) -> Transducer:
 
 
 def encoded(documents: DataFrame, model: str) -> DataFrame:
-    """(doc_id, ids): ids as little-endian unsigned 32-bit integers, for each row of documents(doc_id, text, ...)."""
+    """(doc_id, ids): ids as little-endian unsigned 32-bit integers, for each row of documents(doc_id, text, ...).
+
+    A null or empty text has no ids. Rows of equal or null doc_id are each encoded and keep their doc_id; an empty table gives no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = transducer(model).encode

@@ -5,7 +5,8 @@ for k in 1..PROJECTIONS, with normal a_k; vectors with an equal key share a buck
 precision. At cosine 0.98 (distance 0.2) a pair shares a key in one table with probability 0.21, in some of 48 with 0.99999.
 
 A pair counts in the first table in which it collides, so each vector's links are summed from the buckets without listing
-pairs. A bucket of more than BLOCK vectors is compared in blocks of it, each pair of blocks on its own; of the links found there a
+pairs. A vector goes only to its buckets that hold others too, as it was given (floats stay floats) and with the keys of such
+buckets in earlier tables. A bucket of more than BLOCK vectors is compared in blocks of it, each pair of blocks on its own; of the links found there a
 spanning forest goes on. A group of copies thus costs rows in proportion to its size times its number of blocks.
 """
 
@@ -13,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +23,8 @@ from convoke.llm.components import components
 from convoke.llm.scratch import Scratch, partitions
 
 COSINE, TABLES, PROJECTIONS, W, BLOCK, SEED = 0.98, 48, 8, 0.9, 1024, 11
+#: Places of vectors in buckets that one group of rows compares, on average.
+TASK = 20_000
 
 
 def unit(rows: list) -> np.ndarray:
@@ -34,14 +38,14 @@ def table_keys(x: np.ndarray, label: np.ndarray) -> np.ndarray:
     rng = np.random.default_rng([SEED, x.shape[1]])
     a, b = rng.standard_normal((x.shape[1], TABLES * PROJECTIONS)), rng.uniform(0, W, TABLES * PROJECTIONS)
     q = np.floor((x @ a + b) / W).astype(np.int64).view(np.uint64).reshape(len(x), TABLES, PROJECTIONS)
-    h = T.mix(label.astype(np.int64).view(np.uint64) * T.JOINT + np.uint64(x.shape[1]))[:, None] + np.arange(TABLES, dtype=np.uint64)
+    h = T.mix(label.astype(np.int64).view(np.uint64) * T.JOINT + np.uint64(x.shape[1]))[:, None] + T.mix(np.arange(1, TABLES + 1, dtype=np.uint64))
     for k in range(PROJECTIONS):
         h = T.mix(h ^ (q[:, :, k] + T.JOINT))
     return h
 
 
 def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(rep, label, copies, embedding) -> with keys (all tables', packed) and key (one array)."""
+    """(rep, label, embedding) -> (rep, key): the keys of all tables."""
     for batch in batches:
         vectors, label = batch.column("embedding").to_pylist(), batch.column("label").to_numpy()
         lengths = np.array([len(v) for v in vectors])
@@ -49,8 +53,18 @@ def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for n in np.unique(lengths):
             at = np.flatnonzero(lengths == n)
             keys[at] = table_keys(unit([vectors[i] for i in at]), label[at])
-        packed = [k.tobytes() for k in keys]
-        yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("copies"), batch.column("embedding"), pa.array(packed, pa.binary()), pa.array(keys.view(np.int64).tolist(), pa.list_(pa.int64()))], names=["rep", "copies", "embedding", "keys", "key"])
+        yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(keys.view(np.int64).tolist(), pa.list_(pa.int64()))], names=["rep", "key"])
+
+
+def met_before(earlier: pa.Array) -> Iterator[np.ndarray]:
+    """The rows that have an earlier key in common, for each such key."""
+    key, row = earlier.flatten().to_numpy(), np.repeat(np.arange(len(earlier)), pa.compute.list_value_length(earlier).to_numpy())
+    by = np.argsort(key, kind="stable")
+    key, row = key[by], row[by]
+    edge = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key)) if len(key) else np.zeros(1, np.int64)
+    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        if b - a > 1:
+            yield row[a:b]
 
 
 def forest(linked: np.ndarray) -> list[tuple[int, int]]:
@@ -73,24 +87,24 @@ def compare(cosine: float):
     """Rows of several blocks -> (rep, links) partial sums, and edges (rep, other) with links 0."""
 
     def run(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("t", "ascending"), ("k", "ascending"), ("lo", "ascending"), ("hi", "ascending"), ("rep", "ascending")])
-        t, k, lo, hi, block, rep, copies = (rows[c].to_numpy() for c in ("t", "k", "lo", "hi", "block", "rep", "copies"))
-        new = np.ones(len(t), bool)
-        new[1:] = (t[1:] != t[:-1]) | (k[1:] != k[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
-        edge = np.append(np.flatnonzero(new), len(t))
+        rows = rows.sort_by([("k", "ascending"), ("lo", "ascending"), ("hi", "ascending"), ("rep", "ascending")]).combine_chunks()
+        k, lo, hi, block, rep, copies = (rows[c].to_numpy() for c in ("k", "lo", "hi", "block", "rep", "copies"))
+        new = np.ones(len(k), bool)
+        new[1:] = (k[1:] != k[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
+        edge = np.append(np.flatnonzero(new), len(k))
         ids, links, others = [], [], []
         for a, b in zip(edge[:-1], edge[1:], strict=True):
             if b - a < 2:
                 continue
             part = rows.slice(a, b - a)
             x = unit(part["embedding"].to_pylist())
-            keys = np.frombuffer(b"".join(part["keys"].to_pylist()), np.uint64).reshape(b - a, TABLES)
             near = x @ x.T >= cosine
             np.fill_diagonal(near, False)
             if lo[a] != hi[a]:  # two blocks: only pairs between them
                 near &= block[a:b][:, None] != block[a:b][None, :]
-            for e in range(int(t[a])):
-                near &= keys[:, e][:, None] != keys[:, e][None, :]
+            if near.any():
+                for same in met_before(part["earlier"].combine_chunks()):
+                    near[np.ix_(same, same)] = False
             c = near @ copies[a:b]
             hit = np.flatnonzero(c)
             ids += rep[a:b][hit].tolist()
@@ -113,7 +127,9 @@ def near_vectors(spark: SparkSession, vectors: DataFrame, cosine: float = COSINE
     own under one id. A row with a null vec_id has a null component and isn't kept.
     """
     scratch = Scratch(spark, "vectors")
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
+    kind = vectors.schema["embedding"].dataType.simpleString()
+    given = F.col("embedding").cast(kind if kind == "array<float>" else "array<double>").alias("embedding")
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), given)
     e = F.col("embedding")
     odd = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     good = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size(e) > 0) & ~F.exists(e, odd) & F.exists(e, lambda x: x != 0), F.lit(False))
@@ -123,17 +139,19 @@ def near_vectors(spark: SparkSession, vectors: DataFrame, cosine: float = COSINE
     repeat = not reps.groupBy("rep").agg(F.count("*").alias("c")).where("c > 1").isEmpty()
     if repeat:  # representatives are numbered, and their numbers stand for vec_id until the end
         reps = scratch.write(reps.withColumnRenamed("rep", "least_id").withColumn("rep", F.monotonically_increasing_id()), "numbered")
-    made = reps.select("rep", "label", "copies", "embedding").mapInArrow(keyed, "rep long, copies long, embedding array<double>, keys binary, key array<long>")
-    made = scratch.write(made, "keys")
-    spots = made.select("rep", F.posexplode("key").alias("t", "k"))
-    sizes = spots.groupBy("t", "k").agg(F.count("*").alias("c")).where("c > 1")
-    blocks = F.ceil(F.col("c") / BLOCK)
-    placed = spots.join(sizes, ["t", "k"]).select("rep", "t", "k", blocks.alias("n"), F.pmod(F.xxhash64("rep"), blocks).alias("block"))
-    met = placed.select("rep", "t", "k", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("o"))
-    met = met.select("rep", "t", "k", "block", F.least("block", "o").alias("lo"), F.greatest("block", "o").alias("hi"))
-    full = met.join(made.select("rep", "copies", "embedding", "keys"), "rep")
-    task = F.pmod(F.xxhash64("t", "k", "lo", "hi"), F.lit(4 * partitions(spark)))
-    found = full.withColumn("task", task).groupBy("task").applyInArrow(compare(cosine), "rep long, links long, other long")
+    made = scratch.write(reps.select("rep", "label", "embedding").mapInArrow(keyed, "rep long, key array<long>"), "keys")
+    spots = made.select("rep", F.posexplode("key").alias("t", "k"))  # a key is mixed with its table's number
+    sizes = spots.groupBy("k").agg(F.count("*").alias("c")).where("c > 1")
+    placed = scratch.write(spots.join(sizes, "k").select("rep", "t", "k", F.ceil(F.col("c") / BLOCK).alias("n")), "placed")
+    own = placed.groupBy("rep").agg(F.collect_list(F.struct("t", "k", "n")).alias("places"))  # TABLES of them at most
+    spread = own.join(reps.select("rep", "copies", "embedding"), "rep").select("*", F.explode("places").alias("p"))
+    earlier = F.transform(F.filter("places", lambda x: x["t"] < F.col("p")["t"]), lambda x: x["k"])
+    block = F.pmod(F.xxhash64("rep"), F.col("p")["n"])
+    met = spread.select("rep", "copies", "embedding", F.col("p")["k"].alias("k"), earlier.alias("earlier"), block.alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("p")["n"] - 1)).alias("o"))
+    met = met.select("rep", "copies", "embedding", "k", "earlier", "block", F.least("block", "o").alias("lo"), F.greatest("block", "o").alias("hi"))
+    tasks = max(4 * partitions(spark), -(-placed.count() // TASK))
+    task = F.pmod(F.xxhash64("k", "lo", "hi"), F.lit(tasks).cast("long"))
+    found = met.withColumn("task", task).groupBy("task").applyInArrow(compare(cosine), "rep long, links long, other long")
     found = scratch.write(found, "found")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     roots = components(scratch, found.where("rep <> other").select(F.col("rep").alias("a"), F.col("other").alias("b")), "roots")

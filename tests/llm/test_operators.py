@@ -147,17 +147,51 @@ def test_components(spark):
 
 
 def test_counts(spark, docs, empty, sf_dir):
-    assert compare.difference(spark, compare.connect(sf_dir), sf_dir, queries.QUERIES["op2_token_counts"], queries.SQL["op2_token_counts"]) == ""
+    assert compare.difference(spark, compare.connect(sf_dir), sf_dir, queries.QUERIES["word_counts"], queries.SQL["word_counts"]) == ""
     roll = counts.Rollup(spark, Scratch(spark, "counts").base)
-    assert roll.totals().count() == 0
-    one = counts.counted(docs, "words_v1")
+    assert roll.totals().count() == 0 and not roll.compact()
+    one = counts.counted(docs.unionByName(docs), "words_v1")  # repeated rows count as often
     assert roll.commit("a", counts.delta(inserts=one)) and not roll.commit("a", counts.delta(inserts=one))
     total = roll.totals().first()
-    assert total["n_tokens"] == one.agg(F.sum("n_tokens")).first()[0] and total["n_docs"] == docs.count()
+    assert total["n_tokens"] == one.agg(F.sum("n_tokens")).first()[0] and total["n_docs"] == 2 * docs.count()
+    assert roll.compact() and not roll.compact() and roll.totals().collect() == [total]
     roll.commit("b", counts.delta(deletes=one))
     assert roll.totals().count() == 0 and roll.committed() == ["a", "b"]
     roll.commit("c", counts.delta(inserts=counts.counted(empty, "words_v2")))
-    assert roll.totals().count() == 0
+    assert roll.compact() and roll.totals().count() == 0
+
+
+def test_counts_of_tokens(spark, sf_dir):
+    """Against the library, by document."""
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = [(r["doc_id"], r["text"], r["source"], r["lang"]) for r in table.collect()]
+    expected = {}
+    for version, of in (("byte_bpe_50k", lambda i: i % 10 not in (3, 7)), ("word_bpe_49k", lambda i: i % 10 == 7)):
+        t = Tokenizer.from_file(public_tokenizers.path(f"{version}.json"))
+        for i, text, source, lang in rows:
+            if of(i):
+                have = expected.setdefault((source, lang, version), [0, 0, 0])
+                for k, n in enumerate((1, len(text or ""), len(t.encode(text or "", add_special_tokens=False).ids))):
+                    have[k] += n
+    out = queries.QUERIES["op2_token_counts"](spark, sf_dir).collect()
+    assert {(r["source"], r["lang"], r["tokenizer_version"]): [r["n_docs"], r["n_chars"], r["n_tokens"]] for r in out} == expected
+    odd = spark.createDataFrame([(None, None, None, None), (1, "<|endoftext|>", "s", None), (1, "", "s", None)], "doc_id long, text string, source string, lang string")
+    got = counts.counted(odd, "v", public_tokenizers.path("byte_bpe_50k.json")).collect()
+    assert sorted((r["doc_id"] or 0, r["n_docs"], r["n_chars"], r["n_tokens"]) for r in got) == [(0, 1, 0, 0), (1, 1, 0, 0), (1, 1, 13, 1)]
+
+
+def test_counts_of_two_writers(spark, docs):
+    """Both write the same id; the one that publishes first wins, and the other's delta is hidden."""
+    roll = counts.Rollup(spark, Scratch(spark, "counts").base)
+    one = counts.delta(inserts=counts.counted(docs, "words_v1"))
+    one.write.parquet(f"{roll.path}/batch=a/_attempt-late")
+    assert roll.committed() == [] and roll.totals().count() == 0  # an attempt that isn't published, as of a lost driver
+    assert roll.commit("a", one)
+    total = roll.totals().collect()
+    exists, roll.fs = roll.fs, type("Unaware", (), {"exists": lambda _, p: False, "rename": lambda _, a, b: exists.rename(a, b)})()
+    roll._publish("batch=a", "_attempt-late")  # does not see that it comes second
+    roll.fs = exists
+    assert roll.committed() == ["a"] and roll.totals().collect() == total
 
 
 def test_fingerprints(spark, docs, rows, empty):
@@ -249,6 +283,26 @@ def test_vectors(spark):
     assert out[None]["component_id"] is None and not out[None]["kept"] and len(out) == len(rows) + len(odd)
 
 
+def test_vectors_recall_near_the_bound(spark):
+    """Planted pairs with cosines from 0.97 to 0.99, and a dense family: every link of brute force is found, and no other."""
+    rng = np.random.default_rng(12)
+    base = rng.standard_normal((700, 32))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    side = rng.standard_normal((700, 32))
+    side -= (side * base).sum(1, keepdims=True) * base
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    cos = rng.uniform(0.97, 0.99, (700, 1))
+    family = base[0] + rng.standard_normal((300, 32)) * 0.025
+    x = np.concatenate([base, cos * base + np.sqrt(1 - cos**2) * side, family]).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(c) for c in v], 1) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    unit = vectors.unit(x.tolist())
+    near = unit @ unit.T >= 0.98
+    np.fill_diagonal(near, False)
+    out = {r["vec_id"]: r["n_links"] for r in vectors.near_vectors(spark, df).collect()}
+    found = np.array([out[i] for i in range(len(x))])
+    assert (found <= near.sum(1)).all() and found.sum() >= 0.9999 * near.sum() and near[:1400, :1400].sum() > 500
+
+
 def test_different_vectors_of_one_id(spark):
     rng = np.random.default_rng(8)
     a, b, c = rng.standard_normal((3, 16))
