@@ -3,7 +3,7 @@
 The ids' span is cut into equal cells, ROWS documents each on average. One aggregation gives the cells' sizes, and their
 running total in order gives each cell its range. A cell that is larger than a range - a repeated id, no id, or ids that lie
 close together - is cut again, into SUB parts a range's size: by id between its least and largest, or, of one id, by the hash
-of the texts. Documents are joined with the table of cells, which Spark broadcasts while it is small; nothing comes to
+of the texts; and so on while there are such cells. Documents are joined with the table of cells, which Spark broadcasts while it is small; nothing comes to
 the driver but the span. Neither the order of rows nor their partitioning changes a range.
 """
 
@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from convoke.llm.scratch import Scratch
 
-#: Documents of a cell on average, parts of a large cell for each range it fills, cells whose running total one task sorts.
-ROWS, SUB, RUN = 64, 16, 4096
+#: Documents of a cell on average, parts of a large cell for each range it fills, cells whose running total one task sorts, times a cell is cut at most.
+ROWS, SUB, RUN, LEVELS = 64, 16, 4096, 8
 
 
 def ordered(documents: DataFrame) -> DataFrame:
@@ -28,13 +28,13 @@ def part(value: Column, low: Column, span: Column, count: Column) -> Column:
     return F.greatest(F.lit(0).cast("long"), F.least(count.cast("long") - 1, F.floor(share)))
 
 
-def running(cells: DataFrame, keys: list[str], size: int) -> DataFrame:
-    """Adds bucket: the bytes of all cells before, in order of the keys, in units of size. A task sorts RUN cells; their sums are added up after."""
-    cells = cells.withColumn("run", F.floor(F.col("cell") / RUN))
+def running(cells: DataFrame, path: list[str], size: int) -> DataFrame:
+    """(path, bucket): the bytes of all cells before, in order of the path, in units of size. A task sorts the cells of RUN first-level ones; their sums are added up after."""
+    cells = cells.withColumn("run", F.floor(F.col(path[0]) / RUN))
     runs = cells.groupBy("run").agg(F.sum("bytes").alias("b"))
     runs = runs.select("run", (F.sum("b").over(Window.orderBy("run")) - F.col("b")).alias("base"))
-    own = F.sum("bytes").over(Window.partitionBy("run").orderBy(*keys)) - F.col("bytes")
-    return cells.withColumn("own", own).join(runs, "run").withColumn("bucket", F.floor((F.col("base") + F.col("own")) / size)).drop("run", "own", "base")
+    own = F.sum("bytes").over(Window.partitionBy("run").orderBy(*path)) - F.col("bytes")
+    return cells.withColumn("own", own).join(runs, "run").select(*path, F.floor((F.col("base") + F.col("own")) / size).alias("bucket"))
 
 
 def ordered_ranges(spark: SparkSession, documents: DataFrame, size: int) -> DataFrame:
@@ -46,19 +46,23 @@ def ordered_ranges(spark: SparkSession, documents: DataFrame, size: int) -> Data
     known = documents.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("doc_id").alias("rows")).first()
     n = max(1, known["rows"] // ROWS)
     low, high = float(known["low"] or 0), float(known["high"] or 0)
-    cell = F.when(F.col("doc_id").isNull(), F.lit(-1).cast("long")).otherwise(part(F.col("doc_id"), F.lit(low), F.lit(high - low), F.lit(n)))
-    rows = documents.withColumn("cell", cell)
-    weight = (F.octet_length("text") + 1).cast("long")
-    cells = rows.groupBy("cell").agg(F.sum(weight).alias("bytes"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
-    cells = scratch.write(cells, "cells")
-    large = cells.where(F.col("bytes") > size)
-    if large.isEmpty():
-        return rows.join(scratch.write(running(cells, ["cell"], size).select("cell", "bucket"), "ranges"), "cell").drop("cell")
-    count = F.ceil(F.col("bytes") / size) * SUB
-    rows = rows.join(large.select("cell", "least", "most", count.alias("count")), "cell", "left")
-    by_id = part(F.col("doc_id"), F.col("least").cast("double"), F.col("most").cast("double") - F.col("least"), F.col("count"))
-    by_text = part(F.col("digest"), F.lit(-(2.0**63)), F.lit(2.0**64), F.col("count"))
-    sub = F.when(F.col("count").isNull(), F.lit(0).cast("long")).otherwise(F.when(F.col("least") < F.col("most"), by_id).otherwise(by_text))
-    rows = rows.withColumn("sub", sub).drop("least", "most", "count")
-    cells = running(rows.groupBy("cell", "sub").agg(F.sum(weight).alias("bytes")), ["cell", "sub"], size)
-    return rows.join(scratch.write(cells.select("cell", "sub", "bucket"), "ranges"), ["cell", "sub"]).drop("cell", "sub")
+    first = F.when(F.col("doc_id").isNull(), F.lit(-1).cast("long")).otherwise(part(F.col("doc_id"), F.lit(low), F.lit(high - low), F.lit(n)))
+    rows, path = documents.withColumn("cell0", first), ["cell0"]
+    sizes = [F.sum((F.octet_length("text") + 1).cast("long")).alias("bytes"), *(f(c).alias(f"{name}_{c}") for c in ("doc_id", "digest") for name, f in (("low", F.min), ("high", F.max)))]
+    cells = scratch.write(rows.groupBy(*path).agg(*sizes), "cells")
+    while len(path) < LEVELS:
+        large = (F.col("bytes") > size) & (F.coalesce(F.col("low_doc_id") < F.col("high_doc_id"), F.lit(False)) | (F.col("low_digest") < F.col("high_digest")))
+        cut = cells.where(large)
+        if cut.isEmpty():
+            break
+        new, parts = f"cell{len(path)}", F.col("parts")
+        rows = rows.join(cut.select(*path, "low_doc_id", "high_doc_id", "low_digest", "high_digest", (F.ceil(F.col("bytes") / size) * SUB).alias("parts")), path, "left")
+        by_id, by_text = (part(F.col(c), F.col(f"low_{c}").cast("double"), F.col(f"high_{c}").cast("double") - F.col(f"low_{c}"), parts) for c in ("doc_id", "digest"))
+        place = F.when(parts.isNull(), F.lit(0).cast("long")).when(F.col("low_doc_id") < F.col("high_doc_id"), by_id).otherwise(by_text)
+        rows = rows.withColumn(new, place)
+        fine = rows.where(parts.isNotNull()).groupBy(*path, new).agg(*sizes)
+        rows = rows.drop("low_doc_id", "high_doc_id", "low_digest", "high_digest", "parts")
+        cells = cells.where(~large).withColumn(new, F.lit(0).cast("long")).unionByName(fine)
+        path = [*path, new]
+        cells = scratch.write(cells, f"cells{len(path)}")
+    return rows.join(scratch.write(running(cells, path, size), "ranges"), path).drop(*path)
