@@ -11,7 +11,7 @@ A window of WINDOW words that an earlier document (smaller doc_id) has too is a
    hashes, so that no shard gets all that surrounds a common phrase.
 3. A shard confirms, word by word, the windows that two documents have, with the first of these. Runs of them that have one
    first document are phrases, and go back to each chunk that has them in a later document.
-4. A chunk compiles its phrases into Aho-Corasick automata over word numbers, and streams all its documents, whole, through
+4. A chunk compiles its phrases into Aho-Corasick automata over spelt word numbers, and streams all its documents, whole, through
    them. Each hit locates a phrase in a document; if the phrase's first document is an earlier one, the words of the hit go.
    Words are numbered by comparing them, so that no hash decides what goes.
 
@@ -35,9 +35,11 @@ from convoke.llm.scratch import partitions
 
 WINDOW, ANCHOR = 13, 6
 #: Bytes of text in a chunk, bytes hashed at a time, bytes of passages that a shard confirms at a time, words of phrases in one automaton.
-CHUNK, SLICE, CONFIRM, WORDS = 4_000_000, 1 << 20, 8 << 20, 1 << 20
+CHUNK, SLICE, CONFIRM, WORDS = 4_000_000, 1 << 20, 8 << 20, 1 << 18
 #: Chunks that have a hot anchor; windows of a phrase, and words streamed at a time (with a phrase's length more).
 HOT, PHRASE, STREAM = 64, 32, 100_000
+#: Digits of a word's number at least.
+WIDTH = 3
 LAST = np.iinfo(np.int64).max
 
 
@@ -235,16 +237,30 @@ def confirm(window: int):
 
 
 class Shard:
-    """The phrases of a chunk: their words' numbers (0: a word of none), and the automata."""
+    """The phrases of a chunk, and their automata.
+
+    A child of a trie's node is found by looking through them all, so a word is spelt in WIDTH or more digits, each place with
+    digits of its own: no node has more than a place's digits as children, and no hit begins inside a word. A word of no phrase
+    is spelt in digits of no place. All are Latin-1 characters, which the library takes as they are.
+    """
 
     def __init__(self, phrases: pa.Table):
         number, at = distinct_texts(phrases)
-        first = grouped_range(number, phrases["first"].to_numpy())[2]
+        self.first = grouped_range(number, phrases["first"].to_numpy())[2]
         w = T.words(phrases["text"].combine_chunks().take(pa.array(at)))
         coded = T.word_array(w).dictionary_encode()
-        self.vocabulary = coded.dictionary
-        self.number, self.doc, self.first = coded.indices.to_numpy() + 1, w.doc, first
-        self.longest = int(w.count().max()) if len(first) else 0
+        self.vocabulary, self.doc = coded.dictionary, w.doc
+        count = len(self.vocabulary)
+        self.width = next(k for k in range(WIDTH, 64) if (255 // k) ** k >= count)
+        base = next(b for b in range(1, 256) if b**self.width >= count)
+        place = np.arange(self.width)
+        digits = np.arange(count)[:, None] // base**place % base + base * place
+        self.spelling = np.concatenate([np.full((1, self.width), 255), digits]).astype(np.uint8)
+        self.number = coded.indices.to_numpy() + 1
+        self.longest = int(w.count().max()) if len(self.first) else 0
+
+    def spelt(self, numbers: np.ndarray) -> str:
+        return self.spelling[numbers].tobytes().decode("latin-1")
 
     def numbers(self, w: T.Words) -> np.ndarray:
         return pc.index_in(T.word_array(w), value_set=self.vocabulary).fill_null(-1).to_numpy() + 1
@@ -252,11 +268,12 @@ class Shard:
     def automata(self) -> Iterator[ahocorasick.Automaton]:
         """Automata of at most about WORDS words of phrases each; a hit gives (words, first document)."""
         for a, b in T.slices(np.diff(self.doc), WORDS):
-            automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-            number, edge = self.number[self.doc[a] : self.doc[b]].tolist(), (self.doc[a : b + 1] - self.doc[a]).tolist()
+            automaton = ahocorasick.Automaton()
+            edge = (self.doc[a : b + 1] - self.doc[a]).tolist()
+            spelt = self.spelt(self.number[self.doc[a] : self.doc[b]])
             for x, y, first in zip(edge[:-1], edge[1:], self.first[a:b].tolist(), strict=True):
-                phrase = tuple(number[x:y])
-                have = automaton.get(phrase, None)
+                phrase = spelt[x * self.width : y * self.width]
+                have = automaton.get(phrase, None)  # the same words with other blanks between them
                 automaton.add_word(phrase, (y - x, first if have is None else min(first, have[1])))
             automaton.make_automaton()
             yield automaton
@@ -267,9 +284,10 @@ class Shard:
         for own, x, y in zip(ids.tolist(), w.doc[:-1].tolist(), w.doc[1:].tolist(), strict=True):
             for part in range(x, y, STREAM):  # a very long text in overlapping parts
                 begin = max(x, part - self.longest + 1)
-                for end, (size, first) in automaton.iter(tuple(numbers[begin : min(y, part + STREAM)].tolist())):
+                for end, (size, first) in automaton.iter(self.spelt(numbers[begin : min(y, part + STREAM)])):
                     if first < own:
-                        spans.append((begin + end - size + 1, begin + end + 1))
+                        last = begin + end // self.width + 1
+                        spans.append((last - size, last))
         if spans:
             edge = np.array(spans)
             change = np.bincount(edge[:, 0], minlength=len(gone) + 1) - np.bincount(edge[:, 1], minlength=len(gone) + 1)
