@@ -33,8 +33,8 @@ WORDS, PERCENT = 5, 75
 HASHES, BITS, GROUP = 8, 2048, 32
 #: A token is noted as frequent if so many of a batch's documents have it; at most HOT_MOST of them, the most frequent, go into the order of tokens. Neither changes a result.
 HOT_LEAST, HOT_MOST = 2, 1 << 19
-#: Ids up to this many are sent to all executors as one list (8 bytes each).
-IDS_MOST = 250_000
+#: Shingles of all sets for each bucket of the matrix, whose prefixes are about a quarter of them.
+BUCKET = 2_000_000
 #: Documents whose sets, and bytes of text that, are in hand at a time.
 BATCH, SLICE = 4096, 2 << 20
 
@@ -236,7 +236,6 @@ def similar_pairs(pairs: DataFrame, reps: DataFrame, docs: DataFrame, scratch: S
     near = sized.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "ba", "bb").mapInArrow(within_bits(percent), "a long, b long")
     near = scratch.write(near, f"{name}-near")
     ids = scratch.write(near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), f"{name}-ids")
-    ids = F.broadcast(ids) if ids.count() <= IDS_MOST else ids
     texts = scratch.write(docs.join(ids, "doc_id", "left_semi"), f"{name}-texts")
     ta, tb = (texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"t{c}")) for c in "ab")
     links = near.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(verify(size, percent), "a long, b long")
@@ -250,7 +249,8 @@ def jaccard_components(spark: SparkSession, documents: DataFrame, size: int = WO
 
     Words are lower-cased (A-Z). Texts that are null, empty or without words have no shingles, link with nothing and are
     their own component, as are rows with a null doc_id (component null). Rows of equal doc_id are one document if their sets are
-    equal, and otherwise each is compared but all bear the smallest component of them. An empty table gives no rows.
+    equal, and otherwise each is compared but all bear the smallest component of them. An empty table gives no rows. Links are
+    decided by words; sets are taken for equal, and sizes counted, by 64-bit hashes of shingles and 128 bits of sets.
     """
     scratch = Scratch(spark, "jaccard")
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -277,17 +277,20 @@ def jaccard_components(spark: SparkSession, documents: DataFrame, size: int = WO
     pairs = scratch.write(led.select(F.greatest("rep", "b").alias("a"), F.least("rep", "b").alias("b")).distinct(), "led")
     links = similar_pairs(pairs, reps, texts, scratch, "led", size, percent)
     roots = components(scratch, links, "led")
-    clusters = reps.select("rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("root", "rep").alias("cluster"))
-    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("csize"))
-    clusters = clusters.join(sizes, "cluster").join(reps.select("rep", "n", F.col("sig")[0].alias("h")), "rep")
-    linked = F.col("csize") > 1
-    family = clusters.select("rep", "n", linked.alias("linked"), F.col("cluster").alias("root"), F.when(linked, F.xxhash64("cluster")).otherwise(F.col("h")).alias("cluster"))
-    family = family.join(family.groupBy("linked", "cluster").agg(F.count("*").alias("csize")), ["linked", "cluster"])
+    # sizes are tables of their own, so that Spark knows how large they are, and broadcasts small ones instead of moving a large cluster to one task
+    sizes = scratch.write(roots.groupBy("root").agg(F.count("*").alias("csize")), "sizes")
+    linked = scratch.write(roots.join(sizes, "root").select(F.col("node").alias("rep"), "root", "csize"), "linked")
+    family = reps.select("rep", "n", F.col("sig")[0].alias("h")).join(linked, "rep", "left")
+    loose = family.where("root is null").select("rep", "n", F.lit(False).alias("linked"), F.col("rep").alias("root"), F.col("h").alias("cluster"))
+    alike = scratch.write(loose.groupBy("cluster").agg(F.count("*").alias("csize")).where("csize > 1"), "alike")
+    loose = loose.join(alike, "cluster", "left").withColumn("csize", F.coalesce("csize", F.lit(1).cast("long")))
+    tied = family.where("root is not null").select("rep", "n", F.lit(True).alias("linked"), "root", F.xxhash64("root").alias("cluster"), "csize")
+    family = tied.unionByName(loose)
     blocks = F.ceil(F.col("csize") / GROUP)
     grouped = family.select("rep", "n", "root", "linked", "cluster", "csize", F.xxhash64("linked", "cluster", F.pmod(F.xxhash64("rep"), blocks)).alias("grp"))
     grouped = scratch.write(grouped, "groups")
     # 3: the matrix
-    buckets = 2 * partitions(spark)
+    buckets = max(2 * partitions(spark), (reps.agg(F.sum("n")).first()[0] or 0) // BUCKET)
     asked = texts.join(grouped.withColumnRenamed("rep", "doc_id"), "doc_id").select("doc_id", "text", "grp", "cluster", "csize", "linked")
     tokens = asked.mapInArrow(prefix_tokens(size, percent, buckets, frequent), "bucket long, rows binary")
     met = tokens.groupBy("bucket").applyInArrow(matrix_rows(percent), "q long, grp long")
