@@ -3,12 +3,14 @@
 1. One pass makes each document's set of distinct shingle hashes, and from it the set's hash, a few minimum hashes, a parity
    bitmap, and the tokens that a batch has more than once (a shared passage), whose counts are summed over all batches.
 2. Documents of equal sets are one representative. Representatives with a minimum hash in common are compared with the
-   smallest of them and two that are chosen anew for each hash; verified links, contracted, partition similar documents into clusters. Documents without a link are put together by their first
-   minimum hash. Both are cut into groups of about GROUP members.
+   smallest of them and two that are chosen anew for each hash; verified links, contracted, partition similar documents into
+   clusters. Documents without a link are put together by their first minimum hash. Both are cut into groups of about GROUP
+   members.
 3. Each representative's rarest n - ceil(t n) + 1 tokens make the matrix of tokens by groups: a token's row holds the
    groups in whose union it is. Of a query document q and a similar member y, which share at least
    a = ceil(t (nq + ny) / (1 + t)) tokens, the rarest shared one has a - 1 more after it in the order of each. So a group is
-   opened only by a token after which both q and some member of the group have so many left, for sizes that the group has.
+   opened only by a token after which both q and some member of the group have so many left, for sizes that the group has. A
+   group that isn't a linked cluster's is opened for its own members likewise.
 4. Members of opened groups are checked by their bitmaps (the parity bitmaps of two sets differ in no more bits than the sets
    do in elements), then exactly, on the texts.
 
@@ -189,8 +191,11 @@ def unpack(blobs: pa.ChunkedArray) -> pa.Table:
     return pa.concat_tables([pa.ipc.open_stream(b.as_buffer()).read_all() for b in blobs])
 
 
+OPENED = ["q", "nq", "grp"]
+
+
 def matrix_rows(percent: int, most: int = 2_000_000):
-    """A bucket's rows -> (q, grp): which other groups a document opens, of which it isn't known to be linked with all. The document of the smaller family asks. At most about most cells are in hand at a time."""
+    """A bucket's rows -> (q, nq, grp): which other groups a document opens, of which it isn't known to be linked with all. The document of the smaller family asks. At most about most cells are in hand at a time."""
 
     def run(bucket: pa.Table) -> pa.Table:
         rows = unpack(bucket.column("rows"))
@@ -207,33 +212,40 @@ def matrix_rows(percent: int, most: int = 2_000_000):
         row_start = np.append(np.flatnonzero(row), len(cell))
         row_of = (np.cumsum(row) - 1)[np.cumsum(new) - 1] if len(cell) else np.zeros(0, np.int64)  # of each entry
         width = np.diff(row_start)[row_of] if len(cell) else np.zeros(0, np.int64)
+        members = np.diff(np.append(cell, len(t)))
+        own = members[np.cumsum(new) - 1] if len(cell) else width  # members of the entry's own group that have the token
         parts = []
-        asks = np.flatnonzero(width > 1)
+        asks = np.flatnonzero((width > 1) | (own > 1))
         for a, b in T.slices(width[asks], most):
             e = asks[a:b]
             q = np.repeat(e, width[e])
             first = np.cumsum(width[e]) - width[e]
             c = np.repeat(row_start[row_of[e]] - first, width[e]) + np.arange(len(q))
             g = cell[c]
-            ok = (grp[q] != grp[g]) & ((csize[q] < csize[g]) | ((csize[q] == csize[g]) & (grp[q] < grp[g])))
+            ok = (csize[q] < csize[g]) | ((csize[q] == csize[g]) & (grp[q] < grp[g])) | ((grp[q] == grp[g]) & (members[c] > 1))
             ok &= ~(linked[q] & linked[g] & (cluster[q] == cluster[g]))
             ok &= (100 * high[c] >= percent * n[q]) & (100 * n[q] >= percent * low[c])
             share = -(-percent * (n[q] + np.maximum(low[c], least(n[q], percent))) // (100 + percent))
             ok &= (left[q] >= share) & (room[c] >= share)
-            pairs = pa.table({"q": doc[q[ok]], "grp": grp[g[ok]]})
-            parts.append(pairs.group_by(["q", "grp"]).aggregate([]))
-        out = pa.concat_tables(parts).group_by(["q", "grp"]).aggregate([]) if parts else pa.table({"q": doc[:0], "grp": grp[:0]})
-        return pa.table({"q": out["q"].cast(pa.int64()), "grp": out["grp"].cast(pa.int64())})
+            pairs = pa.table({"q": doc[q[ok]], "nq": n[q[ok]], "grp": grp[g[ok]]})
+            parts.append(pairs.group_by(OPENED).aggregate([]))
+        out = pa.concat_tables(parts).group_by(OPENED).aggregate([]) if parts else pa.table({"q": doc[:0], "nq": n[:0], "grp": grp[:0]})
+        return pa.table({c: out[c].cast(pa.int64()) for c in OPENED})
 
     return run
 
 
+def sized_pairs(pairs: DataFrame, percent: int) -> DataFrame:
+    """Each pair (a, b, na, nb) once, the larger id first, whose sizes allow that they are similar."""
+    fits = pairs.where(f"a <> b and 100 * least(na, nb) >= {percent} * greatest(na, nb)")
+    turn = F.col("a") < F.col("b")
+    return fits.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), F.when(turn, F.col("nb")).otherwise(F.col("na")).alias("na"), F.when(turn, F.col("na")).otherwise(F.col("nb")).alias("nb")).distinct()
+
+
 def similar_pairs(pairs: DataFrame, reps: DataFrame, docs: DataFrame, scratch: Scratch, name: str, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that are similar: by bitmaps, then exactly."""
-    one = reps.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba"))
-    two = reps.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb"))
-    sized = pairs.join(one.drop("ba"), "a").join(two.drop("bb"), "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b")
-    near = sized.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "ba", "bb").mapInArrow(within_bits(percent), "a long, b long")
+    """The pairs (a, b) of (a, b, na, nb) that are similar: by sizes, by bitmaps, then exactly."""
+    one, two = (reps.select(F.col("rep").alias(c), F.col("bits").alias(f"b{c}")) for c in "ab")
+    near = sized_pairs(pairs, percent).join(one, "a").join(two, "b").select("a", "b", "na", "nb", "ba", "bb").mapInArrow(within_bits(percent), "a long, b long")
     near = scratch.write(near, f"{name}-near")
     ids = scratch.write(near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), f"{name}-ids")
     texts = scratch.write(docs.join(ids, "doc_id", "left_semi"), f"{name}-texts")
@@ -270,11 +282,14 @@ def jaccard_components(spark: SparkSession, documents: DataFrame, size: int = WO
     reps = scratch.write(reps, "reps")
     texts = docs.where("doc_id is not null")
     # 2: clusters
-    seen = reps.select("rep", F.posexplode("sig").alias("j", "h"))
+    seen = reps.select("rep", "n", F.posexplode("sig").alias("j", "h"))
     by = F.xxhash64("rep", "j")  # another order for each minimum hash, so that a family has many leaders
-    leaders = seen.groupBy("j", "h").agg(F.array(F.min("rep"), F.min_by("rep", by), F.max_by("rep", by)).alias("b"), F.count("*").alias("c")).where("c > 1")
-    led = seen.join(leaders.drop("c"), ["j", "h"]).select("rep", F.explode("b").alias("b")).where("rep <> b")
-    pairs = scratch.write(led.select(F.greatest("rep", "b").alias("a"), F.least("rep", "b").alias("b")).distinct(), "led")
+    chosen = [F.min_by, F.max_by]
+    leaders = seen.groupBy("j", "h").agg(
+        F.count("*").alias("c"), F.min("rep").alias("r0"), F.min_by("n", "rep").alias("n0"), *[f(c, by).alias(f"{c[0]}{k}") for k, f in enumerate(chosen, 1) for c in ("rep", "n")]
+    )
+    leaders = leaders.where("c > 1").select("j", "h", F.array(*[F.struct(F.col(f"r{k}").alias("b"), F.col(f"n{k}").alias("nb")) for k in range(1 + len(chosen))]).alias("led"))
+    pairs = seen.join(leaders, ["j", "h"]).select(F.col("rep").alias("a"), F.col("n").alias("na"), F.inline("led"))
     links = similar_pairs(pairs, reps, texts, scratch, "led", size, percent)
     roots = components(scratch, links, "led")
     # sizes are tables of their own, so that Spark knows how large they are, and broadcasts small ones instead of moving a large cluster to one task
@@ -293,13 +308,13 @@ def jaccard_components(spark: SparkSession, documents: DataFrame, size: int = WO
     buckets = max(2 * partitions(spark), (reps.agg(F.sum("n")).first()[0] or 0) // BUCKET)
     asked = texts.join(grouped.withColumnRenamed("rep", "doc_id"), "doc_id").select("doc_id", "text", "grp", "cluster", "csize", "linked")
     tokens = asked.mapInArrow(prefix_tokens(size, percent, buckets, frequent), "bucket long, rows binary")
-    met = tokens.groupBy("bucket").applyInArrow(matrix_rows(percent), "q long, grp long")
+    met = tokens.groupBy("bucket").applyInArrow(matrix_rows(percent), "q long, nq long, grp long")
     opened = scratch.write(met.distinct(), "opened")
-    # 4: members of opened groups, and of the own group where it isn't a linked cluster's
-    pairs = opened.join(grouped.select("rep", "grp"), "grp").select(F.col("q").alias("a"), F.col("rep").alias("b"))
-    loose = grouped.where("not linked and csize > 1")
-    own_group = loose.select(F.col("rep").alias("a"), "grp").join(loose.select(F.col("rep").alias("b"), "grp"), "grp").where("a < b").select("a", "b")
-    pairs = pairs.unionByName(own_group).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    # 4: members of opened groups
+    member = grouped.select("grp", F.col("rep").alias("b"), F.col("n").alias("nb"))
+    alike = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
+    pairs = opened.select("grp", F.col("q").alias("a"), F.col("nq").alias("na")).join(member, "grp").where(alike)
+    pairs = pairs.drop("grp")
     more = similar_pairs(pairs, reps, texts, scratch, "opened", size, percent)
     of = grouped.select("rep", F.col("root").alias("cluster"))
     joined = more.join(of.select(F.col("rep").alias("a"), F.col("cluster").alias("ca")), "a").join(of.select(F.col("rep").alias("b"), F.col("cluster").alias("cb")), "b")
