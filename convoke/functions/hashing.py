@@ -27,11 +27,36 @@ def murmur64a(data: bytes, seed: int = 0) -> int:
     return h ^ h >> SHIFT
 
 
+def murmur64a_all(buffers: list[bytes], seed: int = 0) -> np.ndarray:
+    """The hashes of many buffers: all of them take a block of 8 bytes at a time together, longest first, so that those that still have one are a prefix."""
+    size = np.array([len(b) for b in buffers], np.int64)
+    by = np.argsort(-size // 8, kind="stable")
+    blocks = (size // 8)[by]
+    m, shift = np.uint64(MULTIPLIER), np.uint64(SHIFT)
+    words = np.frombuffer(b"".join([buffers[i][: len(buffers[i]) // 8 * 8] for i in by.tolist()]), "<u8").astype(np.uint64) * m
+    words = (words ^ (words >> shift)) * m
+    start = np.cumsum(blocks) - blocks
+    h = np.uint64(seed & MASK) ^ (size[by].astype(np.uint64) * m)
+    left = np.searchsorted(-blocks, -np.arange(int(blocks.max()) if len(blocks) else 0), side="left")  # how many have more than k blocks
+    for k, n in enumerate(left.tolist()):
+        h[:n] = (h[:n] ^ words[start[:n] + k]) * m
+    tail = np.array([int.from_bytes(buffers[i][len(buffers[i]) // 8 * 8 :], "little") for i in by.tolist()], np.uint64)
+    h = np.where(size[by] % 8 > 0, (h ^ tail) * m, h)
+    h = (h ^ (h >> shift)) * m
+    out = np.empty(len(buffers), np.uint64)
+    out[by] = h ^ (h >> shift)
+    return out
+
+
 def buffer_hash64(data: Column, seed: int = 0) -> Column:
     """Signed long with the bits of the unsigned hash; null stays null."""
 
     @F.pandas_udf("long")
     def hashed(s: pd.Series) -> pd.Series:
-        return s.map(lambda b: None if b is None else int(np.uint64(murmur64a(bytes(b), seed)).astype(np.int64))).astype("Int64")
+        there = s.notna().to_numpy()
+        out = pd.array(np.zeros(len(s), np.int64), dtype="Int64")
+        out[there] = murmur64a_all([bytes(b) for b in s[there]], seed).view(np.int64)
+        out[~there] = pd.NA
+        return pd.Series(out)
 
     return hashed(data)

@@ -18,6 +18,28 @@ def sgd_step(weights: Column, gradient: Column, rate: float) -> Column:
     return F.zip_with(weights, gradient, lambda w, g: w - F.lit(rate) * g)
 
 
+def sgd_steps(weights: Column, gradients: Column, rate: float) -> Column:
+    """Tensors by position, with their gradients; a tensor whose gradient is null stays as it is."""
+    return F.zip_with(weights, gradients, lambda w, g: F.when(g.isNull(), w).otherwise(sgd_step(w, g, rate)))
+
+
+def uniform(key: Column, n: int, seed: int = 0) -> Column:
+    """n numbers in [0, 1) that depend on the key and the seed only, whatever the partitioning."""
+    bits = lambda i: F.shiftrightunsigned(F.xxhash64(key, i, F.lit(seed)), 11)
+    return F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: bits(i) / F.lit(float(1 << 53)))
+
+
+def max_pool(v: Column, width: int) -> Column:
+    """The largest of each width consecutive elements; a shorter tail is left out."""
+    last = F.floor(F.size(v) / width).cast("int")
+    return F.when(last > 0, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.array_max(F.slice(v, (i - 1) * width + 1, width)))).otherwise(F.slice(v, 1, 0))
+
+
+def matmul(rows: Column, v: Column) -> Column:
+    """The product of a matrix, as an array of rows, and a vector."""
+    return F.transform(rows, lambda r: dot(r, v))
+
+
 def argmax(v: Column) -> Column:
     """Position of the largest element; the first wins ties; null for null or empty."""
     return F.nullif(F.array_position(v, F.array_max(v)), F.lit(0)) - 1

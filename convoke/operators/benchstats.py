@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from convoke.sources.workspace import written
+
 
 def ordinal(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """n: the 1-based position of a measurement within its group."""
@@ -75,6 +77,38 @@ def accuracy(df: DataFrame, predicted: str, label: str):
     return df.agg((100 * F.avg((F.col(predicted) == F.col(label)).cast("int"))).alias("accuracy"))
 
 
+def accuracy_until(df: DataFrame, order: str, predicted: str, label: str, batch: int, most: int) -> DataFrame:
+    """Accuracy over batches of rows in order, up to the first batch before which more than most rows were seen, which isn't read.
+
+    The rows that count are a fixed number, found by a top-k; nothing else is sorted.
+    """
+    first = df.orderBy(order).limit((most // batch + 1) * batch)
+    return accuracy(first, predicted, label)
+
+
+def mean_of_means(df: DataFrame, keys: list[str], file: str, value: str) -> DataFrame:
+    """The mean of each file's mean, so that a file with many measurements counts no more than another."""
+    return df.groupBy(*keys, file).agg(F.avg(value).alias("m")).groupBy(*keys).agg(F.avg("m").alias("mean"), F.count("m").alias("files"))
+
+
+def numbered(df: DataFrame, order: list) -> DataFrame:
+    """place: the 1-based position of each row in the order. Range-partitioned and sorted within partitions; one count a partition is added up."""
+    ranged = written(df.sparkSession, df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "numbered")
+    counts = ranged.groupBy("_part").agg(F.count("*").alias("_c"))
+    before = counts.select("_part", (F.sum("_c").over(Window.orderBy("_part")) - F.col("_c")).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) + F.col("_before")
+    return ranged.join(before, "_part").withColumn("place", place).drop("_part", "_before")
+
+
+def mapped(df: DataFrame, column: str, cases: dict[str, str], out: str) -> DataFrame:
+    """out: what the column's value maps to; another value raises."""
+    value = F.col(column)
+    case = F.raise_error(F.concat(F.lit("unknown: "), F.coalesce(value, F.lit("null")))).cast("string")
+    for key, name in cases.items():
+        case = F.when(value == key, F.lit(name)).otherwise(case)
+    return df.withColumn(out, case)
+
+
 def ranked(df: DataFrame, column: str, order: list[str]) -> DataFrame:
     """place: the position of a value in a list of categories; null for others, which sort last."""
     place = F.nullif(F.array_position(F.array(*map(F.lit, order)), F.col(column)), F.lit(0))

@@ -4,20 +4,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from convoke.operators.reduce import reduce_cells
-
-
-#: A side that is broadcast is checked to have at most this many rows.
-BROADCAST_ROWS = 10_000
-
-
-def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint, only for a side that has at most so many rows."""
-    return F.broadcast(df) if len(df.limit(most + 1).select(F.lit(1)).take(most + 1)) <= most else df
+from convoke.sources.workspace import written
 
 
 def broadcast_objects(objects: DataFrame, ranks: DataFrame) -> DataFrame:
-    """Every rank gets every object."""
-    return ranks.crossJoin(small(objects))
+    """Every rank gets every object; which side is broadcast, if any, Spark decides by its size."""
+    return ranks.crossJoin(objects)
 
 
 def gather(objects: DataFrame, keys: list[str], order: str, vec: str = "vec") -> DataFrame:
@@ -31,7 +23,7 @@ def gather_concat(objects: DataFrame, keys: list[str], order: str, vec: str = "v
 
 
 def allgather(objects: DataFrame, keys: list[str], order: str, ranks: DataFrame, vec: str = "vec") -> DataFrame:
-    return gather(objects, keys, order, vec).crossJoin(small(ranks))
+    return gather(objects, keys, order, vec).crossJoin(ranks)
 
 
 def allreduce(objects: DataFrame, keys: list[str], vec: str = "vec") -> DataFrame:
@@ -40,12 +32,14 @@ def allreduce(objects: DataFrame, keys: list[str], vec: str = "vec") -> DataFram
 
 
 def roundtrip(objects: DataFrame, payload: str) -> DataFrame:
-    """A to B to A: content hashes before and after, which must agree."""
+    """A to B to A: the objects are written with their hashes, read, written and read again, and hashed anew; same tells whether both agree."""
+    spark = objects.sparkSession
     sent = objects.withColumn("hash_sent", F.sha2(F.col(payload).cast("binary"), 256))
-    back = sent.withColumn("echo", F.col(payload))
-    return back.withColumn("hash_back", F.sha2(F.col("echo").cast("binary"), 256)).withColumn("same", F.col("hash_sent") == F.col("hash_back")).drop("echo")
+    back = written(spark, written(spark, sent, "there"), "back")
+    return back.withColumn("hash_back", F.sha2(F.col(payload).cast("binary"), 256)).withColumn("same", F.col("hash_sent") == F.col("hash_back"))
 
 
 def wrapping_checksum(df: DataFrame, hashed: str) -> DataFrame:
-    """The sum of 64-bit hashes modulo 2^32."""
-    return df.agg(F.sum(F.col(hashed).bitwiseAND(F.lit(0xFFFFFFFF))).alias("s")).select(F.pmod("s", F.lit(1 << 32)).alias("checksum"))
+    """The sum of 64-bit hashes modulo 2^32; added as decimals, which don't overflow for any number of rows."""
+    low = F.col(hashed).bitwiseAND(F.lit(0xFFFFFFFF)).cast("decimal(20,0)")
+    return df.agg(F.sum(low).alias("s")).select(F.pmod("s", F.lit(1 << 32).cast("decimal(20,0)")).cast("long").alias("checksum"))

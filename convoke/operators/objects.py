@@ -5,6 +5,8 @@ objects(object_id, vec, ...) and members(reduction_id, object_id, ord). An id ma
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +29,30 @@ def put(spark: SparkSession, vectors: Sequence[Sequence[float]], object_ids: Seq
     return spark.createDataFrame(rows, "object_id binary, vec array<float>")
 
 
+def from_buffer(spark: SparkSession, buffers: Sequence, object_ids: Sequence[bytes] | None = None) -> DataFrame:
+    """Objects from anything with a buffer of 32-bit floats: bytes, memoryviews, numpy arrays, Arrow buffers. They travel as one Arrow table."""
+    vectors = [np.frombuffer(b, "<f4") if not isinstance(b, np.ndarray) else np.ascontiguousarray(b, "<f4").reshape(-1) for b in buffers]
+    edge = np.concatenate([[0], np.cumsum([len(v) for v in vectors])]).astype(np.int32)
+    flat = pa.array(np.concatenate(vectors) if vectors else np.zeros(0, "<f4"))
+    columns = {"vec": pa.ListArray.from_arrays(pa.array(edge), flat)}
+    if object_ids is None:
+        return spark.createDataFrame(pa.table(columns)).select(ids.random_id().alias("object_id"), "vec")
+    if len(set(object_ids)) != len(object_ids):
+        raise ValueError("an object is immutable: its id was put before")
+    return spark.createDataFrame(pa.table({"object_id": pa.array(list(object_ids), pa.binary()), **columns}))
+
+
+def sealed(objects: DataFrame, require_finished: bool = True) -> DataFrame:
+    """Objects that are finished, by their column sealed; or all, for a reader that takes unfinished ones too."""
+    return objects.where("sealed") if require_finished else objects
+
+
+def get_or_create(objects: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The wanted (object_id, vec), of which those that exist keep what they hold."""
+    have = objects.select("object_id", F.col("vec").alias("held"))
+    return wanted.join(have, "object_id", "left").select("object_id", F.coalesce("held", "vec").alias("vec"), F.col("held").isNotNull().alias("reused"))
+
+
 def get(objects: DataFrame, object_id) -> DataFrame:
     """The object; raises KeyError if there is none, where a store would block."""
     found = objects.where(F.col("object_id") == F.lit(object_id))

@@ -64,16 +64,47 @@ def reduction(spark, object_ids: list, reduction_id: str) -> DataFrame:
 
 def arrivals(objects: DataFrame, members: DataFrame, by: list[str], failed: Column | None = None) -> DataFrame:
     """Members that have arrived, numbered in order of arrival (rn), without the failed ones; a later arrival takes a failed one's place."""
-    there = distinct_members(members).join(objects, "object_id")
+    there = distinct_members(members).join(objects.drop("vec"), "object_id")  # vectors aren't sorted along
     if failed is not None:
         there = there.where(~failed)
     return there.withColumn("rn", F.row_number().over(Window.partitionBy("reduction_id").orderBy(*by)))
 
 
 def first_k(objects: DataFrame, members: DataFrame, k: Column | int, by: list[str], failed: Column | None = None) -> DataFrame:
-    """arrivals() and used: whether a row is one of the first k; the others are backups."""
+    """arrivals() with vectors, and used: whether a row is one of the first k; the others are backups."""
     k = k if isinstance(k, Column) else F.lit(k)
-    return arrivals(objects, members, by, failed).withColumn("used", F.col("rn") <= k)
+    numbered = arrivals(objects, members, by, failed).withColumn("used", F.col("rn") <= k)
+    return numbered.join(objects.select("object_id", "vec"), "object_id") if "vec" in objects.columns else numbered
+
+
+def in_creation_order(objects: DataFrame, members: DataFrame, created: Column, local_small: Column | None = None) -> DataFrame:
+    """arrivals() as a directory feeds them: objects there when the reduction was created count in the order of its list (ord), later ones as they arrive.
+
+    objects have arrival; created is a reduction's time on members; a caller's own small objects (local_small) go to the end of the list.
+    """
+    there = distinct_members(members).join(objects.drop("vec"), "object_id")
+    early = F.col("arrival") <= created
+    last = F.coalesce(local_small, F.lit(False)) if local_small is not None else F.lit(False)
+    order = [(~early).cast("int"), F.when(early, last.cast("int")), F.when(early, F.col("ord")).otherwise(F.col("arrival")), F.col("object_id")]
+    return there.withColumn("rn", F.row_number().over(Window.partitionBy("reduction_id").orderBy(*order)))
+
+
+def reduce_local(objects: DataFrame, members: DataFrame) -> DataFrame:
+    """(reduction_id, vec): one task holds a whole reduction, copies its first object in list order and adds the others; unequal lengths raise. For reductions that fit one row."""
+    ordered = F.array_sort(F.collect_list(F.struct("ord", "object_id", "vec")))
+    rows = distinct_members(members).join(objects.select("object_id", "vec"), "object_id").groupBy("reduction_id").agg(F.transform(ordered, lambda o: o["vec"].cast("array<double>")).alias("vs"))
+    add = lambda s, v: F.when(F.size(s) == F.size(v), F.zip_with(s, v, lambda a, b: a + b)).otherwise(F.raise_error(F.lit("the objects of a reduction differ in length")).cast("array<double>"))
+    return rows.select("reduction_id", F.aggregate(F.slice("vs", 2, F.greatest(F.size("vs") - 1, F.lit(0))), F.col("vs")[0], add).alias("vec"))
+
+
+def by_contributor(contributors: DataFrame, owners: DataFrame) -> DataFrame:
+    """The inverse of a result's list of ids: (reduction_id, object_id, owner) for owners(object_id, owner)."""
+    return contributors.select("reduction_id", F.explode("contributors").alias("object_id")).join(owners, "object_id")
+
+
+def shortest(chains: DataFrame, keys: list[str], length: str, chain: str) -> DataFrame:
+    """The shortest chain of each key; the smallest chain wins ties."""
+    return chains.groupBy(*keys).agg(F.min(F.struct(length, chain)).alias("s")).select(*keys, f"s.{chain}", f"s.{length}")
 
 
 def subset_reduce(objects: DataFrame, members: DataFrame, k: int, by: list[str], failed: Column | None = None) -> DataFrame:

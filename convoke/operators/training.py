@@ -56,6 +56,42 @@ def synchronous(rows: DataFrame, start: np.ndarray, gradient, steps: int, rate:
     return w
 
 
+def asynchronous(rows: DataFrame, start: np.ndarray, gradient, steps: int, rate: float, owner: str, ready: Callable[[int], list[int]], rejoins: Callable[[int], list[int]] | None = None) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """A parameter server that doesn't wait: (weights, [(step, owner, staleness)]).
+
+    At each step the owners that ready(step) names have a gradient done, of the weights that they were last given; their mean is
+    applied, and only they are given the new weights. One that rejoins(step) after a failure is given the newest before the step.
+    Weights and owners are few; the rows stay where they are.
+    """
+    newest, version = np.array(start, "float64"), 0
+    held: dict[int, tuple[int, np.ndarray]] = {}
+    first, log = (0, newest.copy()), []
+    for step in range(steps):
+        for o in rejoins(step) if rejoins else []:
+            held[o] = (version, newest.copy())
+        now = ready(step)
+        at = {o: held.get(o, first) for o in now}
+        log += [(step, o, version - at[o][0]) for o in now]
+        parts = None
+        for v in sorted({at[o][0] for o in now}):  # the owners of one version share a pass
+            own = [o for o in now if at[o][0] == v]
+            p = gradient_batches(rows.where(F.col(owner).isin(own)), at[own[0]][1], gradient, owner)
+            parts = p if parts is None else parts.unionByName(p)
+        cells = reduce_cells(parts, [], "vec").join(F.broadcast(parts.agg(F.sum("n").alias("n")))).orderBy("pos").collect()
+        newest = newest - rate * np.array([c["value"] / c["n"] for c in cells])
+        version += 1
+        for o in now:
+            held[o] = (version, newest.copy())
+    return newest, log
+
+
+def serving_events(models: DataFrame, failed: DataFrame) -> DataFrame:
+    """(step, model, event) for models(step, model): fail where failed(step, model) has it, rejoin at the first step after a failure, ok else."""
+    known = models.join(failed.select("step", "model", F.lit(True).alias("f")), ["step", "model"], "left").withColumn("f", F.coalesce("f", F.lit(False)))
+    before = F.lag("f").over(Window.partitionBy("model").orderBy("step"))
+    return known.select("step", "model", F.when(F.col("f"), "fail").when(before, "rejoin").otherwise("ok").alias("event"))
+
+
 def linear_gradient(w: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return x.T @ (x @ w - y)
 

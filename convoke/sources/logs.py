@@ -1,6 +1,6 @@
 """Log folders to tables: names with five parts, lines with measurements, and the CSV and JSON files around them."""
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Result table of a benchmark.
@@ -27,6 +27,56 @@ def log_lines(spark: SparkSession, glob: str, rank: int | None = None, without_r
     return files.select("folder", "file", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
 
 
+def write_logs(lines: DataFrame, path: str) -> None:
+    """Writes (folder, file, line_no, line) as path/folder/file. Tasks write the files' contents; the driver only renames them, one rename a file."""
+    spark = lines.sparkSession
+    dealt = lines.repartition("folder", "file").sortWithinPartitions("folder", "file", "line_no")
+    dealt.select("folder", "file", "line").write.partitionBy("folder", "file").text(f"{path}/_made")
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    fs = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for made in fs.globStatus(at(f"{path}/_made/folder=*/file=*/part-*")):
+        p = made.getPath()
+        file, folder = p.getParent().getName().removeprefix("file="), p.getParent().getParent().getName().removeprefix("folder=")
+        fs.mkdirs(at(f"{path}/{folder}"))
+        if not fs.rename(p, at(f"{path}/{folder}/{file}")):
+            raise FileExistsError(f"{path}/{folder}/{file}")
+    fs.delete(at(f"{path}/_made"), True)
+
+
+#: Tasks by the ranks whose logs count: rank 0 only, all, or all but rank 0. Fixed names of the tasks.
+RANK_0, ALL_RANKS, NOT_RANK_0 = ("reduce", "gather", "subset_reduce"), ("allreduce", "allgather"), ("multicast",)
+
+
+def counted_ranks(lines: DataFrame) -> DataFrame:
+    """Log lines (test, file, ...) of the ranks that count for their task; an unknown task raises."""
+    test, root = F.col("test"), F.col("file") == "rank_0.log"
+    bad = F.raise_error(F.concat(F.lit("Unknown task "), test)).cast("boolean")
+    return lines.where(F.when(test.isin(*ALL_RANKS), True).when(test.isin(*NOT_RANK_0), ~root).when(test.isin(*RANK_0), root).otherwise(bad))
+
+
+def parsed_folders(spark: SparkSession, path: str) -> DataFrame:
+    """(folder, test, nodes, size, n, seconds): a folder's trials, each the slowest of the ranks that count. A folder whose ranks differ in the number of trials, or one of whose ranks has none, is bad and has one row with n and seconds null."""
+    lines = log_lines(spark, f"{path}/*/*").withColumn("p", folder_parts(F.col("folder"))).select("folder", "file", "line_no", "line", "p.test", "p.nodes", "p.size")
+    keys = ["folder", "test", "nodes", "size"]
+    trials = counted_ranks(lines).withColumn("seconds", duration(F.col("line")))
+    ranks = trials.groupBy(*keys, "file").agg(F.count("seconds").alias("c"))
+    even = ranks.groupBy(*keys).agg(F.min("c").alias("lo"), F.max("c").alias("hi")).select(*keys, ((F.col("lo") == F.col("hi")) & (F.col("lo") > 0)).alias("good"))
+    n = F.row_number().over(Window.partitionBy("folder", "file").orderBy("line_no"))
+    slowest = trials.where("seconds is not null").withColumn("n", n).groupBy("folder", "n").agg(F.max("seconds").alias("seconds"))
+    return even.join(slowest, "folder", "left").where("good or n = 1 or n is null").select(*keys, F.when(F.col("good"), F.col("n")).alias("n"), F.when(F.col("good"), F.col("seconds")).alias("seconds"))
+
+
+def line_token(lines: DataFrame, line_no: int, n: int, unit: float, out: str) -> DataFrame:
+    """(folder, file, out): the n-th token of one line (both from 0) as a number, times unit."""
+    return lines.where(F.col("line_no") == line_no).select("folder", "file", (token(F.col("line"), n).try_cast("double") * unit).alias(out))
+
+
+def write_json_array(records: DataFrame, path: str, order: list[str]) -> None:
+    """Writes flat records as one JSON array, which is one row; for lists of a run's events."""
+    every = F.array_sort(F.collect_list(F.struct(*order, F.struct(*records.columns).alias("r"))))
+    records.agg(F.to_json(F.transform(every, lambda x: x["r"])).alias("value")).write.mode("overwrite").text(path)
+
+
 def duration(line: Column, marker: str = "duration = ") -> Column:
     """The number after the marker; null where there is none."""
     return F.when(F.contains(line, F.lit(marker)), F.element_at(F.split(line, marker), -1).try_cast("double"))

@@ -2,15 +2,18 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from convoke.functions import ids, vectors
+from convoke.functions import hashing, ids, vectors
 from convoke.functions.hashing import murmur64a
-from convoke.operators import benchstats, objects, reduce
+from convoke.operators import benchstats, objects, reduce, training
 from convoke.plans import topology
 from convoke.sources import logs
+from convoke.streaming import quota
 
 
 def made(spark, vecs):
@@ -134,3 +137,55 @@ def test_window_rules(spark):
     assert benchstats.summary(one, ["k"], "v").first()["std"] == 0.0 and benchstats.summary(one, ["k"], "v", sample=True).first()["std"] is None
     order = benchstats.ranked(spark.createDataFrame([("x",), ("b",), ("a",)], "c string"), "c", ["b", "a"]).collect()
     assert [r["c"] for r in order] == ["b", "a", "x"]
+
+
+def test_hash_verification_value():
+    """The public test of the hash: keys 0, 1, .. of each length below 256 with falling seeds, their hashes hashed."""
+    made = b"".join(hashing.murmur64a(bytes(range(i)), 256 - i).to_bytes(8, "little") for i in range(256))
+    assert hashing.murmur64a(made, 0) & 0xFFFFFFFF == 0x1F0D3804
+    many = [bytes(range(i % 256)) * (1 + i % 5) for i in range(300)] + [b"", b"x" * 10_000]
+    assert hashing.murmur64a_all(many, 7).tolist() == [hashing.murmur64a(b, 7) for b in many] and len(hashing.murmur64a_all([], 7)) == 0
+
+
+def test_objects_from_buffers(spark):
+    a = np.arange(4, dtype="<f4")
+    out = sorted(list(r["vec"]) for r in objects.from_buffer(spark, [a, a.tobytes(), memoryview(a), pa.py_buffer(a * 2), a.reshape(2, 2)]).collect())
+    assert out == [[0.0, 1.0, 2.0, 3.0]] * 4 + [[0.0, 2.0, 4.0, 6.0]]
+    assert [bytes(r["object_id"]) for r in objects.from_buffer(spark, [a], [b"i" * 20]).collect()] == [b"i" * 20]
+    with pytest.raises(ValueError):
+        objects.from_buffer(spark, [a, a], [b"i" * 20] * 2)
+
+
+def test_unknown_task_raises(spark):
+    lines = spark.createDataFrame([("nothing", "rank_0.log", "x")], "test string, file string, line string")
+    with pytest.raises(Exception, match="Unknown task"):
+        logs.counted_ranks(lines).collect()
+    with pytest.raises(Exception, match="unknown: nothing"):
+        benchstats.mapped(lines, "test", {"a": "b"}, "out").collect()
+
+
+def test_staleness(spark):
+    rows = spark.createDataFrame([(o, [1.0, float(o)], 1.0) for o in range(3)], "owner long, x array<double>, y double")
+    ready, rejoins = [[0, 1], [0, 2], [1, 2], [2, 0]], {3: [0]}
+    _, log = training.asynchronous(rows, [0.0, 0.0], training.linear_gradient, 4, 0.1, "owner", lambda k: ready[k], lambda k: rejoins.get(k, []))
+    assert log == [(0, 0, 0), (0, 1, 0), (1, 0, 0), (1, 2, 1), (2, 1, 1), (2, 2, 0), (3, 2, 0), (3, 0, 0)]
+
+
+def test_uniform_numbers(spark):
+    df = spark.range(200).select(vectors.uniform(F.col("id"), 50, 3).alias("u"))
+    one, two = (sorted(map(str, d.collect())) for d in (df, df.repartition(7)))
+    x = np.array([r["u"] for r in df.collect()])
+    assert one == two and (x >= 0).all() and (x < 1).all() and abs(x.mean() - 0.5) < 0.02 and abs(x.var() - 1 / 12) < 0.01
+
+
+def test_numbered_over_partitions(spark):
+    df = spark.createDataFrame([(f"n{i % 50:03}", i) for i in range(500)], "k string, i int").repartition(9)
+    out = {r["i"]: r["place"] for r in benchstats.numbered(df, [F.desc("k"), F.asc("i")]).collect()}
+    assert [i for i, _ in sorted(out.items(), key=lambda x: x[1])] == sorted(range(500), key=lambda i: (-(i % 50), i)) and sorted(out.values()) == list(range(1, 501))
+
+
+def test_waiters_never_served_wait(spark, tmp_path):
+    rows = [(1, 1, "request"), (1, 2, "request"), (1, 3, "ready"), (1, 4, "request"), (1, 5, "ready"), (2, 1, "request")]
+    spark.createDataFrame(rows, "object_id long, seq long, kind string").write.parquet(f"file://{tmp_path}/e")
+    out = quota.run_once(spark, f"file://{tmp_path}/e", quota.waiters_stream, "waiters")
+    assert sorted(map(tuple, out.collect())) == [(1, 1, 3, True), (1, 2, 3, True), (1, 4, 4, False)]
