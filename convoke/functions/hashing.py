@@ -30,7 +30,7 @@ def murmur64a(data: bytes, seed: int = 0) -> int:
 def murmur64a_all(buffers: list[bytes], seed: int = 0) -> np.ndarray:
     """The hashes of many buffers: all of them take a block of 8 bytes at a time together, longest first, so that those that still have one are a prefix."""
     size = np.array([len(b) for b in buffers], np.int64)
-    by = np.argsort(-size // 8, kind="stable")
+    by = np.argsort(-(size // 8), kind="stable")
     blocks = (size // 8)[by]
     m, shift = np.uint64(MULTIPLIER), np.uint64(SHIFT)
     words = np.frombuffer(b"".join([buffers[i][: len(buffers[i]) // 8 * 8] for i in by.tolist()]), "<u8").astype(np.uint64) * m
