@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from convoke.functions import ids, vectors
-from convoke.functions.hashing import buffer_hash64
+from convoke.functions.hashing import MULTIPLIER, SHIFT, buffer_hash64
 from convoke.operators import benchstats as B
 from convoke.operators import collect as C
 from convoke.operators import coverage as V
@@ -214,12 +214,34 @@ def model_bytes(spark, d):
     return objects(spark, d).groupBy("label").agg(F.count("*").alias("n"), F.sum(vectors.byte_size(F.col("vec"))).alias("bytes"))
 
 
-@query()
+def wrapped(x: str) -> str:
+    """x times the hash's multiplier, modulo 2^64."""
+    return f"(({x}) * {MULTIPLIER}::uhugeint) % 18446744073709551616::uhugeint"
+
+
+def mixed(x: str) -> str:
+    return f"xor({x}, {x} >> {SHIFT})"
+
+
+def little_endian(first: str, n: int = 8) -> str:
+    """The number in n bytes of the hexadecimal text x, from byte first (0-based)."""
+    return "('0x' || " + " || ".join(f"substr(x, 2 * ({first} + {i}) + 1, 2)" for i in reversed(range(n))) + ")::uhugeint"
+
+
+HASHED = f"""(with b as (select doc_id, hex(encode(text)) as x, octet_length(encode(text)) as n from documents),
+    w as (select *, list_transform(range(n // 8), lambda i: {wrapped(little_endian('8 * i'))}) as k, case when n % 8 > 0 then {little_endian('n // 8 * 8')} end as tail from b),
+    h as (select doc_id, tail, list_reduce(list_prepend({wrapped('n::uhugeint')}, list_transform(k, lambda v: {wrapped(mixed('v'))})), lambda a, v: {wrapped('xor(a, v)')}) as h from w),
+    t as (select doc_id, case when tail is null then h else {wrapped('xor(h, tail)')} end as h from h),
+    m as (select doc_id, {wrapped(mixed('h'))} as h from t), u as (select doc_id, {mixed('h')} as h from m)
+    select doc_id, (h::hugeint - case when h >= 9223372036854775808::uhugeint then 18446744073709551616::hugeint else 0 end)::bigint as hash from u)"""
+
+
+@query(f"select doc_id, hash from {HASHED}")
 def buffer_hash64_documents(spark, d):
     return table(spark, d, "documents").select("doc_id", buffer_hash64(F.col("text").cast("binary")).alias("hash"))
 
 
-@query()
+@query(f"select ((sum(hash::hugeint) % 4294967296 + 4294967296) % 4294967296)::bigint as checksum from {HASHED}")
 def gather_checksum(spark, d):
     h = table(spark, d, "documents").select(buffer_hash64(F.col("text").cast("binary")).alias("hash"))
     return C.wrapping_checksum(h, "hash")
@@ -459,28 +481,26 @@ def ensemble_partial(spark, d):
     return ensemble(spark, d, (2, 5))
 
 
-@query()
-def synchronous_training(spark, d):
-    rows = objects(spark, d).select((F.col("object_id") % 8).alias("owner"), F.col("vec").cast("array<double>").alias("x"), F.col("label").cast("double").alias("y"))
-    w = T.synchronous(rows, [0.0] * 64, T.linear_gradient, 3, 0.01, "owner")
-    return spark.createDataFrame([(i, float(x)) for i, x in enumerate(w)], "pos int, w double")
-
-
-@query()
-def subset_training(spark, d):
-    """Each step uses the four owners that are ready: a replay in a fixed order of arrival; owner 2 fails after the first step."""
-    rows = objects(spark, d).select((F.col("object_id") % 8).alias("owner"), F.col("vec").cast("array<double>").alias("x"), F.col("label").cast("double").alias("y"))
-    ready = lambda step: [o for o in ((step * 4 + i) % 8 for i in range(5)) if not (o == 2 and step > 0)][:4]
-    w = T.synchronous(rows, [0.0] * 64, T.linear_gradient, 3, 0.01, "owner", ready)
-    return spark.createDataFrame([(i, float(x)) for i, x in enumerate(w)], "pos int, w double")
+# --- topology, traces, streams
 
 
-# --- topology, traces, streams
+PLANS = [(128, 8), (152, 24), (61, 2), (32, 44)]
+#: Closed form: slots are the gaps of the tree, in order; tree node p stands before slot p, and the odd one of two neighbours is a leaf.
+TREE = f"""with d as (select *, greatest(0, least(ceil(log2((objects + 1) / (longest + 1))), floor(log2(objects + 1))))::int as depth from (values {', '.join(map(str, PLANS))}) v(objects, longest)),
+    g as (select *, (1 << depth) as gaps, (objects - (1 << depth) + 1) // (1 << depth) as short, (objects - (1 << depth) + 1) % (1 << depth) as extra from d),
+    s as (select *, unnest(range(gaps)) as p from g),
+    t as (select objects, longest, gaps, p, p * short + least(p, extra) + p - 1 as ord, short + (p < extra)::int as chain from s),
+    tree as (select *, p & -p as step from t where p > 0),
+    up as (select *, case when 2 * step < gaps then case when p & (2 * step) > 0 then p - step else p + step end end as above from tree),
+    link as (select objects, longest, ord, chain, p + (p + 1) % 2 as leaf, unnest(range(chain)) as i from t)
+    select u.objects::int as objects, u.longest::int as longest, u.ord::int as ord, a.ord::int as parent, true as is_tree from up u left join tree a on a.objects = u.objects and a.p = u.above
+    union all
+    select l.objects::int, l.longest::int, (l.ord + 1 + i)::int, case when i + 1 < l.chain then l.ord + 2 + i else a.ord end::int, false from link l left join tree a on a.objects = l.objects and a.p = l.leaf"""
 
 
-@query()
+@query(TREE)
 def topology_tree(spark, d):
-    rows = [(n, k, x.order, x.parent, x.is_tree) for n, k in ((128, 8), (152, 24), (61, 2), (32, 44)) for x in topology.plan(n, k).nodes]
+    rows = [(n, k, x.order, x.parent, x.is_tree) for n, k in PLANS for x in topology.plan(n, k).nodes]
     return spark.createDataFrame(rows, "objects int, longest int, ord int, parent int, is_tree boolean")
 
 
@@ -489,7 +509,8 @@ def topology_chain_length(spark, d):
     return table(spark, d, "documents").select("doc_id", topology.chain_length(F.octet_length("text")).alias("chain"))
 
 
-@query()
+@query("""select json_object('name', event_type, 'cat', 'event', 'ph', case when event_id % 2 = 0 then 'B' else 'E' end, 'ts', (epoch_us(ts) // 1000000) || '.' || lpad((epoch_us(ts) // 1000 % 1000)::varchar, 3, '0'),
+    'pid', user_id::varchar, 'tid', event_id::varchar, 'args', json_object('message', props))::varchar as event from events""")
 def trace_json(spark, d):
     e = table(spark, d, "events")
     phase = F.when(F.col("event_id") % 2 == 0, "BEGIN").otherwise("END")

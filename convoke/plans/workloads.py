@@ -216,10 +216,19 @@ ALL, READY, REJOINS = [list(range(8))] * 3, [[0, 1, 2, 3], [4, 5, 0, 6], [7, 1,
 
 
 @query(replay_sql(ALL, False))
-def training_synchronous(spark, d):
+def synchronous_training(spark, d):
     return weights(spark, T.synchronous(replay_rows(spark, d), [0.0] * 64, T.linear_gradient, 3, 0.01, "owner"))
 
 
+ALIVE = [[0, 1, 2, 3], [4, 5, 6, 7], [0, 1, 3, 4]]
+
+
+@query(replay_sql(ALIVE, False))
+def subset_training(spark, d):
+    """Each step uses the next four owners that are alive: owner 2 has failed when its second turn comes."""
+    return weights(spark, T.synchronous(replay_rows(spark, d), [0.0] * 64, T.linear_gradient, 3, 0.01, "owner", lambda k: ALIVE[k]))
+
+
 @query(replay_sql(READY, False))
 def training_first_ready(spark, d):
     """Each step takes the newest weights to the four owners that are ready."""

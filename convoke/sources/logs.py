@@ -120,7 +120,7 @@ def write_csv(df: DataFrame, path: str, header: bool = True) -> None:
 def trace_events(lines: DataFrame) -> DataFrame:
     """One event of a trace viewer's file as JSON for each timeline row (name, phase, ts_ms, pid, tid, message). The rows stay distributed; a writer joins them by commas."""
     event = F.struct(
-        F.col("name"), F.lit("event").alias("cat"), F.substring("phase", 1, 1).alias("ph"), (F.col("ts_ms") / 1000.0).cast("string").alias("ts"), F.col("pid").cast("string").alias("pid"), F.col("tid").cast("string").alias("tid"), F.struct(F.col("message")).alias("args")
+        F.col("name"), F.lit("event").alias("cat"), F.substring("phase", 1, 1).alias("ph"), (F.col("ts_ms").cast("decimal(20,0)") / 1000).cast("decimal(20,3)").cast("string").alias("ts"), F.col("pid").cast("string").alias("pid"), F.col("tid").cast("string").alias("tid"), F.struct(F.col("message")).alias("args")
     )
     return lines.select(F.to_json(event).alias("event"))
 
