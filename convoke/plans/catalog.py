@@ -486,24 +486,32 @@ def ensemble_partial(spark, d):
 
 PLANS = [(128, 8), (152, 24), (61, 2), (32, 44)]
 #: Closed form: slots are the gaps of the tree, in order; tree node p stands before slot p, and the odd one of two neighbours is a leaf.
-TREE = f"""with d as (select *, greatest(0, least(ceil(log2((objects + 1) / (longest + 1))), floor(log2(objects + 1))))::int as depth from (values {', '.join(map(str, PLANS))}) v(objects, longest)),
+TREE = """with d as (select *, greatest(0, least(ceil(log2((objects + 1) / (longest + 1))), floor(log2(objects + 1))))::int as depth from {plans}),
     g as (select *, (1 << depth) as gaps, (objects - (1 << depth) + 1) // (1 << depth) as short, (objects - (1 << depth) + 1) % (1 << depth) as extra from d),
     s as (select *, unnest(range(gaps)) as p from g),
     t as (select objects, longest, gaps, p, p * short + least(p, extra) + p - 1 as ord, short + (p < extra)::int as chain from s),
     tree as (select *, p & -p as step from t where p > 0),
     up as (select *, case when 2 * step < gaps then case when p & (2 * step) > 0 then p - step else p + step end end as above from tree),
     link as (select objects, longest, ord, chain, p + (p + 1) % 2 as leaf, unnest(range(chain)) as i from t)
-    select u.objects::int as objects, u.longest::int as longest, u.ord::int as ord, a.ord::int as parent, true as is_tree from up u left join tree a on a.objects = u.objects and a.p = u.above
+    select u.objects::int as objects, u.longest::int as longest, u.ord::int as ord, a.ord::int as parent, true as is_tree from up u left join tree a on a.objects = u.objects and a.longest = u.longest and a.p = u.above
     union all
-    select l.objects::int, l.longest::int, (l.ord + 1 + i)::int, case when i + 1 < l.chain then l.ord + 2 + i else a.ord end::int, false from link l left join tree a on a.objects = l.objects and a.p = l.leaf"""
+    select l.objects::int, l.longest::int, (l.ord + 1 + i)::int, case when i + 1 < l.chain then l.ord + 2 + i else a.ord end::int, false from link l left join tree a on a.objects = l.objects and a.longest = l.longest and a.p = l.leaf"""
 
 
-@query(TREE)
+@query(TREE.format(plans=f"(values {', '.join(map(str, PLANS))}) v(objects, longest)"))
 def topology_tree(spark, d):
     rows = [(n, k, x.order, x.parent, x.is_tree) for n, k in PLANS for x in topology.plan(n, k).nodes]
     return spark.createDataFrame(rows, "objects int, longest int, ord int, parent int, is_tree boolean")
 
 
+@query(TREE.format(plans="(select distinct count(*) as objects, 3 + user_id % 7 as longest from events group by user_id)"))
+def topology_of_reductions(spark, d):
+    """Trees of as many nodes as users have events, with chains of several lengths, by a table function."""
+    e = table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("objects"))
+    nodes = topology.plans(e.select("objects", (3 + F.col("user_id") % 7).alias("longest")).distinct())
+    return nodes.select(F.col("objects").cast("int").alias("objects"), F.col("longest").cast("int").alias("longest"), "ord", "parent", "is_tree")
+
+
 @query("select doc_id, round(octet_length(encode(text)) / (9.68 * 1073741824 / 8 * 0.00075))::bigint as chain from documents")
 def topology_chain_length(spark, d):
     return table(spark, d, "documents").select("doc_id", topology.chain_length(F.octet_length("text")).alias("chain"))

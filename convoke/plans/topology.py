@@ -6,7 +6,7 @@ Spark needs no such plan to add; it is kept for inspection and for the depth of
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes that a link moves during one call's latency: 9.68 * 2^30 / 8 B/s * 750 us.
@@ -59,3 +59,17 @@ def plan(objects: int, longest: int) -> Plan:
         order += 1
     trees = set(tree_at[:inner])
     return Plan(depth, chains, tuple(Node(o, parent[o], o in trees) for o in range(objects)))
+
+
+@F.udtf(returnType="ord int, parent int, is_tree boolean")
+class PlanNodes:
+    """The nodes of plan(objects, longest) as a table function."""
+
+    def eval(self, objects: int, longest: int):
+        for node in plan(objects, longest).nodes:
+            yield node.order, node.parent, node.is_tree
+
+
+def plans(reductions: DataFrame) -> DataFrame:
+    """The nodes of each reduction of (..., objects, longest); one without objects has none."""
+    return reductions.where("objects > 0").lateralJoin(PlanNodes(F.col("objects").cast("int").outer(), F.col("longest").cast("int").outer()))
