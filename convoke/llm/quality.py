@@ -5,8 +5,8 @@
    comparisons. A logistic model with an L1 penalty on the rules' 0/1 columns keeps a few of them.
 3. The kept rules are compiled into one Spark column expression over the statistics.
 
-The sample is at most SAMPLE labelled rows, those with the smallest hash of doc_id, and only its statistics (a few doubles a
-row) come to the driver. Labels and ids are not inputs of a score.
+The sample is at most SAMPLE labelled rows, those with the smallest hash of doc_id, and only the statistics (a few doubles a
+row) of about twice as many come to the driver. Labels and ids are not inputs of a score.
 """
 
 from collections.abc import Iterator
@@ -192,6 +192,22 @@ def held_out(ids: Column) -> Column:
     return F.coalesce(F.crc32(ids.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def least_hashes(stats: DataFrame, known: DataFrame, sample: int) -> DataFrame:
+    """(y, *STATS) of the sample rows with the smallest hash of doc_id that stats(doc_id, *STATS) and known(doc_id, y) share.
+
+    Both sides are cut to the share of all hashes that should hold twice the sample, before they meet, so that what is joined and
+    collected stays at that size whatever the number of labels. A share that holds too few is widened, up to all hashes: the rows
+    are the same as those of sorting all of them.
+    """
+    share = min(1.0, 2 * sample / max(1, known.count()))
+    while True:
+        within = F.xxhash64("doc_id") <= F.lit(min((1 << 63) - 1, int(share * 2**64) - (1 << 63)))
+        both = stats.where(within).join(known.where(within), "doc_id")
+        if share == 1 or both.count() >= sample:
+            return both.orderBy(F.xxhash64("doc_id"), *STATS).limit(sample).select("y", *STATS)
+        share = min(1.0, 4 * share)
+
+
 def quality_scores(spark: SparkSession, documents: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, held_out, score, predicted) for each row of documents(doc_id, text, ...); labels(doc_id, quality, ...).
 
@@ -203,8 +219,7 @@ def quality_scores(spark: SparkSession, documents: DataFrame, labels: DataFrame,
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     stats = scratch.write(docs.mapInArrow(with_statistics, "doc_id long, " + ", ".join(f"{s} double" for s in STATS)), "statistics")
     known = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("y"), F.max("quality").alias("y2")).where("y = y2").drop("y2")
-    learnt = stats.where(~held_out(F.col("doc_id"))).join(known, "doc_id")
-    picked = learnt.orderBy(F.xxhash64("doc_id"), *STATS).limit(sample).select("y", *STATS).toPandas()
+    picked = least_hashes(stats.where(~held_out(F.col("doc_id"))), known.where(~held_out(F.col("doc_id"))), sample).toPandas()
     model = fit(picked[STATS].to_numpy("float64"), picked["y"].to_numpy("int64"))
     score = model.expression()
     return stats.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score")).withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))

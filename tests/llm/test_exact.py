@@ -3,6 +3,7 @@
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from convoke.llm import fingerprints, jaccard, quality, repeats
 from convoke.llm import text as T
@@ -129,3 +130,12 @@ def test_quality_of_few_or_constant_rows(spark, n):
     y = np.arange(n) % 2
     model = quality.fit(x, y)
     assert not model.rules and (n < 2 or model.base == pytest.approx(np.log(y.mean() / (1 - y.mean()))))
+
+
+@pytest.mark.parametrize(("sample", "extra"), [(10, 0), (10, 5000), (150, 0), (400, 100)])
+def test_least_hashes_are_those_of_sorting_all(spark, sample, extra):
+    """The share of hashes is widened where most labelled ids have no document; more rows than wanted, or fewer, are no matter."""
+    stats = spark.range(300).selectExpr("id as doc_id", *[f"cast(id % {k + 2} as double) as {s}" for k, s in enumerate(quality.STATS)])
+    known = spark.range(200).selectExpr("id as doc_id", "id % 2 as y").unionAll(spark.range(1000, 1000 + extra).selectExpr("id", "id % 2"))
+    whole = stats.join(known, "doc_id").orderBy(F.xxhash64("doc_id")).limit(sample).select("y", *quality.STATS)
+    assert quality.least_hashes(stats, known, sample).collect() == whole.collect()
