@@ -20,18 +20,24 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import cached_property
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from convoke.llm import text as T
+
 BLANK = "▁"
 SEGMENTS = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
 #: Bytes that the kept segments take (each counts KEEP more than its text and ids), and arcs that are kept.
 CACHE, KEEP, ARCS = 48 << 20, 200, 400_000
+#: Bytes of texts or ids that are in hand at a time.
+SLICE = 4 << 20
 NONE: dict = {}
 
 
@@ -85,18 +91,22 @@ class Transducer:
         self.score = {p: model.get_score(i) for p, i in self.ids.items()}
         if any(re.search(f"[^{BLANK}]{BLANK}", p) for p in self.ids):
             raise ValueError("a piece goes on into a blank")
-        # the trie: a node is a dict from characters to nodes, and from "" to the id of the piece that ends there
-        self.trie: dict = {}
-        for p, i in self.ids.items():
-            node = self.trie
-            for c in p:
-                node = node.setdefault(c, {})
-            node[""] = i
         self.arcs: dict[int, dict[int, bool]] = {}
         self.arc_count = 0
         self.known: dict[str, bytes] = {}
         self.held = 0
 
+    @cached_property
+    def trie(self) -> dict:
+        """A node is a dict from characters to nodes, and from "" to the id of the piece that ends there. Decoding needs none."""
+        root: dict = {}
+        for p, i in self.ids.items():
+            node = root
+            for c in p:
+                node = node.setdefault(c, {})
+            node[""] = i
+        return root
+
     def merge(self, text: str) -> list[str]:
         """BPE by its definition: the neighbours whose union scores best, the leftmost of them, merge first."""
         part: list[str] = list(text)
@@ -209,14 +219,13 @@ class Transducer:
 
     def decode(self, ids: bytes) -> str:
         """The text of ids; bytes that aren't UTF-8 become U+FFFD. Control pieces have no text."""
-        raw = self.decoder()
+        raw = self.decoder
         text = b"".join([raw[i] for i in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", "replace")
         return text.removeprefix(" ")
 
+    @cached_property
     def decoder(self) -> list[bytes]:
-        if not hasattr(self, "_decoder"):
-            self._decoder = [bytes([self.byte_of[i]]) if i in self.byte_of else p.replace(BLANK, " ").encode() if p in self.ids else b"" for i, p in enumerate(self.pieces)]
-        return self._decoder
+        return [bytes([self.byte_of[i]]) if i in self.byte_of else p.replace(BLANK, " ").encode() if p in self.ids else b"" for i, p in enumerate(self.pieces)]
 
 
 _compiled: dict[str, Transducer] = {}
@@ -228,6 +237,13 @@ def transducer(path: str) -> Transducer:
     return _compiled[path]
 
 
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches' rows, cut by the bytes of column 1."""
+    for batch in batches:
+        for a, b in T.slices(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False), SLICE):
+            yield batch.slice(a, b - a)
+
+
 def encoded(documents: DataFrame, model: str) -> DataFrame:
     """(doc_id, ids): ids as little-endian unsigned 32-bit integers, for each row of documents(doc_id, text, ...).
 
@@ -236,8 +252,8 @@ def encoded(documents: DataFrame, model: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = transducer(model).encode
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([encode(t) for t in batch.column(1).to_pylist()], pa.binary())], names=["doc_id", "ids"])
+        for part in sliced(batches):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([encode(t) for t in part.column(1).to_pylist()], pa.binary())], names=["doc_id", "ids"])
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary")
 
@@ -247,9 +263,9 @@ def decoded(ids: DataFrame, model: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decode = transducer(model).decode
-        for batch in batches:
-            raw = batch.column(1).to_pylist()
+        for part in sliced(batches):
+            raw = part.column(1).to_pylist()
             columns = [pa.array([len(x) // 4 for x in raw], pa.int64()), pa.array([zlib.crc32(x) for x in raw], pa.int64()), pa.array([decode(x) for x in raw], pa.string())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n_ids", "ids_crc32", "text"])
+            yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["doc_id", "n_ids", "ids_crc32", "text"])
 
     return ids.select("doc_id", "ids").mapInArrow(run, "doc_id long, n_ids long, ids_crc32 long, text string")
