@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from convoke.llm import text as T
@@ -33,8 +33,10 @@ from convoke.llm.scratch import Scratch, partitions
 
 WORDS, PERCENT = 5, 75
 HASHES, BITS, GROUP = 8, 2048, 32
-#: A token is noted as frequent if so many of a batch's documents have it; at most HOT_MOST of them, the most frequent, go into the order of tokens. Neither changes a result.
+#: A token is noted as frequent if so many of a batch's documents have it; about HOT_MOST of them at most, the most frequent, go into the order of tokens. Neither changes a result.
 HOT_LEAST, HOT_MOST = 2, 1 << 19
+#: Steps of counts for each doubling, by which the most frequent tokens are found.
+STEPS = 16
 #: Shingles of all sets for each bucket of the matrix, whose prefixes are about a quarter of them.
 BUCKET = 2_000_000
 #: Documents whose sets, and bytes of text that, are in hand at a time.
@@ -273,7 +275,8 @@ def jaccard_components(spark: SparkSession, documents: DataFrame, size: int = WO
         docs = rows.select(F.col("row").alias("doc_id"), "text")
     made = scratch.write(docs.mapInArrow(profile(size), PROFILE), "profile")
     own = made.where("n is not null")
-    hot = made.where("token is not null").groupBy("token").agg(F.sum("seen").alias("seen")).orderBy(F.desc("seen"), "token").limit(HOT_MOST).toArrow()
+    counted = scratch.write(made.where("token is not null").groupBy("token").agg(F.sum("seen").alias("seen")), "tokens")
+    hot = counted.where(most_frequent(counted, HOT_MOST)).toArrow()
     key, count = hot["token"].to_numpy().view(np.uint64), hot["seen"].to_numpy()
     by = np.argsort(key)
     frequent = spark.sparkContext.broadcast((key[by], count[by]))
@@ -326,6 +329,19 @@ def jaccard_components(spark: SparkSession, documents: DataFrame, size: int = WO
     return out if rows is None else by_id(out, rows, scratch)
 
 
+def most_frequent(counted: DataFrame, most: int) -> Column:
+    """The condition of about most rows of (token, seen) with the largest counts, without sorting them: whole steps of counts, and of the next step a part by hash. A few hundred numbers come to the driver."""
+    step = F.floor(STEPS * F.log2("seen"))
+    sizes = dict(counted.groupBy(step.alias("step")).agg(F.count("*").alias("c")).collect())
+    room = most
+    for k in sorted(sizes, reverse=True):
+        if sizes[k] > room:
+            part = F.pmod(F.xxhash64("token"), F.lit(1 << 32)) < F.lit((room << 32) // sizes[k])
+            return (step > k) | ((step == k) & part)
+        room -= sizes[k]
+    return F.lit(True)
+
+
 def documents_repeat(docs: DataFrame) -> bool:
     return not docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").isEmpty()
 

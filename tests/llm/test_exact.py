@@ -139,3 +139,13 @@ def test_least_hashes_are_those_of_sorting_all(spark, sample, extra):
     known = spark.range(200).selectExpr("id as doc_id", "id % 2 as y").unionAll(spark.range(1000, 1000 + extra).selectExpr("id", "id % 2"))
     whole = stats.join(known, "doc_id").orderBy(F.xxhash64("doc_id")).limit(sample).select("y", *quality.STATS)
     assert quality.least_hashes(stats, known, sample).collect() == whole.collect()
+
+
+@pytest.mark.parametrize("most", [0, 1, 100, 1000, 5000])
+def test_most_frequent_tokens(spark, most):
+    """About as many as there is room for, none of them less frequent than a step below one that is left out."""
+    counted = spark.range(3000).selectExpr("id as token", "2 + cast(3000 / (1 + id) as long) as seen")
+    kept = counted.where(jaccard.most_frequent(counted, most))
+    seen, left = [r["seen"] for r in kept.collect()], [r["seen"] for r in counted.exceptAll(kept).collect()]
+    assert abs(len(seen) - min(most, 3000)) <= 4 * most**0.5
+    assert not seen or not left or min(seen) * 2 ** (1 / jaccard.STEPS) >= max(left) - 1
