@@ -149,6 +149,24 @@ def content_checksum(spark, d):
     return C.wrapping_checksum(h, "h")
 
 
+@query("""with wanted as (select vec_id as object_id from embeddings union all select -1 - vec_id from embeddings)
+    select object_id, v.vec_id is not null as local, (4 * len(v.embedding))::bigint as n_bytes from wanted left join embeddings v on object_id = v.vec_id""")
+def objects_local_or_not(spark, d):
+    """Every object is asked for, and as many ids that none has."""
+    held = vecs(spark, d)
+    wanted = held.select("object_id").unionAll(held.select((-1 - F.col("object_id")).alias("object_id")))
+    there = O.exists(held, wanted)
+    return wanted.join(there, "object_id", "left").select("object_id", F.col("n_bytes").isNotNull().alias("local"), "n_bytes")
+
+
+@query("""select event_id, event_type, (1024 << ((user_id % 4) * 10))::bigint as size, value from events where contains(event_type, 'c') and (1024 << ((user_id % 4) * 10)) in (1024, 1048576, 1073741824)""")
+def name_and_size_filter(spark, d):
+    """Results of one kind and of three of the four sizes; sizes come as text, as from a log, and are cast."""
+    size = F.expr("shiftleft(1024L, cast((user_id % 4) * 10 as int))").cast("string").alias("size")
+    e = table(spark, d, "events").select("event_id", "event_type", size, "value").withColumn("size", F.col("size").cast("long"))
+    return e.where(F.contains("event_type", F.lit("c")) & F.col("size").isin(2**10, 2**20, 2**30))
+
+
 # --- statistics and small lookups
 
 
