@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convoke.llm import counts, fingerprints, jaccard, language, packing, quality, repeats, token_files, transducer, vectors
+from convoke.llm import counts, fingerprints, jaccard, language, mixing, packing, quality, repeats, token_files, transducer, vectors
 from convoke.llm.scratch import Scratch
 
 QUERIES: dict = {}
@@ -108,3 +108,24 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(spark, documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+SQL["op12_mixing"] = f"""
+with t as (select doc_id, source, ('0x' || md5(coalesce(text, ''))[1:15])::bigint as digest, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint as size from documents),
+c as (select *, row_number() over (partition by doc_id, source, digest, size) - 1 as n, greatest(1, least({mixing.COPIES}, {mixing.TOGETHER} // greatest(size, 1))) as most from t),
+d as (select *, n // most as chunk, n % most as copy from c),
+p as (select *, ('0x' || md5(coalesce(doc_id::varchar, 'null') || ':' || digest || ':' || chunk)[1:15])::bigint as spot from d),
+s as (select source, sum(size)::bigint as source_size, [{", ".join(map(str, mixing.WEIGHTS))}][1 + (row_number() over (order by source nulls last) - 1) % {len(mixing.WEIGHTS)}] as weight from t group by source),
+o as (select *, row_number() over (order by source_size / weight, source nulls last) as i, sum(source_size) over () as words, sum(weight) over () as weights from s),
+l as (select *, ({mixing.SHARE} * words - {mixing.MOST} * coalesce(sum(source_size) over (order by i rows between unbounded preceding and 1 preceding), 0)) / (weights - coalesce(sum(weight) over (order by i rows between unbounded preceding and 1 preceding), 0)) as level from o),
+v as (select case when max(words) = 0 then 0.0 else arg_min(level, i) filter (weight * level < {float(mixing.MOST)} * source_size) end as level from l),
+g as (select source, source_size, least({float(mixing.MOST)} * source_size, v.level * weight)::double as target from s, v),
+q as (select p.*, source_size, target, floor(target)::bigint as words, sum(size) over (partition by p.source order by spot, doc_id nulls first, digest, size, chunk, copy rows unbounded preceding) - size as start
+    from p join g on p.source is not distinct from g.source)
+select doc_id, size, source_size, target, (case when size = 0 then 0 else words // source_size * size + greatest(0, least(start + size, words % source_size) - start) end)::bigint as taken from q
+"""
+
+
+@query
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(spark, documents(spark, sf_dir))
