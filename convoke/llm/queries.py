@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convoke.llm import counts, fingerprints, jaccard, language, mixing, packing, quality, repeats, token_files, transducer, vectors
+from convoke.llm import alignment, counts, fingerprints, jaccard, language, mixing, packing, quality, repeats, token_files, transducer, vectors
 from convoke.llm.scratch import Scratch
 
 QUERIES: dict = {}
@@ -129,3 +129,8 @@ select doc_id, size, source_size, target, (case when size = 0 then 0 else words
 @query
 def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(spark, documents(spark, sf_dir))
+
+
+@query
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.linked_counts(spark, documents(spark, sf_dir), *map(public_tokenizers.path, ("byte_bpe_50k.json", "piece_bpe_32k.model")))

@@ -26,10 +26,12 @@ TAIL = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 LETTER_LAST, LATIN = "[A-Za-zÀ-ÖØ-öø-ÿ]\\z", "\\A[\\x00-ÿ]*\\z"
 
 
-def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """(keys of all texts, how many each has). A key is a piece without its space, or with its newline; one is put before the first piece."""
+def split(texts: pa.Array, lead: bool = False) -> tuple[pa.Array, np.ndarray]:
+    """(keys of all texts, how many each has). A key is a piece without its space, or with its newline; one is put before the first piece, unless a space leads."""
     rows = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
     n = pc.list_value_length(rows).to_numpy().astype(np.int64)
+    if lead:
+        return rows.flatten(), n
     first = np.zeros(int(n.sum()), bool)
     first[np.cumsum(n) - n] = True
     keys = rows.flatten()
@@ -57,10 +59,12 @@ def edges(size: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
+        """plain: the strings of special tokens are ordinary text."""
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = plain
         #: A part without letters, which no folding of case changes, of each special token's string.
-        self.special = list({max(re.split(r"[^\W\d_]+", t.content), key=len) or t.content for t in self.tokenizer.get_added_tokens_decoder().values()})
+        self.special = [] if plain else list({max(re.split(r"[^\W\d_]+", t.content), key=len) or t.content for t in self.tokenizer.get_added_tokens_decoder().values()})
         self.vocabulary = self.tokenizer.get_vocab()
         *self.lead, self.mark = self.ids(f" {MARK}").tolist()
         self.folds = np.array_equal(self.ids(" A"), self.ids(" a"))
@@ -161,17 +165,17 @@ class Encoder:
             out.append(b"".join(own))
         return out
 
-    def flat(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts one after another, ids of each text); a null or empty text has none. After each text stands the end id, if any."""
-        out = self.joined(texts, end)
+    def flat(self, texts: pa.Array, end: int | None = None, lead: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, ids of each text); a null or empty text has none. After each text stands the end id, if any; with lead, a space is put before each."""
+        out = self.joined(texts, end, lead)
         pa.default_memory_pool().release_unused()  # the worker may serve other operators next
         return out
 
-    def joined(self, texts: pa.Array, end: int | None) -> tuple[np.ndarray, np.ndarray]:
+    def joined(self, texts: pa.Array, end: int | None, lead: bool) -> tuple[np.ndarray, np.ndarray]:
         texts = texts.cast(pa.large_string()).fill_null("")
         if not len(texts):
             return np.zeros(0, "<u4"), np.zeros(0, np.int64)
-        keys, n = split(texts)
+        keys, n = split(texts, lead)
         coded = keys.dictionary_encode()
         ids, edge, ok = self.table(coded.dictionary)
         of = coded.indices.to_numpy()
@@ -179,7 +183,8 @@ class Encoder:
         for s in self.special:
             odd |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
         other = np.flatnonzero(odd)
-        raw = [*self.whole(strings(texts.take(pa.array(other)))), *([] if end is None else [np.array([end], "<u4").tobytes()])]
+        given = strings(texts.take(pa.array(other)))
+        raw = [*self.whole([f" {t}" if t else t for t in given] if lead else given), *([] if end is None else [np.array([end], "<u4").tobytes()])]
         size = np.concatenate([np.diff(edge), np.array([len(p) // 4 for p in raw], np.int64)])
 
         # a text's place in the result: its keys, or what whole() gave, then the end
@@ -191,7 +196,7 @@ class Encoder:
         use[(last - m)[other]], own[(last - m)[other]] = len(ok) + np.arange(len(other)), False
         use[own] = of[~np.repeat(odd, n)]
         out, counts = lists(np.concatenate([ids, np.frombuffer(b"".join(raw), "<u4")]), edges(size), use), np.add.reduceat(size[use], last - m)
-        if self.line:  # the newline before a text
+        if self.line and not lead:  # the newline before a text
             keep = np.ones(len(out), bool)
             begin = (np.cumsum(counts) - counts)[~odd]
             for i in range(self.line):
