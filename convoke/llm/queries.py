@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convoke.llm import alignment, counts, fingerprints, jaccard, language, mixing, packing, quality, repeats, token_files, transducer, vectors
+from convoke.llm import alignment, conversations, counts, fingerprints, jaccard, language, mixing, packing, quality, repeats, token_files, transducer, vectors
 from convoke.llm.scratch import Scratch
 
 QUERIES: dict = {}
@@ -134,3 +134,8 @@ def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.linked_counts(spark, documents(spark, sf_dir), *map(public_tokenizers.path, ("byte_bpe_50k.json", "piece_bpe_32k.model")))
+
+
+@query
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repaired_conversations(spark, table(spark, sf_dir, "conversations"))
