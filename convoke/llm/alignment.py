@@ -1,7 +1,7 @@
 """Alignment of two tokenizers by a sweep over the ends of their tokens.
 
 Each side gives events: where a token ends, in bytes from the text's start, and its id. A row holds the events of one document,
-side and block of SPAN bytes. The rows of both sides are put together, dealt by document and sorted by block within their
+side and block of SPAN bytes: where the first of its tokens begins, and the ids, from whose bytes the ends follow. The rows of both sides are put together, dealt by document and sorted by block within their
 partitions; a machine then streams through them. Where tokens of both sides end, a group closes. The machine keeps what
 was not closed yet, a digest's state and the document's distinct pairs; everything else goes out as documents end.
 
@@ -28,8 +28,8 @@ from convoke.llm.tokens import Encoder, edges, lists
 SPAN, SLICE, PART, DENSE = 1 << 18, 4_000_000, 32_000_000, 4096
 #: Bits of an offset within a document, beside its number among those in hand.
 OFFSET = 44
-EVENTS = "row long, doc_id long, block long, side int, start long, ids binary, sizes binary"
-SWEPT = "part long, row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<long>, a array<array<int>>, b array<array<int>>"
+EVENTS = "row long, doc_id long, block long, side int, start long, ids binary"
+SWEPT = "part long, row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<{pair}>, times array<int>, a array<array<int>>, b array<array<int>>"
 
 
 def byte_letters() -> dict[str, int]:
@@ -46,7 +46,6 @@ class Side:
         self.data = np.frombuffer(b"".join(tokens), np.uint8)
         self.edge = edges(self.size)
         self.id_type = "<u2" if len(tokens) <= 1 << 16 else "<u4"
-        self.size_type = "<u1" if self.size.max(initial=0) < 256 else "<u4"
 
     def joined(self, ids: np.ndarray) -> np.ndarray:
         return lists(self.data, self.edge, ids.astype(np.int64))
@@ -136,7 +135,7 @@ def packed(docs: list, first: int, good: np.ndarray, coded: list) -> Iterator[pa
     out = []
     for i, (doc, ok) in enumerate(zip(docs, good.tolist(), strict=True)):
         if not ok:
-            out.append((first + i, doc, 0, 0, 0, b"", b""))
+            out.append((first + i, doc, 0, 0, 0, b""))
             continue
         for k, (s, ids, edge) in enumerate(coded):
             own = ids[edge[i] : edge[i + 1]]
@@ -144,10 +143,10 @@ def packed(docs: list, first: int, good: np.ndarray, coded: list) -> Iterator[pa
             end = np.cumsum(size)
             cut = np.searchsorted(end, np.arange(SPAN, int(end[-1]), SPAN), side="right") if end[-1] > SPAN else np.zeros(0, np.int64)
             for block, (x, y) in enumerate(zip([0, *cut.tolist()], [*cut.tolist(), len(own)], strict=True)):
-                out.append((first + i, doc, block, k, int(end[x] - size[x]) if x < y else 0, own[x:y].astype(s.id_type).tobytes(), size[x:y].astype(s.size_type).tobytes()))
+                out.append((first + i, doc, block, k, int(end[x] - size[x]) if x < y else 0, own[x:y].astype(s.id_type).tobytes()))
     if out:
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["row", "doc_id", "block", "side", "start", "ids", "sizes"])
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["row", "doc_id", "block", "side", "start", "ids"])
 
 
 class Sweep:
@@ -192,7 +191,7 @@ class Sweep:
         for k, s in enumerate(self.sides):
             own = [(d, r) for d, r in zip(of, rows, strict=True) if r[3] == k and r[5]]
             i = np.frombuffer(b"".join([r[5] for _, r in own]), s.id_type).astype(np.int64)
-            size = np.frombuffer(b"".join([r[6] for _, r in own]), s.size_type).astype(np.int64)
+            size = s.size[i]
             n = np.array([len(r[5]) // np.dtype(s.id_type).itemsize for _, r in own], np.int64)
             total = per_document(size, n)
             base = np.array([(d << OFFSET) + r[4] for d, r in own], np.int64) - (np.cumsum(total) - total)
@@ -267,26 +266,31 @@ def swept(a: str, b: str, keep: bool):
     """Rows in order of (row, block, side) -> SWEPT."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wide = pair_type(side(a), side(b)) == "long"
         machine, held, weight = Sweep((side(a), side(b)), TaskContext.get().partitionId(), keep), [], 0
         for batch in batches:
             for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if weight > SLICE and (r[0], r[2]) != (held[-1][0], held[-1][2]):
-                    yield from table(machine.take(held, False))
+                    yield from table(machine.take(held, False), wide)
                     held, weight = [], 0
                 held.append(r)
-                weight += len(r[5]) + len(r[6])
-        yield from table(machine.take(held, True))
+                weight += 2 * len(r[5])
+        yield from table(machine.take(held, True), wide)
 
     return run
 
 
-def table(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+def pair_type(a: Side, b: Side) -> str:
+    return "int" if len(a.size) * len(b.size) < 1 << 31 else "long"
+
+
+def table(rows: list[tuple], wide: bool) -> Iterator[pa.RecordBatch]:
     if rows:
         *plain, pairs, times, a, b = zip(*rows, strict=True)
         kinds = [*[pa.int64()] * 7, pa.string()]
-        flat = lambda x: pa.ListArray.from_arrays(pa.array(edges(np.array([len(v) for v in x])), pa.int32()), pa.array(np.concatenate(x)))
+        flat = lambda x, t: pa.ListArray.from_arrays(pa.array(edges(np.array([len(v) for v in x])), pa.int32()), pa.array(np.concatenate(x).astype(t)))
         nested = pa.list_(pa.list_(pa.int32()))
-        yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(plain, kinds, strict=True)), flat(pairs), flat(times), pa.array(a, nested), pa.array(b, nested)], names=[f.split()[0] for f in SWEPT.split(", ")])
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(plain, kinds, strict=True)), flat(pairs, np.int64 if wide else np.int32), flat(times, np.int32), pa.array(a, nested), pa.array(b, nested)], names=[f.split()[0] for f in SWEPT.split(", ")])
 
 
 def aligned(spark: SparkSession, documents: DataFrame, a: str, b: str, keep: bool = False) -> DataFrame:
@@ -297,13 +301,13 @@ def aligned(spark: SparkSession, documents: DataFrame, a: str, b: str, keep: boo
     """
     size = documents.agg(F.sum(F.octet_length(F.col("text").cast("string")).cast("long"))).first()[0] or 0
     parts = max(partitions(spark), -(-size // PART))
-    swept_rows = events(documents, a, b).repartition(parts, "row").sortWithinPartitions("row", "block", "side").mapInArrow(swept(a, b, keep), SWEPT)
+    swept_rows = events(documents, a, b).repartition(parts, "row").sortWithinPartitions("row", "block", "side").mapInArrow(swept(a, b, keep), SWEPT.format(pair=pair_type(side(a), side(b))))
     return Scratch(spark, "alignment").write(swept_rows, "swept")
 
 
 def pair_counts(found: DataFrame, wide: int) -> DataFrame:
     """(part, pair, docs, best): for each part's pairs, in how many documents of all they are linked, and whether no other pair of the same id of a is in more."""
-    asked = found.select("part", F.explode("pairs").alias("pair")).groupBy("part", "pair").agg(F.count("*").alias("docs"))
+    asked = found.select("part", F.explode("pairs").alias("pair")).select("part", F.col("pair").cast("long").alias("pair")).groupBy("part", "pair").agg(F.count("*").alias("docs"))
     counts = asked.groupBy("pair").agg(F.sum("docs").alias("docs"))
     counts = counts.withColumn("first", F.floor(F.col("pair") / wide))
     most = counts.groupBy("first").agg(F.max("docs").alias("most"))
@@ -320,7 +324,7 @@ def score(docs: pa.Table, known: pa.Table) -> pa.Table:
     pair, count, best = known["pair"].to_numpy(), known["docs"].to_numpy(), known["best"].to_numpy(zero_copy_only=False)
     pairs, times = docs["pairs"].combine_chunks(), docs["times"].combine_chunks()
     n = pairs.value_lengths().to_numpy(zero_copy_only=False)
-    at, t = np.searchsorted(pair, pairs.flatten().to_numpy()), times.flatten().to_numpy()
+    at, t = np.searchsorted(pair, pairs.flatten().to_numpy().astype(np.int64)), times.flatten().to_numpy().astype(np.int64)
     made = {"count_sum": per_document(t * count[at], n), "n_best": per_document(np.where(best[at], t, 0), n)}
     names = [f.split()[0] for f in SCORED.split(", ")]
     return pa.table([pa.array(made[c]) if c in made else docs[c] for c in names], names=names)

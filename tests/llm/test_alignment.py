@@ -102,7 +102,7 @@ def machine(rows, span, slice_, dense, monkeypatch) -> Counter:
             out += sweep.take(held, False)
             held, weight = [], 0
         held.append(r)
-        weight += len(r[5]) + len(r[6])
+        weight += 2 * len(r[5])
     out += sweep.take(held, True)
     for r in out:
         assert [len(r[-2]), len(r[-1])] == [r[5], r[5]] and sum(map(len, r[-2])) == r[3] and sum(map(len, r[-1])) == r[4]
