@@ -3,7 +3,7 @@
 Rows are range-partitioned by group and order, so a group of any size is spread over as many partitions as its rows fill.
 Within a partition a window does the work; what the earlier partitions of the same group contribute is one row a partition.
 Only the groups at a partition's ends can go on in another: there are at most two of them a partition, and only they are
-aggregated again.
+aggregated again. That bounds what is broadcast, two rows a partition, so that the rows of a hot group are never dealt by it.
 """
 
 from collections.abc import Mapping
@@ -34,7 +34,7 @@ def scan(df: DataFrame, keys: list[str], order: list[str], sums: Mapping[str, Co
     ends = rows.groupBy("_part").agg(F.min(group).alias("lo"), F.max(group).alias("hi"))
     shared = ends.select("_part", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("_g")).groupBy("_g").agg(F.count("*").alias("c")).where("c > 1").select("_g")
     keyed = rows.withColumn("_g", group)  # a struct is never null, and null fields of it are equal
-    parts = keyed.join(shared, "_g", "left_semi").groupBy("_g", "_part").agg(
+    parts = keyed.join(F.broadcast(shared), "_g", "left_semi").groupBy("_g", "_part").agg(
         F.count("*").alias("_n"),
         *[F.sum(f"_s_{n}").alias(f"_s_{n}") for n in sums],
         *[F.max_by(F.col(f"_l_{n}"), F.when(F.col(f"_l_{n}").isNotNull(), place)).alias(f"_l_{n}") for n in lasts],
@@ -47,7 +47,7 @@ def scan(df: DataFrame, keys: list[str], order: list[str], sums: Mapping[str, Co
         *[F.last(f"_l_{n}", ignorenulls=True).over(before).alias(f"_c_l_{n}") for n in lasts],
         *[F.sum(f"_t_{n}").over(Window.partitionBy("_g")).alias(f"_c_t_{n}") for n in totals],
     )
-    joined = keyed.join(carried, ["_g", "_part"], "left")
+    joined = keyed.join(F.broadcast(carried), ["_g", "_part"], "left")
     own = Window.partitionBy("_part", *keys)
     run = own.orderBy(*order)
     upto, back = run.rowsBetween(Window.unboundedPreceding, 0), run.rowsBetween(Window.unboundedPreceding, -1)
