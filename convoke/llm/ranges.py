@@ -22,9 +22,10 @@ def ordered(documents: DataFrame) -> DataFrame:
     return docs.withColumn("digest", F.xxhash64("text"))
 
 
-def part(value: Column, low: Column, span: Column, count: Column) -> Column:
-    """Which of count equal parts of [low, low + span] the value lies in; never falls as the value rises."""
-    share = (value.cast("double") - low) / F.greatest(span, F.lit(1.0)) * count
+def part(value: Column, low: Column, high: Column, count: Column) -> Column:
+    """Which of count equal parts of [low, high] the value lies in; never falls as the value rises. Differences are exact: longs that lie close together are told apart, however large."""
+    wide = lambda c: c.cast("decimal(20,0)")
+    share = (wide(value) - wide(low)).cast("double") / F.greatest((wide(high) - wide(low)).cast("double"), F.lit(1.0)) * count
     return F.greatest(F.lit(0).cast("long"), F.least(count.cast("long") - 1, F.floor(share)))
 
 
@@ -45,8 +46,8 @@ def ordered_ranges(spark: SparkSession, documents: DataFrame, size: int) -> Data
     scratch = Scratch(spark, "ranges")
     known = documents.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("doc_id").alias("rows")).first()
     n = max(1, known["rows"] // ROWS)
-    low, high = float(known["low"] or 0), float(known["high"] or 0)
-    first = F.when(F.col("doc_id").isNull(), F.lit(-1).cast("long")).otherwise(part(F.col("doc_id"), F.lit(low), F.lit(high - low), F.lit(n)))
+    low, high = (F.lit(known[c] or 0).cast("long") for c in ("low", "high"))
+    first = F.when(F.col("doc_id").isNull(), F.lit(-1).cast("long")).otherwise(part(F.col("doc_id"), low, high, F.lit(n)))
     rows, path = documents.withColumn("cell0", first), ["cell0"]
     sizes = [F.sum((F.octet_length("text") + 1).cast("long")).alias("bytes"), *(f(c).alias(f"{name}_{c}") for c in ("doc_id", "digest") for name, f in (("low", F.min), ("high", F.max)))]
     cells = scratch.write(rows.groupBy(*path).agg(*sizes), "cells")
@@ -57,7 +58,7 @@ def ordered_ranges(spark: SparkSession, documents: DataFrame, size: int) -> Data
             break
         new, parts = f"cell{len(path)}", F.col("parts")
         rows = rows.join(cut.select(*path, "low_doc_id", "high_doc_id", "low_digest", "high_digest", (F.ceil(F.col("bytes") / size) * SUB).alias("parts")), path, "left")
-        by_id, by_text = (part(F.col(c), F.col(f"low_{c}").cast("double"), F.col(f"high_{c}").cast("double") - F.col(f"low_{c}"), parts) for c in ("doc_id", "digest"))
+        by_id, by_text = (part(F.col(c), F.col(f"low_{c}"), F.col(f"high_{c}"), parts) for c in ("doc_id", "digest"))
         place = F.when(parts.isNull(), F.lit(0).cast("long")).when(F.col("low_doc_id") < F.col("high_doc_id"), by_id).otherwise(by_text)
         rows = rows.withColumn(new, place)
         fine = rows.where(parts.isNotNull()).groupBy(*path, new).agg(*sizes)

@@ -25,7 +25,7 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
@@ -336,6 +336,11 @@ def remove(window: int, schema: pa.Schema):
     return run
 
 
+def chunk_of(chunks: int) -> Column:
+    """By id and text: neither many rows of one id, or without one, nor many texts of one length share a chunk."""
+    return F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks).cast("long"))
+
+
 def remove_repeats(spark: SparkSession, documents: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, hot: int = HOT) -> DataFrame:
     """(doc_id, rest, n_words, n_removed, kept_text, spans) for each row of documents(doc_id long, text, ...).
 
@@ -355,7 +360,7 @@ def remove_repeats(spark: SparkSession, documents: DataFrame, window: int = WIND
     buckets, shards = max(2 * parts, chunks), max(4 * parts, 2 * chunks)
     rest = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("rest")
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), rest)
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(chunks).cast("long")))
+    rows = rows.withColumn("chunk", chunk_of(chunks))
     docs = rows.select("doc_id", "text", "chunk") if set(documents.columns) <= {"doc_id", "text"} else rows
     slim = docs.groupBy("chunk")
     sent = slim.applyInArrow(send_anchors(window, anchor, buckets), "bucket long, chunk long, anchors binary")

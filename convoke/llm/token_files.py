@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from convoke.llm import rans
 from convoke.llm.ranges import ordered, ordered_ranges
 from convoke.llm.tokens import encoder
+from convoke.operators.scan import scan
 
 #: Bytes of text in a file, and the end id.
 FILE, END = 4_000_000, 2
@@ -43,22 +44,18 @@ def write_files(spark: SparkSession, documents: DataFrame, path: str, tokenizer:
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32, ids) from the files: start counts the ids of all documents before."""
-    sizes = sorted((r["part"], r["n_ids"]) for r in spark.read.parquet(path).select("part", "n_ids").collect())  # two numbers a file
-    before = spark.sparkContext.broadcast(dict(zip([p for p, _ in sizes], np.cumsum([0, *[n for _, n in sizes]]).tolist(), strict=False)))
-    return spark.read.parquet(path).select("part", "file").mapInArrow(documents_of(before), "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
-
-
-def documents_of(before):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, raw in zip(batch.column("part").to_pylist(), batch.column("file"), strict=True):
-                docs, counts, ids = rans.read_file(raw.as_py())
-                data, edge = ids.astype("<u4").tobytes(), np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
-                own = [data[4 * a : 4 * b] for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
-                start = edge[:-1] + before.value[part]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(docs, pa.int64()), pa.array(start), pa.array(counts.astype(np.int64)), pa.array([zlib.crc32(x) for x in own], pa.int64()), pa.array(own, pa.binary())],
-                    names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"],
-                )
-
-    return run
+    files = spark.read.parquet(path)
+    before = scan(files.select("part", "n_ids"), [], ["part"], {"upto": F.col("n_ids")}).select("part", (F.col("upto") - F.col("n_ids")).alias("before"))
+    return files.select("part", "file").join(before, "part").select("before", "file").mapInArrow(documents_of, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+
+
+def documents_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for before, raw in zip(batch.column("before").to_pylist(), batch.column("file"), strict=True):
+            docs, counts, ids = rans.read_file(raw.as_py())
+            data, edge = ids.astype("<u4").tobytes(), np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+            own = [data[4 * a : 4 * b] for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(docs, pa.int64()), pa.array(edge[:-1] + before), pa.array(counts.astype(np.int64)), pa.array([zlib.crc32(x) for x in own], pa.int64()), pa.array(own, pa.binary())],
+                names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"],
+            )

@@ -45,7 +45,7 @@ def table_keys(x: np.ndarray, label: np.ndarray) -> np.ndarray:
 
 
 def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(rep, label, embedding) -> (rep, key): the keys of all tables."""
+    """(rep, label, embedding) -> (rep, key): the keys of all tables. label is the hash of a label."""
     for batch in batches:
         vectors, label = batch.column("embedding").to_pylist(), batch.column("label").to_numpy()
         lengths = np.array([len(v) for v in vectors])
@@ -124,12 +124,12 @@ def near_vectors(spark: SparkSession, vectors: DataFrame, cosine: float = COSINE
 
     Vectors are compared within a label. A vector that is null, empty or zero, or has null, infinite or NaN components, or a
     null label or vec_id, links with nothing; vectors of different lengths don't link. Rows of equal vec_id are vectors of their
-    own under one id. A row with a null vec_id has a null component and isn't kept.
+    own under one id. Labels are of any type that can be grouped, and equal as Spark has it: 0.2 is not 0.7. A row with a null vec_id has a null component and isn't kept.
     """
     scratch = Scratch(spark, "vectors")
     kind = vectors.schema["embedding"].dataType.simpleString()
     given = F.col("embedding").cast(kind if kind == "array<float>" else "array<double>").alias("embedding")
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), given)
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "label", given)
     e = F.col("embedding")
     odd = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     good = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size(e) > 0) & ~F.exists(e, odd) & F.exists(e, lambda x: x != 0), F.lit(False))
@@ -139,7 +139,7 @@ def near_vectors(spark: SparkSession, vectors: DataFrame, cosine: float = COSINE
     repeat = not reps.groupBy("rep").agg(F.count("*").alias("c")).where("c > 1").isEmpty()
     if repeat:  # representatives are numbered, and their numbers stand for vec_id until the end
         reps = scratch.write(reps.withColumnRenamed("rep", "least_id").withColumn("rep", F.monotonically_increasing_id()), "numbered")
-    made = scratch.write(reps.select("rep", "label", "embedding").mapInArrow(keyed, "rep long, key array<long>"), "keys")
+    made = scratch.write(reps.select("rep", F.xxhash64("label").alias("label"), "embedding").mapInArrow(keyed, "rep long, key array<long>"), "keys")
     spots = made.select("rep", F.posexplode("key").alias("t", "k"))  # a key is mixed with its table's number
     sizes = spots.groupBy("k").agg(F.count("*").alias("c")).where("c > 1")
     placed = scratch.write(spots.join(sizes, "k").select("rep", "t", "k", F.ceil(F.col("c") / BLOCK).alias("n")), "placed")
