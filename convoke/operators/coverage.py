@@ -1,31 +1,18 @@
 """Grids of experiments and the ones that have not run."""
 
+from itertools import product
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from convoke.operators.matching import containing
 
 
 def grid(spark: SparkSession, **axes: list) -> DataFrame:
     """All combinations of the axes: literal lists, so the grid is bounded by what the caller wrote."""
-    out = None
-    for name, values in axes.items():
-        axis = spark.createDataFrame([(v,) for v in values], [name])
-        out = axis if out is None else out.crossJoin(F.broadcast(axis))
-    return out
+    return spark.createDataFrame(list(product(*axes.values())), list(axes))
 
 
 def missing(cells: DataFrame, names: DataFrame, key: str, name: str) -> DataFrame:
-    """Grid cells whose key is part of no name: keys and names are parts joined by hyphens, and a key is found as consecutive parts.
-
-    An equi-join on the runs of parts of each name, as long as the keys, so that neither side has to be broadcast.
-    """
-    longest = F.size(F.split(key, "-"))
-    wide = [r[0] for r in cells.select(longest).distinct().collect()]  # the grid's keys: a few lengths
-    parts = F.split(name, "-")
-
-    def runs_of(n: int):
-        starts = F.sequence(F.lit(1), F.greatest(F.size(parts) - n + 1, F.lit(1)))
-        return F.transform(starts, lambda i: F.array_join(F.slice(parts, i, n), "-"))
-
-    runs = [runs_of(n) for n in wide]
-    found = names.select(F.explode(F.array_distinct(F.flatten(F.array(*runs)))).alias(key)).distinct()
-    return cells.join(found, key, "left_anti")
+    """Grid cells whose key is a substring of no name. An empty key is part of any name."""
+    found = containing(names, cells, name, key).select("key").distinct()
+    return cells.join(found, cells[key] == found["key"], "left_anti")

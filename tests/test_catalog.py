@@ -2,7 +2,7 @@
 
 import pytest
 
-from convoke.plans import catalog, workloads  # noqa: F401  (workloads adds its queries to the catalog)
+from convoke.plans import catalog, journals, workloads  # noqa: F401  (the others add their queries to the catalog)
 from tests import compare
 
 
