@@ -2,10 +2,14 @@
 
 from pyspark.sql import functions as F
 
+from convoke.operators import benchstats as B
 from convoke.operators import coverage as V
 from convoke.operators import matching
-from convoke.plans.catalog import GRID, GRID_SQL, query
+from convoke.plans.catalog import GRID, GRID_SQL, query, r
+from convoke.plans.workloads import TASKS
+from convoke.sources import logs
 from convoke.sources.tables import table
+from convoke.sources.workspace import shared_folder
 
 # --- coverage by substring
 
@@ -35,3 +39,88 @@ def keys_in_words(spark, d):
     n = table(spark, d, "nation")
     keys = n.select(F.col("n_name").alias("key")).union(n.select(F.lower(F.substring("n_name", 1, 3)))).union(words.select(F.substring("word", 1, 2)))
     return matching.containing(words, keys, "word", "key").groupBy("key").agg(F.count("*").alias("words"))
+
+
+# --- timelines: every user is a thread; of each four of its events the first and last enclose the others
+
+STEPS = "(select *, row_number() over (partition by user_id order by ts, event_id) as n from events)"
+SPANS = f"""(with p as (select *, (n - 1) % 4 as q, (n - 1) // 4 as block from {STEPS}),
+    s as (select user_id, 1 as level, block, min(event_type) filter (q = 0) as name, min(epoch_us(ts)) filter (q = 0) as b, min(epoch_us(ts)) filter (q = 3) as e from p group by all
+    union all select user_id, 2, block, min(event_type) filter (q = 1), min(epoch_us(ts)) filter (q = 1), min(epoch_us(ts)) filter (q = 2) from p group by all)
+    select * from s where e is not null)"""
+
+
+def engine_lines(spark, d):
+    """Log lines of the engine's form, four of a user's events to two nested functions, with lines of another kind between."""
+    e = B.ordinal(table(spark, d, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp"))), ["user_id"], ["ts", "event_id"])
+    q = (F.col("n") - 1) % 4
+    mark = F.when(q < 2, "[BEGIN]").otherwise("[END]")
+    line = F.concat_ws(" ", F.col("us") * 1000, F.concat(F.lit("app:"), "user_id", F.lit(":7")), F.lit("store.cc:12"), F.col("event_type"), F.lit("]: [TIMELINE]"), F.concat(F.lit("["), "event_id", F.lit("]")), mark, F.col("props"))
+    other = F.concat_ws(" ", F.col("us") * 1000, F.lit("app:1:7 store.cc:12 f ]: nothing of note"))
+    return e.select("event_id", "n", F.explode(F.array(line, other)).alias("line"))
+
+
+@query(f"select 'app:' || user_id as pid, level::bigint as level, name, b::bigint as \"begin\", (e - b)::bigint as took from {SPANS}")
+def timeline_spans(spark, d):
+    """Nested spans of every user's log lines, in microseconds."""
+    lines = logs.timeline(engine_lines(spark, d))
+    s = logs.spans(lines, ["pid", "tid"], ["ns", "n"])
+    return s.select("pid", F.col("level").cast("long").alias("level"), F.regexp_extract("name", r"^(.*)_\[", 1).alias("name"), F.expr("`begin` div 1000").alias("begin"), F.expr("took div 1000").alias("took"))
+
+
+@query("""select event_type || '_[' || event_id || ']' as name, case when (n - 1) % 4 < 2 then 'B' else 'E' end as ph, (epoch_us(ts) // 1000000) || '.' || lpad((epoch_us(ts) // 1000 % 1000)::varchar, 3, '0') as ts, 'app:' || user_id as pid,
+    regexp_replace(props, '\\s+', ' ', 'g') as message from """ + STEPS)
+def trace_of_logs(spark, d):
+    """The trace viewer's document of all log lines, written by many tasks as one document and read again."""
+    path = shared_folder(spark, "trace")
+    logs.write_trace(logs.timeline(engine_lines(spark, d)), f"{path}/trace", "log/latest")
+    return logs.read_document(spark, f"{path}/trace", logs.TRACE_EVENT).select("name", "ph", "ts", "pid", F.col("args.message").alias("message"))
+
+
+# --- log folders: large files in blocks, new folders only, step times, numbered series
+
+
+def folder_lines(spark, d, where: str = "true"):
+    """A folder for each 24th of the users, a file a rank, a line an event: step times by rank."""
+    k = F.col("k")
+    e = B.ordinal(table(spark, d, "events").select("event_id", "value", (F.col("user_id") % 24).alias("k")), ["k"], ["event_id"]).where(where)
+    test, rank = F.element_at(F.array(*map(F.lit, TASKS)), (1 + k % 6).cast("int")), (F.col("n") - 1) % 4
+    step = F.concat(F.lit("x "), rank, F.when(F.col("n") % 2 == 0, " in actor time ").otherwise(" step time: "), F.col("event_id") / 8)
+    return e.select(F.concat_ws("-", F.lit("20210101"), F.lit("0900"), test, 4 + k, 1024 + k).alias("folder"), F.concat(F.lit("rank_"), rank, F.lit(".log")).alias("file"), F.col("n").alias("line_no"), step.alias("line"))
+
+
+RANKED = "(select user_id % 24 as k, event_id, row_number() over (partition by user_id % 24 order by event_id) as i from events)"
+
+
+@query(f"""select k % 6 as test, (i - 1) % 4 as rank, case when i % 2 = 0 then 'actor' else 'step' end as kind, count(*) as n, round(max(event_id / 8.0), 6)::double as slowest, round(avg(event_id / 8.0), 6)::double as mean from {RANKED} group by all""")
+def step_times(spark, d):
+    """Step times of two markers, with the rank that the line names, of all files of all folders."""
+    path = shared_folder(spark, "steps")
+    logs.write_logs(folder_lines(spark, d), path)
+    lines = logs.log_lines(spark, f"{path}/*/*").withColumn("k", logs.folder_parts(F.col("folder"))["nodes"] - 4)
+    step, actor = logs.ranked_step(F.col("line")), logs.ranked_step(F.col("line"), "in actor time")
+    rows = lines.select((F.col("k") % 6).cast("long").alias("test"), F.coalesce(step["rank"], actor["rank"]).cast("long").alias("rank"), F.when(step["rank"].isNull(), "actor").otherwise("step").alias("kind"), F.coalesce(logs.duration(F.col("line"), "step time:"), logs.duration(F.col("line"), "in actor time")).alias("seconds"))
+    return rows.groupBy("test", "rank", "kind").agg(F.count("*").alias("n"), r(F.max("seconds")).alias("slowest"), r(F.avg("seconds")).alias("mean"))
+
+
+@query(f"select k, ((i - 1) // 4)::int as line_no, (i - 1) % 4 as rank, event_id / 8.0::double as seconds, case when k % 2 = 0 then 0 else 1 end::bigint as run from {RANKED}")
+def logs_read_once(spark, d):
+    """Half of the folders are there at first, the others come later; the second run reads only these, and line numbers are those of the files."""
+    path = shared_folder(spark, "incremental")
+    for half in (0, 1):
+        logs.write_logs(folder_lines(spark, d, f"k % 2 = {half}"), f"{path}/logs")
+        read = logs.ingest(spark, f"{path}/logs/*/*", f"{path}/table", f"{path}/state")
+    p = logs.folder_parts(F.col("folder"))
+    return read.select((p["nodes"] - 4).cast("long").alias("k"), "line_no", F.regexp_extract("file", r"(\d+)", 1).cast("long").alias("rank"), F.regexp_extract("line", r"([0-9.]+)$", 1).cast("double").alias("seconds"), F.col("batch").alias("run"))
+
+
+@query("""select event_type as algorithm, (user_id % 4)::int as world_size, round(avg(value), 6) as mean, round(stddev_samp(value), 6) as std, count(value) as repeats from events group by all""")
+def numbered_csv_series(spark, d):
+    """Three files without a header, numbered from 1, hold a third of the measurements each; what comes after a gap isn't read."""
+    path = shared_folder(spark, "series")
+    e = table(spark, d, "events").select(F.col("event_type").alias("algorithm"), (F.col("user_id") % 4).cast("int").alias("world_size"), F.lit(1024).cast("long").alias("object_size"), F.col("value").alias("duration"), (1 + F.col("event_id") % 3).alias("i"))
+    for i in (1, 2, 3, 5):
+        logs.write_csv(e.where(F.col("i") == (i if i < 5 else 1)).drop("i"), f"{path}/result-{i}.csv", False)
+    there = lambda p: logs.exists(spark, p)
+    s = logs.numbered_series(spark, f"{path}/result-%d.csv", there)
+    return s.groupBy("algorithm", "world_size").agg(r(F.avg("duration")).alias("mean"), r(F.stddev_samp("duration")).alias("std"), F.count("duration").alias("repeats"))

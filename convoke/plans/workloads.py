@@ -87,11 +87,11 @@ def csv_results(spark, d):
 
 @query("select user_id % 10 as id, round(avg(value), 6) as duration, case when max(event_id) % 2 = 0 then 'ok' else 'fail' end as event from events group by 1")
 def json_array_events(spark, d):
-    """Records written as one JSON array and read again."""
+    """Records written as one JSON array, by many tasks, and read again."""
     e = table(spark, d, "events").groupBy((F.col("user_id") % 10).alias("id")).agg(r(F.avg("value")).alias("duration"), F.when(F.max("event_id") % 2 == 0, "ok").otherwise("fail").alias("event"))
     path = shared_folder(spark, "json")
-    logs.write_json_array(e, f"{path}/events", ["id"])
-    return logs.events_json(spark, f"{path}/events")
+    logs.write_document(e, f"{path}/events", ["id"])
+    return logs.read_document(spark, f"{path}/events", "id long, duration double, event string")
 
 
 # --- arrival, stores and waiters

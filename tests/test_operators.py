@@ -124,7 +124,8 @@ def test_files(spark, tmp_path):
     (tmp_path / "e.json").write_text('[{"id": 1, "duration": 0.5, "event": "fail"}, {"id": 2, "duration": 1.0, "event": "ok"}]')
     assert logs.events_json(spark, f"{tmp_path}/e.json").where("event = 'fail'").count() == 1
     trace = spark.createDataFrame([("a", "BEGIN", 1005, 1, 2, "m")], "name string, phase string, ts_ms long, pid long, tid long, message string")
-    assert '"ts":"1.005"' in logs.trace_document(trace, "log").first()["trace"]
+    logs.write_trace(trace, f"{tmp_path}/trace", "log")
+    assert '"ts":"1.005"' in logs.document_text(spark, f"{tmp_path}/trace")
 
 
 def test_window_rules(spark):
