@@ -3,12 +3,13 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from convoke.operators.scan import scan
 from convoke.sources.workspace import written
 
 
 def ordinal(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """n: the 1-based position of a measurement within its group."""
-    return df.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    """n: the 1-based position of a measurement within its group, by a scan over ranges: a group with all rows is spread over all tasks."""
+    return scan(df, keys, order, {"n": F.lit(1)})
 
 
 def drop_warmup(df: DataFrame, keys: list[str], order: list[str], first: int) -> DataFrame:
@@ -16,8 +17,7 @@ def drop_warmup(df: DataFrame, keys: list[str], order: list[str], first: int) ->
 
 
 def trim_ends(df: DataFrame, keys: list[str], order: list[str], head: int, tail: int) -> DataFrame:
-    total = F.count("*").over(Window.partitionBy(*keys))
-    return ordinal(df, keys, order).withColumn("total", total).where((F.col("n") > head) & (F.col("n") <= F.col("total") - tail))
+    return scan(df, keys, order, {"n": F.lit(1)}, totals={"total": F.lit(1)}).where((F.col("n") > head) & (F.col("n") <= F.col("total") - tail))
 
 
 def tumbling(df: DataFrame, keys: list[str], order: list[str], width: int, value: str) -> DataFrame:
@@ -69,8 +69,9 @@ def whole_groups(df: DataFrame, group: list[str], unit: str, value: str) -> Data
 
 
 def step_durations(df: DataFrame, keys: list[str], order: list[str], ts: str) -> DataFrame:
-    before = F.lag(ts).over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("took", F.col(ts) - before)
+    """took: the time since the row before in its group; null for the first, and beside a null time."""
+    before = scan(df, keys, order, lasts={"_before": F.struct(ts)})
+    return before.withColumn("took", F.col(ts) - F.col(f"_before.{ts}")).drop("_before")
 
 
 def accuracy(df: DataFrame, predicted: str, label: str):

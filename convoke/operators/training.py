@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from convoke.operators.reduce import reduce_cells
+from convoke.operators.scan import scan
 
 
 def tensor_offsets(tensors: DataFrame, keys: list[str], order: str, vec: str) -> DataFrame:
     """start: elements of the tensors before this one when they are packed into one buffer."""
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return tensors.withColumn("start", F.coalesce(F.sum(F.size(vec).cast("long")).over(w), F.lit(0).cast("long")))
+    size = F.coalesce(F.size(vec).cast("long"), F.lit(0))
+    return scan(tensors, keys, [order], {"_upto": size}).withColumn("start", F.col("_upto") - size).drop("_upto")
 
 
 def pack(tensors: DataFrame, keys: list[str], order: str, vec: str) -> DataFrame:

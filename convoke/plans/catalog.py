@@ -294,7 +294,7 @@ def log_trial_max_over_ranks(spark, d):
     """A folder's events are dealt to four ranks in turn, so that about a quarter of the folders have as many for each."""
     e = table(spark, d, "events").withColumn("folder", F.col("user_id") % 50)
     dealt = B.ordinal(e, ["folder"], ["event_id"]).select("folder", "event_id", "value", ((F.col("n") - 1) % 4).alias("rank"))
-    return B.slowest_by_trial(dealt, ["folder"], "rank", ["event_id"], "value").withColumn("slowest", r("slowest"))
+    return B.slowest_by_trial(dealt, ["folder"], "rank", ["event_id"], "value").select("folder", F.col("n").cast("int").alias("n"), r("slowest").alias("slowest"))
 
 
 @query(f"""with m as (select *, row_number() over (partition by test, rank order by event_id) as n from {MEASURED} where seconds > 0),
@@ -355,7 +355,7 @@ def pairwise_mean(spark, d):
 
 @query(f"select test, rank, event_id, n::int as n from {NUMBERED} where n > 4 and n <= total - 3")
 def trim_ends(spark, d):
-    return B.trim_ends(measured(spark, d), ["test", "rank"], ["ts", "event_id"], 4, 3).select("test", "rank", "event_id", "n")
+    return B.trim_ends(measured(spark, d), ["test", "rank"], ["ts", "event_id"], 4, 3).select("test", "rank", "event_id", F.col("n").cast("int").alias("n"))
 
 
 @query("""select event_id, user_id, epoch_us(ts) - epoch_us(lag(ts) over (partition by user_id order by ts, event_id)) as took_us from events""")
