@@ -8,6 +8,8 @@ partial aggregation adds within each task before the shuffle, whatever the numbe
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from convoke.operators.exact import exact_sum
+
 OPS = {"sum": F.sum, "min": F.min, "max": F.max, "prod": F.product}
 
 
@@ -20,10 +22,12 @@ def positions(vectors: DataFrame, keys: list[str], vec: str = "vec") -> DataFram
     return vectors.select(*keys, F.posexplode(vec).alias("pos", "x")).withColumn("x", F.col("x").cast("double"))
 
 
-def reduce_cells(vectors: DataFrame, keys: list[str], vec: str = "vec", op: str = "sum") -> DataFrame:
-    """One row for each key and position: (keys, pos, value double). Sums are in double whatever the input's type."""
-    if op not in OPS:
+def reduce_cells(vectors: DataFrame, keys: list[str], vec: str = "vec", op: str = "sum", exact: bool = False) -> DataFrame:
+    """One row for each key and position: (keys, pos, value double). Sums are in double whatever the input's type; exact ones are rounded once, so their bits are the same for any partitioning."""
+    if op not in OPS or exact and op != "sum":
         raise ValueError(f"no such reduction: {op}")
+    if exact:
+        return exact_sum(positions(vectors, keys, vec), [*keys, "pos"], "x")
     return positions(vectors, keys, vec).groupBy(*keys, "pos").agg(OPS[op]("x").alias("value"))
 
 

@@ -3,9 +3,13 @@
 from pyspark.sql import functions as F
 
 from convoke.operators import benchstats as B
+from convoke.operators import buffers as U
 from convoke.operators import coverage as V
+from convoke.operators import exact as X
+from convoke.operators import locations as L
 from convoke.operators import matching
-from convoke.plans.catalog import GRID, GRID_SQL, query, r
+from convoke.operators import reduce as R
+from convoke.plans.catalog import CELLS, GRID, GRID_SQL, objects, query, r
 from convoke.plans.workloads import TASKS
 from convoke.sources import logs
 from convoke.sources.tables import table
@@ -124,3 +128,67 @@ def numbered_csv_series(spark, d):
     there = lambda p: logs.exists(spark, p)
     s = logs.numbered_series(spark, f"{path}/result-%d.csv", there)
     return s.groupBy("algorithm", "world_size").agg(r(F.avg("duration")).alias("mean"), r(F.stddev_samp("duration")).alias("std"), F.count("duration").alias("repeats"))
+
+
+# --- locations: purchases and views write where an object is, errors say that it is gone, clicks and signups ask
+
+HELD = "(select user_id % 40 as object_id, ts, event_id, case when event_type <> 'error' then event_id % 8 end as owner from events where event_type in ('purchase', 'view', 'error'))"
+
+
+def held(spark, d):
+    e = table(spark, d, "events").where("event_type in ('purchase', 'view', 'error')")
+    return e.select((F.col("user_id") % 40).alias("object_id"), "ts", "event_id", F.when(F.col("event_type") != "error", F.col("event_id") % 8).alias("owner"))
+
+
+@query(f"""with q as (select event_id, user_id % 40 as object_id, ts from events where event_type in ('click', 'signup')), w as (select object_id, ts, arg_max(owner is not null, event_id) as there, arg_max(coalesce(owner, -1), event_id) as owner from {HELD} group by all)
+    select q.event_id, q.object_id, case when w.there then w.owner end as owner from q asof left join w on q.object_id = w.object_id and q.ts >= w.ts""")
+def held_at(spark, d):
+    """Who held the object when each click or signup asked."""
+    asked = table(spark, d, "events").where("event_type in ('click', 'signup')").select("event_id", (F.col("user_id") % 40).alias("object_id"), "ts")
+    found = L.as_of(asked, held(spark, d), ["object_id"], ["ts", "event_id"], ["owner"])
+    return found.select("event_id", "object_id", "owner")
+
+
+@query(f"""with c as (select * from {HELD} window w as (partition by object_id order by ts, event_id) qualify row_number() over w = 1 or lag(owner) over w is distinct from owner)
+    select object_id, owner, epoch_us(ts) as valid_from, epoch_us(lead(ts) over (partition by object_id order by ts, event_id)) as valid_to from c qualify owner is not null""")
+def location_validity(spark, d):
+    v = L.validity(held(spark, d), ["object_id"], ["ts", "event_id"], "owner")
+    us = lambda c: F.unix_micros(F.col(c).cast("timestamp")).alias(c)
+    return v.select("object_id", "owner", us("valid_from"), us("valid_to"))
+
+
+# --- buffers in blocks and exact sums
+
+WIDTH = 100
+PLACED = f"(select label, x, pos + coalesce(sum(len) over (partition by label order by vec_id range between unbounded preceding and 1 preceding), 0)::bigint as spot from (select vec_id, label, embedding[i + 1]::double as x, i as pos, case when i = 0 then len(embedding) else 0 end as len from embeddings, (select unnest(range(64)) as i)))"
+
+
+@query(f"select label, (spot // {WIDTH})::bigint as block, count(*) as n, round(sum(x), 5) as total, round(arg_min(x, spot), 6) as first from {PLACED} group by all")
+def gather_in_blocks(spark, d):
+    """Each label's embeddings as one buffer, in blocks of 100 elements."""
+    b = U.blocked(objects(spark, d), ["label"], "object_id", block=WIDTH)
+    total = F.aggregate("data", F.lit(0.0), lambda s, x: s + x.cast("double"))
+    return b.select("label", "block", F.size("data").cast("long").alias("n"), r(total, 5).alias("total"), r(F.col("data")[0].cast("double")).alias("first"))
+
+
+@query(f"select v.vec_id as object_id, count(*) as n, round(sum(x), 5) as total from embeddings v join {PLACED} p on p.label = v.label and p.spot >= v.vec_id * 7 and p.spot < v.vec_id * 7 + 130 group by v.vec_id")
+def read_in_blocks(spark, d):
+    """130 elements of its label's buffer for every embedding, from an offset of its own; some lie beyond the end."""
+    o = objects(spark, d)
+    wanted = o.select("object_id", "label", (F.col("object_id") * 7).alias("first"), F.lit(130).cast("long").alias("n"))
+    got = U.read(U.blocked(o, ["label"], "object_id", block=WIDTH), wanted, ["label"], WIDTH)
+    total = F.aggregate("data", F.lit(0.0), lambda s, x: s + x.cast("double"))
+    return got.groupBy("object_id").agg(F.sum(F.size("data").cast("long")).alias("n"), r(F.sum(total), 5).alias("total"))
+
+
+@query(f"select label, pos, round(sum(x), 6) as value from {CELLS} group by all")
+def reduce_sum_exact(spark, d):
+    """Sums whose bits don't depend on the order of addition."""
+    return R.reduce_cells(objects(spark, d), ["label"], exact=True).withColumn("value", r("value"))
+
+
+@query("select l_returnflag, l_linestatus, round(sum(l_extendedprice::decimal(18, 2)), 2)::double as price, round(sum(l_tax::decimal(18, 2)), 2)::double as tax from lineitem group by all")
+def exact_totals(spark, d):
+    li, keys = table(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"]
+    price, tax = (X.exact_sum(li, keys, c, n).withColumn(n, r(n, 2)) for c, n in (("l_extendedprice", "price"), ("l_tax", "tax")))
+    return price.join(tax, keys)
