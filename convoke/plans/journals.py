@@ -14,6 +14,7 @@ from convoke.plans.workloads import TASKS
 from convoke.sources import logs
 from convoke.sources.tables import table
 from convoke.sources.workspace import shared_folder
+from convoke.streaming import reductions as S
 
 # --- coverage by substring
 
@@ -192,3 +193,26 @@ def exact_totals(spark, d):
     li, keys = table(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"]
     price, tax = (X.exact_sum(li, keys, c, n).withColumn(n, r(n, 2)) for c, n in (("l_extendedprice", "price"), ("l_tax", "tax")))
     return price.join(tax, keys)
+
+
+# --- streams: several reductions of the same objects, tasks before and after these, failures at any time
+
+QUOTAS = {"label": 8, "mod": 40, "all": 200}
+
+
+@query("""with m as (select 'label' || label as reduction_id, vec_id, 8 as k from embeddings union select 'mod' || (vec_id % 3), vec_id, 40 from embeddings union select 'all', vec_id, 200 from embeddings),
+    u as (select *, row_number() over (partition by reduction_id order by vec_id % 8, vec_id) as rn from m where vec_id % 8 not in (1, 5))
+    select reduction_id, vec_id as object_id, (count(*) over (partition by reduction_id)) = k as filled from u where rn <= k""")
+def streaming_tasks(spark, d):
+    """What each reduction uses after a stream of tasks, arrivals and failures, in an order that has nothing to do with that in which they happened, in several batches and two runs."""
+    o = objects(spark, d)
+    lists = o.select("object_id", F.explode(F.array(*[F.struct(F.concat(F.lit(n), w).alias("id"), F.lit(q).alias("k")) for (n, q), w in zip(QUOTAS.items(), (F.col("label").cast("string"), (F.col("object_id") % 3).cast("string"), F.lit("")))])).alias("t"))
+    members = lists.select(F.lit("member").alias("kind"), F.col("t.id").alias("reduction_id"), "object_id", F.col("t.k").alias("k"), F.lit(0).cast("long").alias("seq"))
+    come = S.object_events(o.select("object_id", (F.col("object_id") % 8).alias("seq")), "arrived")
+    gone = S.object_events(o.where("object_id % 8 in (1, 5)").select("object_id", (100 + F.col("object_id")).alias("seq")), "failed")
+    events, path = members.unionByName(come).unionByName(gone), shared_folder(spark, "tasks")
+    for half in (0, 1):
+        part = events.where(F.pmod(F.xxhash64("kind", "reduction_id", "object_id"), F.lit(2)) == half)
+        part.repartition(4, F.xxhash64("object_id", "kind")).write.mode("append").parquet(f"{path}/events")
+        changes = S.run(spark, f"{path}/events", f"{path}/state", files=2)
+    return S.contributors(changes)
