@@ -11,11 +11,15 @@
    a = ceil(t (nq + ny) / (1 + t)) tokens, the rarest shared one has a - 1 more after it in the order of each. So a group is
    opened only by a token after which both q and some member of the group have so many left, for sizes that the group has. A
    group that isn't a linked cluster's is opened for its own members likewise.
-4. Members of opened groups are checked by their bitmaps (the parity bitmaps of two sets differ in no more bits than the sets
+4. What a group shares with a query is counted: the union of all tokens of each group that may open is stored, and a group opens only if
+   at least ceil(t nq) of the query's tokens are in it, as many as any similar member has. Tokens are 32 bits of their hashes
+   there, of which unlike ones can only add to the count.
+5. Members of opened groups are checked by their bitmaps (the parity bitmaps of two sets differ in no more bits than the sets
    do in elements), then exactly, on the texts.
 
 A pair within a cluster is connected already, so that no group of copies is expanded into its pairs. All filters are exact; the
-order of tokens and the clusters only steer how much is compared. Steps 1 and 3 read every whole text.
+order of tokens and the clusters only steer how much is compared. Steps 1 and 3 read every whole text, step 4 those of
+queries and groups that step 3 leaves.
 """
 
 import math
@@ -28,6 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from convoke.llm import text as T
+from convoke.llm.blobs import pack, unpack
 from convoke.llm.components import components
 from convoke.llm.scratch import Scratch, partitions
 
@@ -149,7 +154,7 @@ def within_bits(percent: int):
 
 
 def prefix_tokens(size: int, percent: int, buckets: int, hot):
-    """Batches of (doc_id, text, grp, cluster, csize, linked) -> a row (bucket, rows) for each batch and bucket; rows hold the prefixes' tokens as a compressed Arrow stream."""
+    """Batches of (doc_id, text, grp, cluster, csize, linked) -> a row (bucket, rows) for each batch and bucket; rows hold the prefixes' tokens as a blob."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token, count = hot.value
@@ -182,17 +187,6 @@ def prefix_tokens(size: int, percent: int, buckets: int, hot):
     return run
 
 
-def pack(table: pa.Table) -> bytes:
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-        out.write_table(table)
-    return sink.getvalue().to_pybytes()
-
-
-def unpack(blobs: pa.ChunkedArray) -> pa.Table:
-    return pa.concat_tables([pa.ipc.open_stream(b.as_buffer()).read_all() for b in blobs])
-
-
 OPENED = ["q", "nq", "grp"]
 
 
@@ -237,6 +231,50 @@ def matrix_rows(percent: int, most: int = 2_000_000):
     return run
 
 
+def short_sets(size: int):
+    """Batches of (id, text) -> (id, tokens): the distinct lower halves of the set's hashes, sorted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(i, BATCH) for b in batches for i in range(0, b.num_rows, BATCH)):
+            made = [np.unique((s & np.uint64(0xFFFFFFFF)).astype("<u4")).tobytes() for s in shingle_sets(batch.column(1), size)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["id", "tokens"])
+
+    return run
+
+
+def union_of(rows: pa.Table) -> pa.Table:
+    """(id, tokens) of a group's members -> the group's."""
+    every = np.unique(np.frombuffer(b"".join(rows["tokens"].to_pylist()), "<u4"))
+    return pa.table({"id": rows["id"][:1], "tokens": pa.array([every.tobytes()], pa.binary())})
+
+
+def covered(percent: int):
+    """Batches of (q, nq, grp, own, every) -> those (q, nq, grp) of which the group's union has enough of the query's tokens. Two of a query's tokens of one lower half count as one, and so much less is asked for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for n, own, every in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+                a, b = (np.frombuffer(x, "<u4") for x in (own, every))
+                at = np.searchsorted(b, a)
+                ok.append(int((b[np.minimum(at, len(b) - 1)] == a).sum()) >= least(n, percent) - (n - len(a)))
+            yield batch.select(OPENED).filter(pa.array(ok, pa.bool_()))
+
+    return run
+
+
+def qualifying(scratch: Scratch, opened: DataFrame, grouped: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """The rows (q, nq, grp) of opened whose query has at least ceil(percent nq / 100) tokens in the group's union, which is stored as a table."""
+    sets = "id long, tokens binary"
+    wanted = grouped.join(opened.select("grp").distinct(), "grp", "left_semi").select(F.col("rep").alias("doc_id"), "grp")
+    unions = texts.join(wanted, "doc_id").select(F.col("grp").alias("id"), "text").mapInArrow(short_sets(size), sets).groupBy("id").applyInArrow(union_of, sets)
+    unions = scratch.write(unions, "unions")
+    asked = texts.join(opened.select(F.col("q").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(short_sets(size), sets)
+    asked = scratch.write(asked, "askers")
+    met = opened.join(unions.select(F.col("id").alias("grp"), F.col("tokens").alias("every")), "grp").join(asked.select(F.col("id").alias("q"), F.col("tokens").alias("own")), "q")
+    return scratch.write(met.select(*OPENED, "own", "every").mapInArrow(covered(percent), "q long, nq long, grp long"), "qualifying")
+
+
 def sized_pairs(pairs: DataFrame, percent: int) -> DataFrame:
     """Each pair (a, b, na, nb) once, the larger id first, whose sizes allow that they are similar."""
     fits = pairs.where(f"a <> b and 100 * least(na, nb) >= {percent} * greatest(na, nb)")
@@ -313,7 +351,9 @@ def jaccard_components(spark: SparkSession, documents: DataFrame, size: int = WO
     tokens = asked.mapInArrow(prefix_tokens(size, percent, buckets, frequent), "bucket long, rows binary")
     met = tokens.groupBy("bucket").applyInArrow(matrix_rows(percent), "q long, nq long, grp long")
     opened = scratch.write(met.distinct(), "opened")
-    # 4: members of opened groups
+    # 4: counted overlap with whole unions
+    opened = qualifying(scratch, opened, grouped, texts, size, percent)
+    # 5: members of opened groups
     member = grouped.select("grp", F.col("rep").alias("b"), F.col("n").alias("nb"))
     alike = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
     pairs = opened.select("grp", F.col("q").alias("a"), F.col("nq").alias("na")).join(member, "grp").where(alike)

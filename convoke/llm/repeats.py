@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
 from convoke.llm import text as T
-from convoke.llm.jaccard import pack, unpack
+from convoke.llm.blobs import pack, unpack, unpacked
 from convoke.llm.scratch import partitions
 
 WINDOW, ANCHOR = 13, 6
@@ -198,7 +198,7 @@ def confirm(window: int):
     """A shard's passages -> (chunk, phrases): for each chunk the texts of runs of confirmed windows, and the first document that has them, where a later one is in the chunk."""
 
     def run(rows: pa.Table) -> pa.Table:
-        tables = [pa.ipc.open_stream(b.as_buffer()).read_all() for b in rows.column("passages")]
+        tables = [unpacked(b) for b in rows.column("passages").to_pylist()]
         from_row = np.repeat(np.arange(len(tables)), [t.num_rows for t in tables])
         t = pa.concat_tables(tables)
         by = np.argsort(t["key"].to_numpy(), kind="stable")

@@ -149,3 +149,33 @@ def test_most_frequent_tokens(spark, most):
     seen, left = [r["seen"] for r in kept.collect()], [r["seen"] for r in counted.exceptAll(kept).collect()]
     assert abs(len(seen) - min(most, 3000)) <= 4 * most**0.5
     assert not seen or not left or min(seen) * 2 ** (1 / jaccard.STEPS) >= max(left) - 1
+
+
+def test_blobs():
+    import pyarrow as pa
+
+    from convoke.llm import blobs
+
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 500):
+        t = pa.table({"t": rng.integers(0, 2**63, n).astype(np.uint64), "n": rng.integers(-5, 5, n), "flag": rng.random(n) < 0.5, "text": pa.array([b"x" * int(k) for k in rng.integers(0, 9, n)], pa.large_binary())})
+        assert blobs.unpacked(blobs.pack(t)).equals(t)
+        assert n != 1 or len(blobs.pack(t)) < 120
+    a, b = (pa.table({"v": np.arange(k)}) for k in (3, 4))
+    assert blobs.unpack(pa.chunked_array([pa.array([blobs.pack(a), blobs.pack(b)])]))["v"].to_pylist() == [0, 1, 2, 0, 1, 2, 3]
+
+
+def test_unions_bound_what_opens(spark):
+    """A query opens a group if the group's members have three quarters of its tokens between them, whichever of them."""
+    from convoke.llm import jaccard
+    from convoke.llm.scratch import Scratch
+
+    words = [f"w{i}" for i in range(40)]
+    texts = {1: words[:20], 2: words[16:40], 3: words[:40], 4: [*words[:30], *(f"z{i}" for i in range(10))], 5: [f"y{i}" for i in range(20)]}
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
+    grouped = spark.createDataFrame([(1, 10), (2, 10), (5, 11)], "rep long, grp long")
+    opened = spark.createDataFrame([(q, len(texts[q]) - 4, g) for q in (3, 4) for g in (10, 11)], "q long, nq long, grp long")
+    got = {tuple(r) for r in jaccard.qualifying(Scratch(spark, "unions"), opened, grouped, docs, 5, 75).collect()}
+    whole = lambda t: {tuple(t[i : i + 5]) for i in range(len(t) - 4)}
+    union = {10: whole(texts[1]) | whole(texts[2]), 11: whole(texts[5])}
+    assert got == {(q, len(texts[q]) - 4, g) for q in (3, 4) for g in (10, 11) if 100 * len(whole(texts[q]) & union[g]) >= 75 * len(whole(texts[q]))} == {(3, 36, 10)}
