@@ -29,11 +29,28 @@ def scan(df: DataFrame, keys: list[str], order: list[str], sums: Mapping[str, Co
     made = {f"_s_{n}": c for n, c in sums.items()} | {f"_l_{n}": c for n, c in lasts.items()} | {f"_t_{n}": c for n, c in totals.items()}
     rows = df.select("*", *[c.alias(n) for n, c in made.items()]).repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id())
     rows = written(df.sparkSession, rows, "scan")
-    group = F.struct(F.lit(0).alias("_all"), *keys)
+    group = F.struct(F.lit(0).alias("_all"), *keys)  # a struct is never null, and null fields of it are equal
+    keyed = rows.withColumn("_g", group)
+    several = rows.agg(F.count_distinct("_part")).first()[0] > 1  # in one partition no group goes on in another
+    joined = keyed.join(F.broadcast(carried(keyed, order, sums, lasts, totals)), ["_g", "_part"], "left") if several else keyed
+    own = Window.partitionBy("_part", *keys)
+    run = own.orderBy(*order)
+    upto, back = run.rowsBetween(Window.unboundedPreceding, 0), run.rowsBetween(Window.unboundedPreceding, -1)
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    before = (lambda c: F.col(f"_c{c}")) if several else (lambda c: F.lit(None))
+    return joined.select(
+        *[F.col(f"`{c}`") for c in given],
+        *[(zero(before(f"_s_{n}")) + zero(F.sum(f"_s_{n}").over(upto))).alias(n) for n in sums],
+        *[F.coalesce(F.last(f"_l_{n}", ignorenulls=True).over(back), before(f"_l_{n}")).alias(n) for n in lasts],
+        *[F.coalesce(before(f"_t_{n}"), F.sum(f"_t_{n}").over(own)).alias(n) for n in totals],
+    )
+
+
+def carried(keyed: DataFrame, order: list[str], sums: Mapping, lasts: Mapping, totals: Mapping) -> DataFrame:
+    """(_g, _part, ...): for each group that several partitions have a part of, and each of these, what the parts before contribute, and the totals."""
     place = F.struct(F.lit(0).alias("_all"), *order)
-    ends = rows.groupBy("_part").agg(F.min(group).alias("lo"), F.max(group).alias("hi"))
+    ends = keyed.groupBy("_part").agg(F.min("_g").alias("lo"), F.max("_g").alias("hi"))
     shared = ends.select("_part", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("_g")).groupBy("_g").agg(F.count("*").alias("c")).where("c > 1").select("_g")
-    keyed = rows.withColumn("_g", group)  # a struct is never null, and null fields of it are equal
     parts = keyed.join(F.broadcast(shared), "_g", "left_semi").groupBy("_g", "_part").agg(
         F.count("*").alias("_n"),
         *[F.sum(f"_s_{n}").alias(f"_s_{n}") for n in sums],
@@ -41,21 +58,9 @@ def scan(df: DataFrame, keys: list[str], order: list[str], sums: Mapping[str, Co
         *[F.sum(f"_t_{n}").alias(f"_t_{n}") for n in totals],
     )
     before = Window.partitionBy("_g").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    carried = parts.select(
+    return parts.select(
         "_g", "_part",
         *[F.sum(f"_s_{n}").over(before).alias(f"_c_s_{n}") for n in sums],
         *[F.last(f"_l_{n}", ignorenulls=True).over(before).alias(f"_c_l_{n}") for n in lasts],
         *[F.sum(f"_t_{n}").over(Window.partitionBy("_g")).alias(f"_c_t_{n}") for n in totals],
     )
-    joined = keyed.join(F.broadcast(carried), ["_g", "_part"], "left")
-    own = Window.partitionBy("_part", *keys)
-    run = own.orderBy(*order)
-    upto, back = run.rowsBetween(Window.unboundedPreceding, 0), run.rowsBetween(Window.unboundedPreceding, -1)
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    return joined.select(
-        *[F.col(f"`{c}`") for c in given],
-        *[(zero(F.col(f"_c_s_{n}")) + zero(F.sum(f"_s_{n}").over(upto))).alias(n) for n in sums],
-        *[F.coalesce(F.last(f"_l_{n}", ignorenulls=True).over(back), F.col(f"_c_l_{n}")).alias(n) for n in lasts],
-        *[F.coalesce(F.col(f"_c_t_{n}"), F.sum(f"_t_{n}").over(own)).alias(n) for n in totals],
-    )
-

@@ -2,13 +2,24 @@
 
 import random
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from convoke.operators.scan import scan
 
 
-def test_scan_equals_windows(spark):
+@pytest.mark.parametrize("coalesce", ["true", "false"])
+def test_scan_equals_windows(spark, coalesce):
+    """In one partition, as Spark puts few rows together, and in several."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
+    try:
+        scanned(spark)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def scanned(spark):
     rng = random.Random(1)
     rows = [(rng.choice([None, "hot", "hot", "hot", "a", "b"]), i, rng.choice([None, 1, 2, 3]), "x") for i in range(2000)]
     rng.shuffle(rows)
