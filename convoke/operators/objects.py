@@ -3,14 +3,16 @@
 objects(object_id, vec, ...) and members(reduction_id, object_id, ord). An id may be of any type that can be joined.
 """
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, FloatType, StructField, StructType
 
 from convoke.functions import ids
+from convoke.sources.workspace import written
 
 #: Objects up to this many bytes take the small path of a directory; results never depend on it.
 INBAND_BYTES = 65536
@@ -42,6 +44,33 @@ def from_buffer(spark: SparkSession, buffers: Sequence, object_ids: Sequence[byt
     return spark.createDataFrame(pa.table({"object_id": pa.array(list(object_ids), pa.binary()), **columns}))
 
 
+def to_buffers(objects: DataFrame, out: str = "buffer") -> DataFrame:
+    """(object_id, buffer): each vector as 32-bit floats, little-endian, one after another; null stays null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw = [None if v is None else np.asarray(v, "<f4").tobytes() for v in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(raw, pa.binary())], names=["object_id", out])
+
+    return objects.select("object_id", "vec").mapInArrow(run, StructType([objects.schema["object_id"], StructField(out, BinaryType())]))
+
+
+def from_buffers(buffers: DataFrame, column: str = "buffer") -> DataFrame:
+    """(object_id, vec) of a table of such buffers; one whose length is no multiple of 4 raises."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [None if x is None else np.frombuffer(x, "<f4") for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.list_(pa.float32()))], names=["object_id", "vec"])
+
+    return buffers.select("object_id", column).mapInArrow(run, StructType([buffers.schema["object_id"], StructField("vec", ArrayType(FloatType()))]))
+
+
+def put_rows(vectors: DataFrame, vec: str = "vec") -> DataFrame:
+    """The rows with a random object_id each; written, so that an id stays what it is."""
+    return written(vectors.sparkSession, vectors.select(ids.random_id().alias("object_id"), "*"), "put")
+
+
 def sealed(objects: DataFrame, require_finished: bool = True) -> DataFrame:
     """Objects that are finished, by their column sealed; or all, for a reader that takes unfinished ones too."""
     return objects.where("sealed") if require_finished else objects

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from convoke.operators.exact import exact_sum
+from convoke.operators.scan import scan
 
 OPS = {"sum": F.sum, "min": F.min, "max": F.max, "prod": F.product}
 
@@ -81,6 +82,12 @@ def first_k(objects: DataFrame, members: DataFrame, k: Column | int, by: list[st
     return numbered.join(objects.select("object_id", "vec"), "object_id") if "vec" in objects.columns else numbered
 
 
+def backups(objects: DataFrame, members: DataFrame, k: int, by: list[str], failed: Column | None = None) -> DataFrame:
+    """Members that arrived after the first k, numbered in order of arrival (rn) by a scan: a reduction that has most of the members is spread over tasks. by tells arrivals apart."""
+    there = distinct_members(members).join(objects.drop("vec"), "object_id")
+    return scan(there if failed is None else there.where(~failed), ["reduction_id"], by, {"rn": F.lit(1)}).where(F.col("rn") > k)
+
+
 def in_creation_order(objects: DataFrame, members: DataFrame, created: Column, local_small: Column | None = None) -> DataFrame:
     """arrivals() as a directory feeds them: objects there when the reduction was created count in the order of its list (ord), later ones as they arrive.
 

@@ -7,8 +7,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from convoke.operators.reduce import reduce_cells
+from convoke.operators.reduce import assemble, reduce_cells
 from convoke.operators.scan import scan
+from convoke.sources.workspace import written
 
 
 def tensor_offsets(tensors: DataFrame, keys: list[str], order: str, vec: str) -> DataFrame:
@@ -57,6 +58,30 @@ def synchronous(rows: DataFrame, start: np.ndarray, gradient, steps: int, rate:
     return w
 
 
+def allreduce_training(rows: DataFrame, length: int, gradient, steps: int, rate: float, owner: str) -> DataFrame:
+    """(owner, w) after gradient descent without a server: every owner holds weights of its own, from 0, and each step applies to them the mean of all owners' gradients, which is added up once and given to all.
+
+    rows have owner, x array<float>, y. Nothing but the plan comes to the driver: an owner's weights are a row of a table that each step writes.
+    """
+    spark = rows.sparkSession
+    zero = F.array_repeat(F.lit(0.0), length)
+    held = written(spark, rows.select(F.col(owner).cast("long").alias("owner")).distinct().select("owner", zero.alias("w")), "weights")
+
+    def gradients(batches):
+        for pdf in batches:
+            for who, g in pdf.groupby("owner"):
+                x = np.stack(g["x"].to_numpy()).astype("float64")
+                yield pd.DataFrame({"vec": [gradient(np.asarray(g["w"].iloc[0], "float64"), x, g["y"].to_numpy("float64"))], "n": [len(g)]})
+
+    for _ in range(steps):
+        mine = rows.select(F.col(owner).cast("long").alias("owner"), "x", "y").join(held, "owner")
+        parts = mine.mapInPandas(gradients, "vec array<double>, n long")
+        sums = parts.select("n", F.posexplode("vec").alias("pos", "g")).groupBy("pos").agg((F.sum("g") / F.sum("n")).alias("g"))
+        mean = assemble(sums.withColumnRenamed("g", "value"), [], "g")  # one row, as long as the weights
+        held = written(spark, held.crossJoin(F.broadcast(mean)).select("owner", F.zip_with("w", "g", lambda w, g: w - rate * g).alias("w")), "weights")
+    return held
+
+
 def asynchronous(rows: DataFrame, start: np.ndarray, gradient, steps: int, rate: float, owner: str, ready: Callable[[int], list[int]], rejoins: Callable[[int], list[int]] | None = None) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
     """A parameter server that doesn't wait: (weights, [(step, owner, staleness)]).
 

@@ -124,7 +124,8 @@ def reduced_objects(spark, d):
 
 @query(f"select label as reduction_id, vec_id as object_id, rn::bigint as rn from {firsts(8)} where rn > 8")
 def backup_objects(spark, d):
-    return by_arrival(spark, d, 8).where("not used").select("reduction_id", "object_id", F.col("rn").cast("long").alias("rn"))
+    late = R.backups(vecs(spark, d).withColumn("arrival", F.col("object_id") % 8), members(spark, d), 8, ["arrival", "object_id"])
+    return late.select("reduction_id", "object_id", "rn")
 
 
 @query(f"""select label as reduction_id, vec_id as object_id, rn::bigint as rn from {firsts(8, 'vec_id % 8 not in (1, 5)')} where rn <= 8""")

@@ -8,9 +8,11 @@ from convoke.operators import coverage as V
 from convoke.operators import exact as X
 from convoke.operators import locations as L
 from convoke.operators import matching
+from convoke.operators import objects as O
 from convoke.operators import reduce as R
+from convoke.operators import training as T
 from convoke.plans.catalog import CELLS, GRID, GRID_SQL, objects, query, r
-from convoke.plans.workloads import TASKS
+from convoke.plans.workloads import ALL, TASKS, replay_rows, replay_sql
 from convoke.sources import logs
 from convoke.sources.tables import table
 from convoke.sources.workspace import shared_folder
@@ -216,3 +218,51 @@ def streaming_tasks(spark, d):
         part.repartition(4, F.xxhash64("object_id", "kind")).write.mode("append").parquet(f"{path}/events")
         changes = S.run(spark, f"{path}/events", f"{path}/state", files=2)
     return S.contributors(changes)
+
+
+# --- objects put with random ids and read as buffers, orders, filters, grids of what there is, training without a server
+
+
+@query("select label, count(*) as n, count(*) as ids, min(20)::int as bytes, round(sum(list_sum(embedding)::double), 3) as total from embeddings group by label")
+def put_and_get(spark, d):
+    """Every embedding is put under a random id, as a buffer, and got by it."""
+    put = O.put_rows(objects(spark, d).select("label", "vec"))
+    buffers = O.to_buffers(put)
+    got = put.select("object_id", "label").join(O.from_buffers(buffers), "object_id")
+    total = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double"))
+    return got.groupBy("label").agg(F.count("*").alias("n"), F.count_distinct("object_id").alias("ids"), F.min(F.octet_length("object_id")).alias("bytes"), r(F.sum(total), 3).alias("total"))
+
+
+@query("""select *, row_number() over (order by name desc, nodes desc, size desc) as place from
+    (select event_type as name, (4 * (1 + user_id % 4))::varchar as nodes, (1024 << ((event_id % 4) * 10))::bigint::varchar as size, count(*) as n from events group by all)""")
+def text_tuples_descending(spark, d):
+    """Results in descending order of name, nodes and size, all as text, so that 8 nodes come before 16."""
+    size = F.expr("shiftleft(1024L, cast((event_id % 4) * 10 as int))").cast("string")
+    e = table(spark, d, "events").groupBy(F.col("event_type").alias("name"), (4 * (1 + F.col("user_id") % 4)).cast("string").alias("nodes"), size.alias("size")).agg(F.count("*").alias("n"))
+    return B.numbered(e, [F.desc("name"), F.desc("nodes"), F.desc("size")]).withColumn("place", F.col("place").cast("long"))
+
+
+@query("""select event_type as test, (1024 << ((event_id % 3) * 10))::bigint as size, round(avg(value), 6) as mean, count(value) as repeats from events where event_type <> 'error' and (1024 << ((event_id % 3) * 10)) <> 1048576 group by all""")
+def csv_by_name_and_size(spark, d):
+    """A result table as CSV, read again for all names but one and all sizes but one; the filters reach the scan."""
+    size = F.expr("shiftleft(1024L, cast((event_id % 3) * 10 as int))")
+    s = B.summary(table(spark, d, "events").select(F.col("event_type").alias("test"), size.alias("size"), "value"), ["test", "size"], "value")
+    path = shared_folder(spark, "csv")
+    logs.write_csv(s, f"{path}/results")
+    back = logs.results_csv(spark, f"{path}/results", True, "test string, size long, mean double, std double, repeats long")
+    return back.where((F.col("test") != "error") & (F.col("size") != 1 << 20)).select("test", "size", r("mean").alias("mean"), "repeats")
+
+
+@query("""with t as (select distinct event_type as test from events), n as (select distinct user_id % 16 as nodes from events), s as (select distinct event_id % 40 as size from events)
+    select test, nodes, size from t, n, s where not exists (select 1 from events where event_type = test and user_id % 16 = nodes and event_id % 40 = size and value > 50)""")
+def grid_of_what_there_is(spark, d):
+    """All combinations of the kinds, nodes and sizes that occur, and of these the ones without a measurement above 50."""
+    e = table(spark, d, "events").select(F.col("event_type").alias("test"), (F.col("user_id") % 16).alias("nodes"), (F.col("event_id") % 40).alias("size"), "value")
+    return V.absent(V.combinations(e, ["test", "nodes", "size"]), e.where("value > 50"), ["test", "nodes", "size"])
+
+
+@query(f"with t as ({replay_sql(ALL[:2], False)}), o as (select distinct vec_id % 8 as owner from embeddings) select owner, pos, w from t, o")
+def allreduce_training(spark, d):
+    """Two steps in which every owner applies the mean gradient of all to weights of its own."""
+    held = T.allreduce_training(replay_rows(spark, d), 64, T.linear_gradient, 2, 0.01, "owner")
+    return held.select("owner", F.posexplode("w").alias("pos", "w")).withColumn("w", r("w"))

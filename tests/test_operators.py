@@ -190,3 +190,27 @@ def test_waiters_never_served_wait(spark, tmp_path):
     spark.createDataFrame(rows, "object_id long, seq long, kind string").write.parquet(f"file://{tmp_path}/e")
     out = quota.run_once(spark, f"file://{tmp_path}/e", quota.waiters_stream, "waiters")
     assert sorted(map(tuple, out.collect())) == [(1, 1, 3, True), (1, 2, 3, True), (1, 4, 4, False)]
+
+
+def test_buffers_and_backups(spark):
+    rows = [(1, [1.5, -2.0], 3), (2, None, 1), (3, [], 2), (4, [float("inf")], 2)]
+    o = spark.createDataFrame(rows, "object_id long, vec array<float>, arrival long")
+    back = {r["object_id"]: r["vec"] for r in objects.from_buffers(objects.to_buffers(o)).collect()}
+    assert back == {i: v for i, v, _ in rows}
+    with pytest.raises(PySparkException):
+        objects.from_buffers(spark.createDataFrame([(1, b"abc")], "object_id long, buffer binary")).collect()
+    put = objects.put_rows(o.select("vec", "arrival"))
+    first, again = ({r["object_id"] for r in put.collect()} for _ in range(2))
+    assert first == again and len(first) == 4 and all(len(i) == 20 for i in first)
+    m = reduce.reduction(spark, [1, 2, 3, 4, 4], "r")
+    assert {(r["object_id"], r["rn"]) for r in reduce.backups(o, m, 2, ["arrival", "object_id"]).collect()} == {(4, 3), (1, 4)}
+    assert {r["object_id"] for r in reduce.backups(o, m, 2, ["arrival", "object_id"], F.col("object_id") == 2).collect()} == {1}
+
+
+def test_training_without_a_server_is_that_with_one(spark):
+    rng = np.random.default_rng(2)
+    rows = [(int(i % 3), [float(v) for v in rng.normal(size=4)], float(rng.normal())) for i in range(50)]
+    df = spark.createDataFrame(rows, "owner long, x array<double>, y double")
+    w = training.synchronous(df, np.zeros(4), training.linear_gradient, 3, 0.1, "owner")
+    held = {r["owner"]: r["w"] for r in training.allreduce_training(df, 4, training.linear_gradient, 3, 0.1, "owner").collect()}
+    assert set(held) == {0, 1, 2} and all(v == pytest.approx(w.tolist()) for v in held.values())
