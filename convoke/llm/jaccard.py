@@ -237,6 +237,7 @@ def short_sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(i, BATCH) for b in batches for i in range(0, b.num_rows, BATCH)):
             made = [np.unique((s & np.uint64(0xFFFFFFFF)).astype("<u4")).tobytes() for s in shingle_sets(batch.column(1), size)]
+            pa.default_memory_pool().release_unused()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["id", "tokens"])
 
     return run
@@ -254,8 +255,8 @@ def covered(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = []
-            for n, own, every in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
-                a, b = (np.frombuffer(x, "<u4") for x in (own, every))
+            for n, own, every in zip(batch.column(1).to_pylist(), batch.column(3), batch.column(4), strict=True):
+                a, b = (np.frombuffer(x.as_buffer(), "<u4") for x in (own, every))
                 at = np.searchsorted(b, a)
                 ok.append(int((b[np.minimum(at, len(b) - 1)] == a).sum()) >= least(n, percent) - (n - len(a)))
             yield batch.select(OPENED).filter(pa.array(ok, pa.bool_()))
@@ -264,14 +265,17 @@ def covered(percent: int):
 
 
 def qualifying(scratch: Scratch, opened: DataFrame, grouped: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The rows (q, nq, grp) of opened whose query has at least ceil(percent nq / 100) tokens in the group's union, which is stored as a table."""
+    """The rows (q, nq, grp) of opened whose query has at least ceil(percent nq / 100) tokens in the group's union, which is stored as a table.
+
+    Sets are made once for each document that asks or is asked for; which these are is a table first, so that texts stay where they are while it is small.
+    """
     sets = "id long, tokens binary"
-    wanted = grouped.join(opened.select("grp").distinct(), "grp", "left_semi").select(F.col("rep").alias("doc_id"), "grp")
-    unions = texts.join(wanted, "doc_id").select(F.col("grp").alias("id"), "text").mapInArrow(short_sets(size), sets).groupBy("id").applyInArrow(union_of, sets)
-    unions = scratch.write(unions, "unions")
-    asked = texts.join(opened.select(F.col("q").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(short_sets(size), sets)
-    asked = scratch.write(asked, "askers")
-    met = opened.join(unions.select(F.col("id").alias("grp"), F.col("tokens").alias("every")), "grp").join(asked.select(F.col("id").alias("q"), F.col("tokens").alias("own")), "q")
+    wanted = scratch.write(grouped.join(opened.select("grp").distinct(), "grp", "left_semi").select(F.col("rep").alias("id"), "grp"), "wanted")
+    ids = scratch.write(wanted.select(F.col("id").alias("doc_id")).union(opened.select("q")).distinct(), "sets-ids")
+    made = texts.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(short_sets(size), sets)
+    made = scratch.write(made, "sets")
+    unions = scratch.write(made.join(wanted, "id").select(F.col("grp").alias("id"), "tokens").groupBy("id").applyInArrow(union_of, sets), "unions")
+    met = opened.join(unions.select(F.col("id").alias("grp"), F.col("tokens").alias("every")), "grp").join(made.select(F.col("id").alias("q"), F.col("tokens").alias("own")), "q")
     return scratch.write(met.select(*OPENED, "own", "every").mapInArrow(covered(percent), "q long, nq long, grp long"), "qualifying")
 
 
