@@ -7,7 +7,8 @@ precision. At cosine 0.98 (distance 0.2) a pair shares a key in one table with p
 A pair counts in the first table in which it collides, so each vector's links are summed from the buckets without listing
 pairs. A vector goes only to its buckets that hold others too, as it was given (floats stay floats) and with the keys of such
 buckets in earlier tables. A bucket of more than BLOCK vectors is compared in blocks of it, each pair of blocks on its own; of the links found there a
-spanning forest goes on. A group of copies thus costs rows in proportion to its size times its number of blocks.
+spanning forest goes on. Of a large bucket, the most vectors that share one bucket of an earlier table have met there: they are compared
+with the rest only. A group of near copies thus costs rows in proportion to its size times its number of blocks in one table, and to its size in the others.
 """
 
 from collections.abc import Iterator
@@ -119,6 +120,17 @@ def compare(cosine: float):
     return run
 
 
+def sided(places: DataFrame, made: DataFrame) -> DataFrame:
+    """(rep, t, k, new, old, met) for places(rep, t, k) in large buckets: met are those that share one bucket of an earlier table, the one that most of this bucket do, and so have all met there. new and old are the numbers of blocks of the others and of these."""
+    with_keys = places.join(made, "rep")
+    keys = with_keys.select("k", "t", F.posexplode("key").alias("earlier", "x")).where("earlier < t")
+    most = keys.groupBy("k", "earlier", "x").agg(F.count("*").alias("c")).groupBy("k").agg(F.max(F.struct("c", "earlier", "x")).alias("m"))  # counted map-side; vectors aren't sent
+    sizes = places.groupBy("k").agg(F.count("*").alias("n")).join(most, "k", "left").withColumn("c", F.coalesce("m.c", F.lit(0)))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("long")
+    met = F.coalesce(F.element_at("key", F.col("m.earlier") + 1) == F.col("m.x"), F.lit(False))
+    return with_keys.join(sizes, "k").select("rep", "t", "k", blocks(F.col("n") - F.col("c")).alias("new"), blocks(F.col("c")).alias("old"), met.alias("met"))
+
+
 def near_vectors(spark: SparkSession, vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of vectors(vec_id, embedding, label, ...).
 
@@ -142,12 +154,19 @@ def near_vectors(spark: SparkSession, vectors: DataFrame, cosine: float = COSINE
     made = scratch.write(reps.select("rep", F.xxhash64("label").alias("label"), "embedding").mapInArrow(keyed, "rep long, key array<long>"), "keys")
     spots = made.select("rep", F.posexplode("key").alias("t", "k"))  # a key is mixed with its table's number
     sizes = spots.groupBy("k").agg(F.count("*").alias("c")).where("c > 1")
-    placed = scratch.write(spots.join(sizes, "k").select("rep", "t", "k", F.ceil(F.col("c") / BLOCK).alias("n")), "placed")
-    own = placed.groupBy("rep").agg(F.collect_list(F.struct("t", "k", "n")).alias("places"))  # TABLES of them at most
+    blocks = F.ceil(F.col("c") / BLOCK)
+    placed = scratch.write(spots.join(sizes, "k").select("rep", "t", "k", blocks.alias("new"), F.lit(0).cast("long").alias("old"), F.lit(False).alias("met")), "placed")
+    if not placed.where("new > 1").isEmpty():
+        large = scratch.write(sided(placed.where("new > 1").select("rep", "t", "k"), made), "large")
+        placed = scratch.write(placed.where("new = 1").unionByName(large), "sided")
+    own = placed.groupBy("rep").agg(F.collect_list(F.struct("t", "k", "new", "old", "met")).alias("places"))  # TABLES of them at most
     spread = own.join(reps.select("rep", "copies", "embedding"), "rep").select("*", F.explode("places").alias("p"))
     earlier = F.transform(F.filter("places", lambda x: x["t"] < F.col("p")["t"]), lambda x: x["k"])
-    block = F.pmod(F.xxhash64("rep"), F.col("p")["n"])
-    met = spread.select("rep", "copies", "embedding", F.col("p")["k"].alias("k"), earlier.alias("earlier"), block.alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("p")["n"] - 1)).alias("o"))
+    new, old = F.col("p")["new"], F.col("p")["old"]
+    block = F.when(F.col("p")["met"], new + F.pmod(F.xxhash64("rep"), F.greatest(old, F.lit(1)))).otherwise(F.pmod(F.xxhash64("rep"), F.greatest(new, F.lit(1))))
+    others = F.when(F.col("p")["met"], new).otherwise(new + old)
+    others = F.when(others > 0, F.sequence(F.lit(0).cast("long"), others - 1)).otherwise(F.array().cast("array<long>"))
+    met = spread.select("rep", "copies", "embedding", F.col("p")["k"].alias("k"), earlier.alias("earlier"), block.alias("block"), F.explode(others).alias("o"))
     met = met.select("rep", "copies", "embedding", "k", "earlier", "block", F.least("block", "o").alias("lo"), F.greatest("block", "o").alias("hi"))
     tasks = max(4 * partitions(spark), -(-placed.count() // TASK))
     task = F.pmod(F.xxhash64("k", "lo", "hi"), F.lit(tasks).cast("long"))
