@@ -15,8 +15,9 @@ def pack(table: pa.Table) -> bytes:
     for name, column in zip(table.column_names, table.columns, strict=True):
         array = column.combine_chunks()
         if pa.types.is_large_binary(array.type) or pa.types.is_binary(array.type):
-            values = array.to_pylist()
-            kind, data = BINARY, [np.array([len(v) for v in values], "<u4").tobytes(), *values]
+            array = array.cast(pa.large_binary())
+            edge = np.frombuffer(array.buffers()[1], np.int64, len(array) + 1, 8 * array.offset) if len(array) else np.zeros(1, np.int64)
+            kind, data = BINARY, [np.diff(edge).astype("<u4").tobytes(), memoryview(array.buffers()[2] or b"")[edge[0] : edge[-1]]]
         else:
             values = array.to_numpy(zero_copy_only=False)
             kind, data = values.dtype.str[-2:].encode(), [values.tobytes()]
@@ -35,7 +36,7 @@ def unpacked(blob: bytes) -> pa.Table:
             edge = np.zeros(n + 1, np.int64)
             np.cumsum(np.frombuffer(raw, "<u4", n, at), out=edge[1:])
             at += 4 * n
-            columns[name] = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(edge), pa.py_buffer(raw[at : at + int(edge[-1])])])
+            columns[name] = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(edge), pa.py_buffer(memoryview(raw)[at : at + int(edge[-1])])])
             at += int(edge[-1])
         else:
             columns[name] = pa.array(np.frombuffer(raw, np.dtype(kind.decode()), n, at))
