@@ -25,7 +25,7 @@ from convoke.llm.scratch import Scratch, partitions
 from convoke.llm.tokens import Encoder, edges, lists
 
 #: Bytes of text in a row of events, in hand at a time, and in a part; links of a group that are listed one by one.
-SPAN, SLICE, PART, DENSE = 1 << 18, 4_000_000, 32_000_000, 4096
+SPAN, SLICE, PART, DENSE = 1 << 18, 2_000_000, 32_000_000, 4096
 #: Bits of an offset within a document, beside its number among those in hand.
 OFFSET = 44
 EVENTS = "row long, doc_id long, block long, side int, start long, ids binary"
@@ -127,6 +127,7 @@ def events(documents: DataFrame, a: str, b: str) -> DataFrame:
                     good &= spelt_alike(s, ids, counts, data, size)
                 yield from packed(part.column(0).to_pylist(), n, good, [(s, ids, edges(counts)) for s, (ids, counts) in zip(sides, coded, strict=True)])
                 n += y - x
+                pa.default_memory_pool().release_unused()
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, EVENTS)
 
