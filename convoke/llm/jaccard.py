@@ -275,7 +275,8 @@ def qualifying(scratch: Scratch, opened: DataFrame, grouped: DataFrame, texts: D
     made = texts.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(short_sets(size), sets)
     made = scratch.write(made, "sets")
     unions = scratch.write(made.join(wanted, "id").select(F.col("grp").alias("id"), "tokens").groupBy("id").applyInArrow(union_of, sets), "unions")
-    met = opened.join(unions.select(F.col("id").alias("grp"), F.col("tokens").alias("every")), "grp").join(made.select(F.col("id").alias("q"), F.col("tokens").alias("own")), "q")
+    # the query's own set first: a union, which is larger, is then dealt once, not once for each query
+    met = opened.join(made.select(F.col("id").alias("q"), F.col("tokens").alias("own")), "q").join(unions.select(F.col("id").alias("grp"), F.col("tokens").alias("every")), "grp")
     return scratch.write(met.select(*OPENED, "own", "every").mapInArrow(covered(percent), "q long, nq long, grp long"), "qualifying")
 
 
