@@ -15,6 +15,7 @@ from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -116,10 +117,10 @@ def events(documents: DataFrame, a: str, b: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sides, n = (side(a), side(b)), TaskContext.get().partitionId() << 36
         for batch in batches:
-            for x, y in T.slices(pa.compute.fill_null(pa.compute.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False), SLICE):
+            for x, y in T.slices(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False), SLICE):
                 part = batch.slice(x, y - x)
                 texts = part.column(1).cast(pa.large_string()).fill_null("")
-                data, edge = T.text_buffer(pa.compute.binary_join_element_wise(pa.scalar(" ", pa.large_string()), texts, pa.scalar("", pa.large_string())))
+                data, edge = T.text_buffer(pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), texts, pa.scalar("", pa.large_string())))
                 size = np.diff(edge)
                 coded = [s.encode(texts) for s in sides]
                 good = size > 1

@@ -22,7 +22,6 @@ order of tokens and the clusters only steer how much is compared. Steps 1 and 3
 queries and groups that step 3 leaves.
 """
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
