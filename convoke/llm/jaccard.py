@@ -12,7 +12,7 @@
    opened only by a token after which both q and some member of the group have so many left, for sizes that the group has. A
    group that isn't a linked cluster's is opened for its own members likewise.
 4. What a group shares with a query is counted: the union of all tokens of each group that may open is stored, and a group opens only if
-   at least ceil(t nq) of the query's tokens are in it, as many as any similar member has. Tokens are 32 bits of their hashes
+   at least ceil(t nq) of the query's tokens are in it, as many as any similar member has. Tokens are 20 bits of their hashes
    there, of which unlike ones can only add to the count.
 5. Members of opened groups are checked by their bitmaps (the parity bitmaps of two sets differ in no more bits than the sets
    do in elements), then exactly, on the texts.
@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from convoke.llm import text as T
-from convoke.llm.blobs import pack, unpack
+from convoke.llm.blobs import pack, unpacked
 from convoke.llm.components import components
 from convoke.llm.scratch import Scratch, partitions
 
@@ -43,6 +43,8 @@ HOT_LEAST, HOT_MOST = 2, 1 << 19
 STEPS = 16
 #: Shingles of all sets for each bucket of the matrix, whose prefixes are about a quarter of them.
 BUCKET = 2_000_000
+#: Bytes of a token in a prefix, and bits of one in the sets whose overlap is counted.
+WIDTH, COUNTED = 6, 20
 #: Documents whose sets, and bytes of text that, are in hand at a time.
 BATCH, SLICE = 4096, 2 << 20
 
@@ -152,40 +154,75 @@ def within_bits(percent: int):
     return run
 
 
-def prefix_tokens(size: int, percent: int, buckets: int, hot):
-    """Batches of (doc_id, text, grp, cluster, csize, linked) -> a row (bucket, rows) for each batch and bucket; rows hold the prefixes' tokens as a blob."""
+PREFIX = "doc_id long, n long, prefix binary"
+
+
+def prefixes(size: int, percent: int, hot):
+    """Batches of (doc_id, text) -> (doc_id, n, prefix): the rarest tokens in order, WIDTH bytes of each. Texts stay where they are; these, about a third of their size, meet the groups."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token, count = hot.value
         for batch in (b.slice(i, BATCH) for b in batches for i in range(0, b.num_rows, BATCH)):
-            tokens, which, sizes, places = [], [], [], []
-            for i, s in enumerate(shingle_sets(batch.column(1), size)):
+            sizes, made = [], []
+            for s in shingle_sets(batch.column(1), size):
                 n = len(s)
-                p = min(n, n - least(n, percent) + 1)
                 if len(token):
                     at = np.minimum(np.searchsorted(token, s), len(token) - 1)
                     s = s[np.argsort(np.where(token[at] == s, count[at], 0), kind="stable")]
-                tokens.append(s[:p])
-                which.append(np.full(p, i))
-                sizes.append(np.full(p, n))
-                places.append(np.arange(p))
-            if not tokens:
+                sizes.append(n)
+                made.append(s[: min(n, n - least(n, percent) + 1)].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WIDTH].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(made, pa.binary())], names=["doc_id", "n", "prefix"])
+
+    return run
+
+
+def prefix_tokens(buckets: int):
+    """Batches of (doc_id, n, prefix, grp, cluster, csize, linked) -> a row (bucket, rows) for each batch and bucket; rows hold the prefixes' tokens as a blob.
+
+    Within a bucket 32 bits tell tokens apart, of which unlike ones can only open more. A group of one is its document's id and an
+    unlinked one's cluster isn't asked for, so neither is sent; ids are sent as differences, and places in the order of tokens.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(i, BATCH) for b in batches for i in range(0, b.num_rows, BATCH)):
+            if not batch.num_rows:
                 continue
-            t, i, n, at = (np.concatenate(x) for x in (tokens, which, sizes, places))
+            doc, n, grp, cluster, csize, linked = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "n", "grp", "cluster", "csize", "linked"))
+            lengths = pc.binary_length(batch.column("prefix")).to_numpy() // WIDTH
+            raw = np.frombuffer(b"".join(batch.column("prefix").to_pylist()), np.uint8).reshape(-1, WIDTH)
+            t = np.zeros((len(raw), 8), np.uint8)
+            t[:, :WIDTH] = raw
+            t = t.view("<u8")[:, 0]
+            order = np.argsort(doc, kind="stable")
+            rank = np.empty(len(doc), np.int64)
+            rank[order] = np.arange(len(doc))
+            i = np.repeat(np.arange(len(doc)), lengths)
+            place = np.arange(len(t)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
             home = (t % np.uint64(buckets)).astype(np.int64)
-            by = np.argsort(home, kind="stable")
+            by = np.lexsort((rank[i], home))
             edges = np.searchsorted(home[by], np.arange(buckets + 1))
-            full = np.flatnonzero(np.diff(edges))
-            blobs = []
+            grp, cluster = np.where(csize > 1, grp, 0), np.where(linked, cluster, 0)
+            full, blobs = np.flatnonzero(np.diff(edges)), []
             for b in full:
                 k = by[edges[b] : edges[b + 1]]
-                docs = batch.select(["doc_id", "grp", "cluster", "csize", "linked"]).take(pa.array(i[k]))
-                blobs.append(pack(pa.table({"t": t[k], "n": n[k], "left": n[k] - at[k], **{c: docs.column(c) for c in docs.schema.names}})))
+                d = i[k]
+                columns = {"t": (t[k] // np.uint64(buckets)).astype("<u4"), "n": n[d].astype("<u4"), "at": place[k].astype("<u4"), "d": np.diff(doc[d], prepend=0), "grp": grp[d], "cluster": cluster[d], "csize": csize[d], "linked": linked[d]}
+                blobs.append(pack(pa.table(columns)))
             yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "rows"])
 
     return run
 
 
+def bucket_rows(blobs: pa.ChunkedArray) -> list[np.ndarray]:
+    """t, n, left, doc_id, grp, cluster, csize, linked of a bucket's tokens, from its blobs."""
+    parts = []
+    for blob in blobs.to_pylist():
+        t, n, at, d, grp, cluster, csize, linked = (unpacked(blob).column(c).to_numpy() for c in ("t", "n", "at", "d", "grp", "cluster", "csize", "linked"))
+        n, doc = n.astype(np.int64), np.cumsum(d)
+        parts.append((t, n, n - at, doc, np.where(csize > 1, grp, doc), cluster, csize, linked))
+    return [np.concatenate(x) for x in zip(*parts, strict=True)]
+
+
 OPENED = ["q", "nq", "grp"]
 
 
@@ -193,8 +230,7 @@ def matrix_rows(percent: int, most: int = 2_000_000):
     """A bucket's rows -> (q, nq, grp): which other groups a document opens, of which it isn't known to be linked with all. The document of the smaller family asks. At most about most cells are in hand at a time."""
 
     def run(bucket: pa.Table) -> pa.Table:
-        rows = unpack(bucket.column("rows"))
-        t, n, left, doc, grp, cluster, csize, linked = (rows.column(c).to_numpy() for c in ("t", "n", "left", "doc_id", "grp", "cluster", "csize", "linked"))
+        t, n, left, doc, grp, cluster, csize, linked = bucket_rows(bucket.column("rows"))
         by = np.lexsort((grp, t))
         t, n, left, doc, grp, cluster, csize, linked = (x[by] for x in (t, n, left, doc, grp, cluster, csize, linked))
         # cells of the matrix: a token and a group, with the sizes of the group's members that have it, and the most tokens that one has from there on
@@ -230,12 +266,25 @@ def matrix_rows(percent: int, most: int = 2_000_000):
     return run
 
 
+def coded(s: np.ndarray) -> bytes:
+    """Sorted distinct numbers of COUNTED bits as differences, whose low bytes come before the rest: about 12 bits each for sets of some hundreds."""
+    step = np.diff(s.astype(np.int64), prepend=0)
+    raw = (step & 255).astype("<u1").tobytes() + (step >> 8).astype("<u2").tobytes()
+    return len(s).to_bytes(4, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def decoded(blob: bytes) -> np.ndarray:
+    n = int.from_bytes(blob[:4], "little")
+    raw = pa.decompress(blob[4:], 3 * n, codec="zstd", asbytes=True) if n else b""
+    return np.cumsum(np.frombuffer(raw, "<u1", n) + (np.frombuffer(raw, "<u2", n, n).astype(np.int64) << 8)) if n else np.zeros(0, np.int64)
+
+
 def short_sets(size: int):
-    """Batches of (id, text) -> (id, tokens): the distinct lower halves of the set's hashes, sorted."""
+    """Batches of (id, text) -> (id, tokens): the distinct low COUNTED bits of the set's hashes, coded."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(i, BATCH) for b in batches for i in range(0, b.num_rows, BATCH)):
-            made = [np.unique((s & np.uint64(0xFFFFFFFF)).astype("<u4")).tobytes() for s in shingle_sets(batch.column(1), size)]
+            made = [coded(np.unique(s & np.uint64((1 << COUNTED) - 1))) for s in shingle_sets(batch.column(1), size)]
             pa.default_memory_pool().release_unused()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["id", "tokens"])
 
@@ -244,18 +293,21 @@ def short_sets(size: int):
 
 def union_of(rows: pa.Table) -> pa.Table:
     """(id, tokens) of a group's members -> the group's."""
-    every = np.unique(np.frombuffer(b"".join(rows["tokens"].to_pylist()), "<u4"))
-    return pa.table({"id": rows["id"][:1], "tokens": pa.array([every.tobytes()], pa.binary())})
+    every = np.unique(np.concatenate([decoded(x) for x in rows["tokens"].to_pylist()]))
+    return pa.table({"id": rows["id"][:1], "tokens": pa.array([coded(every)], pa.binary())})
 
 
 def covered(percent: int):
-    """Batches of (q, nq, grp, own, every) -> those (q, nq, grp) of which the group's union has enough of the query's tokens. Two of a query's tokens of one lower half count as one, and so much less is asked for."""
+    """Batches of (q, nq, grp, own, every) -> those (q, nq, grp) of which the group's union has enough of the query's tokens. Two of a query's tokens of equal low bits count as one, and so much less is asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, b = None, None
         for batch in batches:
             ok = []
-            for n, own, every in zip(batch.column(1).to_pylist(), batch.column(3), batch.column(4), strict=True):
-                a, b = (np.frombuffer(x.as_buffer(), "<u4") for x in (own, every))
+            for n, own, every in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+                if every != last:  # a group's queries come one after the other
+                    last, b = every, decoded(every)
+                a = decoded(own)
                 at = np.searchsorted(b, a)
                 ok.append(int((b[np.minimum(at, len(b) - 1)] == a).sum()) >= least(n, percent) - (n - len(a)))
             yield batch.select(OPENED).filter(pa.array(ok, pa.bool_()))
@@ -347,12 +399,13 @@ def jaccard_components(spark: SparkSession, documents: DataFrame, size: int = WO
     tied = family.where("root is not null").select("rep", "n", F.lit(True).alias("linked"), "root", F.xxhash64("root").alias("cluster"), "csize")
     family = tied.unionByName(loose)
     blocks = F.ceil(F.col("csize") / GROUP)
-    grouped = family.select("rep", "n", "root", "linked", "cluster", "csize", F.xxhash64("linked", "cluster", F.pmod(F.xxhash64("rep"), blocks)).alias("grp"))
+    grouped = family.select("rep", "n", "root", "linked", "cluster", "csize", F.when(F.col("csize") > 1, F.xxhash64("linked", "cluster", F.pmod(F.xxhash64("rep"), blocks))).otherwise(F.col("rep")).alias("grp"))
     grouped = scratch.write(grouped, "groups")
     # 3: the matrix
     buckets = max(2 * partitions(spark), (reps.agg(F.sum("n")).first()[0] or 0) // BUCKET)
-    asked = texts.join(grouped.withColumnRenamed("rep", "doc_id"), "doc_id").select("doc_id", "text", "grp", "cluster", "csize", "linked")
-    tokens = asked.mapInArrow(prefix_tokens(size, percent, buckets, frequent), "bucket long, rows binary")
+    asked = texts.select("doc_id", "text").mapInArrow(prefixes(size, percent, frequent), PREFIX).where("n > 0")
+    asked = asked.join(grouped.select(F.col("rep").alias("doc_id"), "grp", "cluster", "csize", "linked"), "doc_id")
+    tokens = asked.mapInArrow(prefix_tokens(buckets), "bucket long, rows binary")
     met = tokens.groupBy("bucket").applyInArrow(matrix_rows(percent), "q long, nq long, grp long")
     opened = scratch.write(met.distinct(), "opened")
     # 4: counted overlap with whole unions

@@ -179,3 +179,33 @@ def test_unions_bound_what_opens(spark):
     whole = lambda t: {tuple(t[i : i + 5]) for i in range(len(t) - 4)}
     union = {10: whole(texts[1]) | whole(texts[2]), 11: whole(texts[5])}
     assert got == {(q, len(texts[q]) - 4, g) for q in (3, 4) for g in (10, 11) if 100 * len(whole(texts[q]) & union[g]) >= 75 * len(whole(texts[q]))} == {(3, 36, 10)}
+
+
+def test_jaccard_sends_few_bytes_a_token():
+    """Coded sets take less than 2 bytes a token (4 before), a bucket's rows less than 16 (26 before), prefixes 6 where whole texts went; all come back as they were."""
+    from types import SimpleNamespace
+
+    from convoke.llm import jaccard
+
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 900, 30000):
+        s = np.unique(rng.integers(0, 1 << jaccard.COUNTED, n))
+        blob = jaccard.coded(s)
+        assert (jaccard.decoded(blob) == s).all() and len(blob) < 2 * len(s) + 40
+    assert (jaccard.decoded(jaccard.coded(np.array([0, (1 << jaccard.COUNTED) - 1]))) == [0, (1 << jaccard.COUNTED) - 1]).all()
+
+    docs, buckets = 1500, 32
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 9999, 200)) for _ in range(docs)]
+    ids = rng.permutation(docs) * 7 - 3000
+    none = SimpleNamespace(value=(np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+    (made,) = jaccard.prefixes(5, 75, none)(iter([pa.RecordBatch.from_arrays([pa.array(ids), pa.array(texts)], names=["doc_id", "text"])]))
+    assert made["n"].to_pylist() == [196] * docs and {len(x) for x in made["prefix"].to_pylist()} == {6 * 50}
+    big, linked = ids % 5 == 0, ids % 10 == 0
+    info = {"grp": np.where(big, ids * 2**40 + 1, ids), "cluster": ids * 2**41 + 3, "csize": np.where(big, 9, 1), "linked": linked}
+    batch = pa.RecordBatch.from_arrays([*made.columns, *(pa.array(x) for x in info.values())], names=[*made.schema.names, *info])
+    blobs = [b for out in jaccard.prefix_tokens(buckets)(iter([batch])) for b in out["rows"].to_pylist()]
+    assert len(blobs) == buckets and sum(map(len, blobs)) < 16 * 50 * docs
+    got = [row for b in blobs for row in zip(*(x.tolist() for x in jaccard.bucket_rows(pa.chunked_array([pa.array([b])]))), strict=True)]
+    of = dict(zip(ids.tolist(), zip(info["grp"].tolist(), np.where(linked, info["cluster"], 0).tolist(), info["csize"].tolist(), linked.tolist(), strict=True), strict=True))
+    assert sorted((doc, left) for _, _, left, doc, *_ in got) == sorted((d, 196 - k) for d in ids.tolist() for k in range(50))
+    assert all((n, *rest) == (196, *of[doc]) for _, n, _, doc, *rest in got)
