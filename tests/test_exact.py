@@ -37,3 +37,16 @@ def test_odd_values(spark):
     got = {r["k"]: r["value"] for r in exact.exact_sum(spark.createDataFrame(rows, "k int, x double"), ["k"], "x").collect()}
     assert got[1] is None and math.isnan(got[2]) and got[3] == inf and math.isnan(got[4]) and got[5] == inf and got[6] == 2.0 and got[None] == 3.0
     assert exact.exact_sum(spark.createDataFrame([], "k int, x double"), ["k"], "x").count() == 0
+
+
+def test_units_edges_without_a_row_for_each_piece(spark):
+    """Doubles next to where units begin, of both signs, and the plan: one row in and none more, added up as numbers."""
+    rng = random.Random(3)
+    edges = [2.0 ** (32 * k + d) for k in range(-33, 32) for d in (-1, 0) if -1074 <= 32 * k + d <= 1023] + [2.0**500, 2.0**-500]
+    rows = [(i % 5, rng.choice([1, -1]) * x) for i, x in enumerate(y for e in edges for y in (e, math.nextafter(e, math.inf), math.nextafter(e, 0.0)))]
+    found = exact.exact_sum(spark.createDataFrame(rows, "k int, x double"), ["k"], "x")
+    for r in found.collect():
+        total = sum((Fraction(x) for g, x in rows if g == r["k"]), Fraction(0))
+        assert bits(r["value"]) == bits(total.numerator / total.denominator)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "aggregate(" not in plan
