@@ -182,7 +182,7 @@ def test_unions_bound_what_opens(spark):
 
 
 def test_jaccard_sends_few_bytes_a_token():
-    """Coded sets take less than 2 bytes a token (4 before), a bucket's rows less than 16 (26 before), prefixes 6 where whole texts went; all come back as they were."""
+    """Coded sets take less than 2 bytes a token (4 before), a bucket's rows less than 16, prefixes 6 where whole texts went; all come back as they were."""
     from types import SimpleNamespace
 
     from convoke.llm import jaccard
